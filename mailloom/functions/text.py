@@ -105,7 +105,10 @@ def strip_tags_basic(c: Column) -> Column:
     return collapse_whitespace(F.regexp_replace(c, "<[^>]+>", ""))
 
 
-def truncate(c: Column, limit: int = DEFAULT_CONFIG.max_email_length) -> Column:
+def truncate(c: Column, limit: int | None = DEFAULT_CONFIG.max_email_length) -> Column:
+    """Cut at ``limit`` characters and mark the cut; no limit keeps the whole text."""
+    if limit is None:
+        return c
     return F.when(F.char_length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,10 +128,11 @@ class Cells:
         value = bound[rows, order[rows, at]]
         return np.where(enough.any(axis=1), value, np.inf)
 
-    def candidates(self, vectors: np.ndarray, k: int, radius: float | None) -> np.ndarray:
-        """Which cells each query must visit, as a boolean matrix."""
+    def candidates(self, vectors: np.ndarray, k: int, radius: float | None, known: np.ndarray) -> np.ndarray:
+        """Which cells each query must visit, as a boolean matrix. ``known`` holds bounds on the
+        k-th distance that are known beforehand, or infinity."""
         to_pivot = np.sqrt(squared_distances(vectors, self.pivots))
-        reach = self.reach(to_pivot, k)
+        reach = np.minimum(self.reach(to_pivot, k), known)
         if radius is not None:
             reach = np.minimum(reach, radius)
         home = to_pivot.argmin(axis=1)
@@ -144,7 +145,7 @@ class Cells:
         return (least <= reach[:, None] + room) & (self.blocks > 0)[None, :]
 
 
-def _bin(distance) -> F.col:
+def _bin(distance: Column) -> Column:
     return F.greatest(
         F.floor(F.log2(F.greatest(distance, F.lit(1e-300))) * BINS_PER_OCTAVE), F.lit(LOWEST_BIN))
 
@@ -211,9 +212,10 @@ def _visit_counts(vec: str, cells: Cells, k: int, radius: float | None, unit: bo
 
 def _chosen_cells(batch, vec, cells, k, radius, unit):
     vectors = matrix(batch.column(vec), unit)
+    known = batch.column("_known").to_numpy(zero_copy_only=False)
     step = max(1, CHUNK_CELLS // max(1, len(cells.pivots) + len(cells.bin_cell)))
     for i in range(0, len(vectors), step):
-        yield i, cells.candidates(vectors[i:i + step], k, radius)
+        yield i, cells.candidates(vectors[i:i + step], k, radius, known[i:i + step])
 
 
 def _spread_queries(vec, cells: Cells, shares: np.ndarray, k, radius, unit) -> Callable:
@@ -251,7 +253,7 @@ def _spread_index(cells: Cells, shares: np.ndarray) -> Callable:
 
 
 def _tagged(batch, row, cell, block, share) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n not in ("_cell", "_to_pivot", "_hash")]
+    names = [n for n in batch.schema.names if n not in _HELPERS]
     taken = batch.select(names).take(pa.array(row))
     tags = [pa.array(np.asarray(x).astype(np.int32)) for x in (cell, block, share)]
     return pa.RecordBatch.from_arrays([*taken.columns, *tags], names=[*names, "_cell", "_block", "_share"])
@@ -262,6 +264,7 @@ def _with_fields(schema: T.StructType, drop: Sequence[str] = (), **added: T.Data
     return T.StructType([*kept, *[T.StructField(n, t) for n, t in added.items()]])
 
 
+_HELPERS = ("_cell", "_to_pivot", "_hash", "_known")
 _TAGS = {"_cell": T.IntegerType(), "_block": T.IntegerType(), "_share": T.IntegerType()}
 
 
@@ -317,16 +320,21 @@ def knn(
     within: float | None = None,
     skip_self: bool = False,
     block_rows: int | None = None,
+    known_reach: str | None = None,
 ) -> DataFrame:
     """The k nearest index rows of each query: (query, index row, distance, rank from 1).
 
     ``metric`` is "sql2" (squared Euclidean) or "cosine" (1 - cosine). ``within`` keeps only
     neighbours nearer than that. ``query_cols`` and ``index_cols`` are carried along.
+    ``known_reach`` names a query column with an upper bound on the k-th Euclidean distance
+    (between unit vectors for "cosine"), where one is known; it only saves visits.
     """
     if metric not in ("sql2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     unit = metric == "cosine"
-    q = usable(queries, query_id, query_cols, query_vec, "_qv", metric)
+    reach = F.coalesce(F.col(known_reach) if known_reach else F.lit(None), F.lit(math.inf)).cast("double")
+    q = usable(
+        queries.withColumn("_known", reach), query_id, [*query_cols, "_known"], query_vec, "_qv", metric)
     c = usable(index, index_id, index_cols, index_vec, "_cv", metric)
     names = dict(query_id=query_id, index_id=index_id, query_cols=query_cols, index_cols=index_cols)
     options = dict(metric=metric, within=within, skip_self=skip_self)
@@ -373,9 +381,9 @@ def knn(
     for r in counts:
         shares[r["_cell"]] = -(-r["n"] // block_rows)
     spread_q = q.mapInArrow(
-        _spread_queries("_qv", cells, shares, wanted, radius, unit), _with_fields(q.schema, ["_hash"], **_TAGS))
+        _spread_queries("_qv", cells, shares, wanted, radius, unit), _with_fields(q.schema, _HELPERS, **_TAGS))
     spread_c = assigned.mapInArrow(
-        _spread_index(cells, shares), _with_fields(assigned.schema, ["_hash", "_cell", "_to_pivot"], **_TAGS))
+        _spread_index(cells, shares), _with_fields(assigned.schema, _HELPERS, **_TAGS))
     found = block_neighbours(spread_q, spread_c, list(_TAGS), k, **names, **options)
     return keep_nearest(found, query_id, index_id, k)
 
