@@ -13,16 +13,23 @@ from mailloom.functions.links import text_urls
 
 def is_likely_footer(c: Column, indicators: tuple[str, ...] = rules.FOOTER_INDICATORS) -> Column:
     """At least two indicator words, or an address, or a link."""
-    lower = F.lower(c)
-    hits = sum((lower.contains(word).cast("int") for word in indicators), F.lit(0))
-    return (hits >= 2) | c.contains("@") | lower.contains("http")
+
+    def likely(lower: Column) -> Column:
+        hits = sum((lower.contains(word).cast("int") for word in indicators), F.lit(0))
+        return lower.contains("@") | lower.contains("http") | (hits >= 2)
+
+    return tx.bind(F.lower(c), likely)
 
 
 def last_lines(c: Column, count: int = DEFAULT_CONFIG.footer_lines_count) -> Column:
     """The last non-empty lines, trimmed; null where there are fewer than asked for."""
     packed = tx.strip_whitespace(F.regexp_replace(c, rf"{tx.SPACE}*\n{tx.SPACE}*", "\n"))
-    breaks = F.char_length(packed) - F.char_length(F.replace(packed, F.lit("\n"), F.lit("")))
-    return F.when((packed != "") & (breaks >= count - 1), F.substring_index(packed, "\n", -count))
+
+    def tail(lines: Column) -> Column:
+        breaks = F.char_length(lines) - F.char_length(F.replace(lines, F.lit("\n"), F.lit("")))
+        return F.when((lines != "") & (breaks >= count - 1), F.substring_index(lines, "\n", -count))
+
+    return tx.bind(packed, tail)
 
 
 def footer_from_text(
@@ -30,8 +37,7 @@ def footer_from_text(
     count: int = DEFAULT_CONFIG.footer_lines_count,
     indicators: tuple[str, ...] = rules.FOOTER_INDICATORS,
 ) -> Column:
-    lines = last_lines(c, count)
-    return F.when(is_likely_footer(lines, indicators), lines)
+    return tx.bind(last_lines(c, count), lambda lines: F.when(is_likely_footer(lines, indicators), lines))
 
 
 def footer_from_html(
@@ -61,8 +67,10 @@ def footer_from_html(
         last = F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(-1))
         found = tx.collapse_whitespace(tx.strip_tags(last))
     # Cleaned HTML is one line, so the last-lines rule can apply only when one line is enough.
-    whole = tx.strip_html(c) if count <= 1 else F.lit(None).cast("string")
-    return F.coalesce(F.when(found != "", found), F.when(whole != "", whole))
+    shown = tx.bind(found, lambda f: F.when(f != "", f))
+    if count > 1:
+        return shown
+    return F.coalesce(shown, tx.bind(tx.strip_html(c), lambda w: F.when(w != "", w)))
 
 
 def _distinct_hits(c: Column, pattern: str, gate: str) -> Column:

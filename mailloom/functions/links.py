@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailloom import rules
-from mailloom.functions.text import decode_entities, strip_whitespace
+from mailloom.functions.text import bind, decode_entities, strip_whitespace
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*" + _VALUE
@@ -81,6 +81,10 @@ def url_hosts(urls: Column) -> Column:
 
 def _without_dots(path: Column) -> Column:
     """Remove "." and ".." segments from an absolute path."""
+    return bind(path, _walk)
+
+
+def _walk(path: Column) -> Column:
     segments = F.split(path, "/")
     walked = F.aggregate(
         segments, F.array().cast("array<string>"),

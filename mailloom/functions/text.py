@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from html.entities import name2codepoint
@@ -37,6 +38,11 @@ _OTHER_ENTITY = r"&(?!(?:nbsp|lt|gt|quot|copy|middot|amp);)(?:#[0-9]|#[xX][0-9A-
 _ANY_ENTITY = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?"
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def rewrite_hits(c: Column, pattern: str, rewrite) -> Column:
     """Replace each hit of ``pattern`` by ``rewrite(hit)``; built-in expressions only."""
     gaps = F.split(c, pattern, -1)
@@ -45,12 +51,14 @@ def rewrite_hits(c: Column, pattern: str, rewrite) -> Column:
     return F.concat_ws("", pieces)
 
 
+def _constant_map(values: dict, key: str) -> Column:
+    """A small fixed map as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>").cast(f"map<{key},string>")
+
+
 def _code_point(n: Column) -> Column:
     """The character of a numeric reference, with the Windows-1252 reading of 128 to 159."""
-    windows = F.create_map(*[
-        F.lit(v) for i in range(128, 160)
-        for v in (i, bytes([i]).decode("cp1252", "ignore") or chr(i))
-    ])
+    windows = _constant_map({i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}, "int")
     bad = (n <= 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
     return (
         F.when(bad, F.lit("�"))
@@ -60,7 +68,7 @@ def _code_point(n: Column) -> Column:
 
 
 def _decode_one(hit: Column) -> Column:
-    names = F.create_map(*[F.lit(v) for k, n in [*name2codepoint.items(), ("apos", 39)] for v in (k, chr(n))])
+    names = _constant_map({**{k: chr(n) for k, n in name2codepoint.items()}, "apos": "'"}, "string")
     body = F.regexp_replace(hit, "^&|;$", "")
     is_hex = body.rlike("^#[xX]")
     digits = F.when(is_hex, F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2)))
@@ -74,12 +82,15 @@ def _decode_one(hit: Column) -> Column:
 def decode_entities(c: Column) -> Column:
     """Decode HTML character references. Rows without "&" and rows with only the usual few
     take a cheap way; the general way looks each reference up."""
-    usual = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _COMMON_ENTITIES, c)
-    return (
-        F.when(~c.contains("&"), c)
-        .when(~c.rlike(_OTHER_ENTITY), usual)
-        .when(c.isNotNull(), rewrite_hits(c, _ANY_ENTITY, _decode_one))
-    )
+    def decoded(t: Column) -> Column:
+        usual = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _COMMON_ENTITIES, t)
+        return (
+            F.when(~t.contains("&"), t)
+            .when(~t.rlike(_OTHER_ENTITY), usual)
+            .when(t.isNotNull(), rewrite_hits(t, _ANY_ENTITY, _decode_one))
+        )
+
+    return bind(c, decoded)
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -109,7 +120,8 @@ def truncate(c: Column, limit: int | None = DEFAULT_CONFIG.max_email_length) ->
     """Cut at ``limit`` characters and mark the cut; no limit keeps the whole text."""
     if limit is None:
         return c
-    return F.when(F.char_length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
+    return bind(c, lambda t: F.when(
+        F.char_length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("..."))).otherwise(t))
 
 
 def select_body(html_content: Column, text_content: Column) -> Column:
@@ -122,8 +134,7 @@ def select_body(html_content: Column, text_content: Column) -> Column:
 
 def clean_page(c: Column, min_length: int = DEFAULT_CONFIG.min_page_length) -> Column:
     """Text of a crawled page, or null where the page says too little."""
-    text = strip_html(c)
-    return F.when(F.char_length(text) > min_length, text)
+    return bind(strip_html(c), lambda t: F.when(F.char_length(t) > min_length, t))
 
 
 class _TextCollector(HTMLParser):

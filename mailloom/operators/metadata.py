@@ -79,11 +79,11 @@ def company_details(df: DataFrame, key: str, column: str) -> DataFrame:
     kinds: Sequence[tuple[str, str]] = (
         ("name", "names"), ("address", "addresses"), ("phone", "phones"), ("website", "websites"),
     )
-    pairs = F.flatten(F.array(*[
-        F.transform(F.col("info")[field], lambda v, kind=kind: F.struct(
-            F.lit(kind).alias("kind"), v.alias("value")))
-        for kind, field in kinds
-    ]))
+
+    def tagged(kind: str, field: str) -> Column:
+        return F.transform(F.col("info")[field], lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    pairs = F.concat(*[tagged(*k) for k in kinds])
     return info.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType
 
 from mailloom import rules
 from mailloom.config import DEFAULT_CONFIG, EngineConfig
-from mailloom.functions.text import rewrite_hits
+from mailloom.functions.text import bind, rewrite_hits
 from mailloom.rules import PII_RULES, PiiRule
 from mailloom.schemas import SPAN
 
@@ -164,11 +164,19 @@ def resolve_overlaps(
 
 
 def _rewrite(c: Column, how: Callable[[Column], Column] | str, chosen: Sequence[PiiRule]) -> Column:
-    for rule in chosen:
+    def apply(text: Column, rule: PiiRule) -> Column:
         pattern = regex_of(rule)
-        done = F.regexp_replace(c, pattern, how) if isinstance(how, str) else rewrite_hits(c, pattern, how)
-        c = F.when(c.rlike(rule.gate), done).otherwise(c)
-    return c
+
+        def step(t: Column) -> Column:
+            done = F.regexp_replace(t, pattern, how) if isinstance(how, str) else rewrite_hits(t, pattern, how)
+            return F.when(t.rlike(rule.gate), done).otherwise(t)
+
+        return bind(text, step)
+
+    if not chosen:
+        return c
+    any_gate = "|".join(f"(?:{g})" for g in sorted({r.gate for r in chosen}))
+    return bind(c, lambda t: F.when(t.rlike(any_gate), reduce(apply, chosen, t)).otherwise(t))
 
 
 def mask(
@@ -183,10 +191,7 @@ def mask(
     The phone rule as written leaves a leading "+" in place; ``mask_plus`` takes it too.
     """
     done = _rewrite(c, lambda hit: F.repeat(F.lit(char), F.char_length(hit)), select_rules(entities, table))
-    if mask_plus:
-        masked = F.regexp_replace(done, r"\+(?=" + "\\" + char + r"{7})", "\\" + char)
-        done = F.when(done.contains("+" + char), masked).otherwise(done)
-    return done
+    return F.regexp_replace(done, r"\+(?=\Q" + char + r"\E{7})", "\\" + char) if mask_plus else done
 
 
 def replace(
@@ -245,10 +250,11 @@ def pii_extract(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per distinct (key, kind, value)."""
     found = df.select(key, extract(F.col(text)).alias("data"))
     kinds = ("email", "phone_number", "credit_card_number")
-    pairs = F.flatten(F.array(*[
-        F.transform(F.col("data")[k], lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value")))
-        for k in kinds
-    ]))
+
+    def tagged(kind: str) -> Column:
+        return F.transform(F.col("data")[kind], lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    pairs = F.concat(*[tagged(k) for k in kinds])
     return found.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
 
 
