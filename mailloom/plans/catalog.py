@@ -13,6 +13,7 @@ from mailloom.functions import domains, footers, links, text
 from mailloom.operators import (
     classify, embed, ingest, lsh, metadata, neighbours, pii, privacy, reports, similarity, store,
 )
+from mailloom.operators.skew import cut_lineage
 from mailloom.plans import messages as plan
 from mailloom.rules import DpoWords, PiiRule
 from mailloom.sources import tables as src
@@ -650,13 +651,13 @@ def latency_check(spark, sf):
 def process_messages(spark, sf):
     """All texts against an index of all page messages, with contacts from crawled pages."""
     docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
-    described = plan.describe(src.html_messages(pages), WHOLE)
+    described = cut_lineage(plan.describe(src.html_messages(pages), WHOLE))
     entity = F.concat(F.lit("Site "), F.col("sender_domain"))
     nothing = F.lit(None).cast("string")
     entries = described.select(
         F.concat(F.lit("p"), F.col("email_id")).alias("id"), "embedding", "document", "sender_domain",
         F.lit("marketing").alias("email_category"), entity.alias("business_name"),
-        F.concat(F.lit("https://"), F.col("sender_domain")).alias("business_website"),
+        F.concat(F.lit("https://en.src"), F.char_length("sender_domain") % 20, F.lit(".example")).alias("business_website"),
         nothing.alias("business_industry"), nothing.alias("business_location"), nothing.alias("dpo_email"))
     crawl = plan.PageTable(src.crawled_pages(docs), words=LOCAL_DPO)
     done = plan.process_messages(
