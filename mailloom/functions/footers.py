@@ -23,13 +23,18 @@ def is_likely_footer(c: Column, indicators: tuple[str, ...] = rules.FOOTER_INDIC
 
 def last_lines(c: Column, count: int = DEFAULT_CONFIG.footer_lines_count) -> Column:
     """The last non-empty lines, trimmed; null where there are fewer than asked for."""
-    packed = tx.strip_whitespace(F.regexp_replace(c, rf"{tx.SPACE}*\n{tx.SPACE}*", "\n"))
 
-    def tail(lines: Column) -> Column:
-        breaks = F.char_length(lines) - F.char_length(F.replace(lines, F.lit("\n"), F.lit("")))
-        return F.when((lines != "") & (breaks >= count - 1), F.substring_index(lines, "\n", -count))
+    def tail(part: Column) -> Column:
+        packed = tx.strip_whitespace(F.regexp_replace(part, rf"{tx.SPACE}*\n{tx.SPACE}*", "\n"))
 
-    return tx.bind(packed, tail)
+        def take(lines: Column) -> Column:
+            breaks = F.char_length(lines) - F.char_length(F.replace(lines, F.lit("\n"), F.lit("")))
+            return F.when((lines != "") & (breaks >= count - 1), F.substring_index(lines, "\n", -count))
+
+        return tx.bind(packed, take)
+
+    # Two more lines than asked for mostly do; only if blank lines leave too few, read the whole text.
+    return F.coalesce(tail(F.substring_index(c, "\n", -(count + 2))), tail(c))
 
 
 def footer_from_text(

@@ -17,6 +17,7 @@ from mailloom.config import DEFAULT_CONFIG
 
 # Unicode white space plus the four separators that Python also counts as white space.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+_SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 _INVISIBLE = (
     r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)"
@@ -98,7 +99,7 @@ def collapse_whitespace(c: Column) -> Column:
 
 
 def strip_whitespace(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def strip_tags(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mailloom import rules
 from mailloom.functions import domains, links
+from mailloom.functions.text import bind
 from mailloom.operators.skew import lookup_join
 from mailloom.schemas import EXTRACTED, MODEL_REPLY
 
@@ -28,18 +30,19 @@ def classify_rules(
     whole_word: bool = False,
 ) -> Column:
     """First category one of whose keywords occurs; compiled into one expression."""
-    lower = F.lower(content)
-    result = None
-    for category, words in table:
-        if whole_word:
-            quoted = "|".join(rf"\Q{w}\E" for w in words)
-            hit = lower.rlike(rf"(?U)\b(?:{quoted})\b")
-        else:
-            hit = lower.contains(words[0])
-            for word in words[1:]:
-                hit = hit | lower.contains(word)
-        result = F.when(hit, F.lit(category)) if result is None else result.when(hit, F.lit(category))
-    return F.lit(default) if result is None else result.otherwise(F.lit(default))
+
+    def chosen(lower: Column) -> Column:
+        result = F
+        for category, words in table:
+            if whole_word:
+                quoted = "|".join(rf"\Q{w}\E" for w in words)
+                hit = lower.rlike(rf"(?U)\b(?:{quoted})\b")
+            else:
+                hit = reduce(lambda acc, w: acc | lower.contains(w), words[1:], lower.contains(words[0]))
+            result = result.when(hit, F.lit(category))
+        return F.lit(default) if result is F else result.otherwise(F.lit(default))
+
+    return bind(F.lower(content), chosen)
 
 
 def no_data() -> Column:

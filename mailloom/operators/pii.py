@@ -32,6 +32,25 @@ def regex_of(rule: PiiRule) -> str:
     return "(?U)" + rule.pattern
 
 
+def gate(c: Column, rule: PiiRule) -> Column:
+    """Whether a text may have a hit of the rule at all."""
+    may = c.isNotNull()
+    if rule.needs:
+        may = may & c.contains(rule.needs)
+    if rule.digits:
+        may = may & c.rlike("[0-9]{%d}" % rule.digits)
+    return may
+
+
+def any_gate(c: Column, chosen: Sequence[PiiRule]) -> Column:
+    """Whether any rule may hit; one look at the text decides for nearly all rows."""
+    if any(not r.needs and not r.digits for r in chosen):
+        return c.isNotNull()
+    may = reduce(lambda acc, n: acc | c.contains(n), sorted({r.needs for r in chosen if r.needs}), F.lit(False))
+    digits = [r.digits for r in chosen if not r.needs]
+    return may | c.rlike("[0-9]{%d}" % min(digits)) if digits else may
+
+
 def luhn_valid(c: Column) -> Column:
     """Check-digit test for card numbers."""
     return F.call_function("luhn_check", F.regexp_replace(c, "[^0-9]", ""))
@@ -61,7 +80,7 @@ def rule_spans(c: Column, rule: PiiRule, keep: Callable[[Column], Column] | None
     found = F.aggregate(pieces, start, step, lambda acc: acc["spans"])
     if keep is not None:
         found = F.filter(found, lambda s: keep(s["text"]))
-    return F.when(c.rlike(rule.gate), found).otherwise(F.array().cast(_SPANS))
+    return F.when(gate(c, rule), found).otherwise(F.array().cast(_SPANS))
 
 
 def span_array(
@@ -71,11 +90,13 @@ def span_array(
     check_cards: bool = False,
 ) -> Column:
     """All spans of a text, rule after rule, as one array."""
+    chosen = select_rules(entities, table)
+    if not chosen:
+        return F.array().cast(_SPANS)
     parts = [
-        rule_spans(c, r, luhn_valid if check_cards and r.entity_type == "CREDIT_CARD" else None)
-        for r in select_rules(entities, table)
+        rule_spans(c, r, luhn_valid if check_cards and r.entity_type == "CREDIT_CARD" else None) for r in chosen
     ]
-    return F.concat(*parts) if parts else F.array().cast(_SPANS)
+    return F.when(any_gate(c, chosen), F.concat(*parts)).otherwise(F.array().cast(_SPANS))
 
 
 def pii_spans(
@@ -169,14 +190,13 @@ def _rewrite(c: Column, how: Callable[[Column], Column] | str, chosen: Sequence[
 
         def step(t: Column) -> Column:
             done = F.regexp_replace(t, pattern, how) if isinstance(how, str) else rewrite_hits(t, pattern, how)
-            return F.when(t.rlike(rule.gate), done).otherwise(t)
+            return F.when(gate(t, rule), done).otherwise(t)
 
         return bind(text, step)
 
     if not chosen:
         return c
-    any_gate = "|".join(f"(?:{g})" for g in sorted({r.gate for r in chosen}))
-    return bind(c, lambda t: F.when(t.rlike(any_gate), reduce(apply, chosen, t)).otherwise(t))
+    return bind(c, lambda t: F.when(any_gate(t, chosen), reduce(apply, chosen, t)).otherwise(t))
 
 
 def mask(
@@ -231,13 +251,15 @@ def rewrite_by_entity(
 def extract(c: Column, table: Sequence[PiiRule] = PII_RULES) -> Column:
     """struct<email, phone_number, credit_card_number> of distinct sorted values."""
 
+    nothing = F.array().cast("array<string>")
+
     def values(kind: str) -> Column:
+        chosen = select_rules([kind], table)
         parts = [
-            F.when(c.rlike(r.gate), F.regexp_extract_all(c, F.lit(regex_of(r)), F.lit(0)))
-            .otherwise(F.array().cast("array<string>"))
-            for r in select_rules([kind], table)
+            F.when(gate(c, r), F.regexp_extract_all(c, F.lit(regex_of(r)), F.lit(0))).otherwise(nothing)
+            for r in chosen
         ]
-        return F.array_sort(F.array_distinct(F.concat(*parts)))
+        return F.when(any_gate(c, chosen), F.array_sort(F.array_distinct(F.concat(*parts)))).otherwise(nothing)
 
     return F.struct(
         values("EMAIL_ADDRESS").alias("email"),

@@ -25,8 +25,12 @@ NO_URLS = "No privacy policy URLs found"
 
 def dpo_email(c: Column, words: DpoWords = DpoWords()) -> Column:
     """The first address by the first pattern that gives one."""
-    tries = [F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in words.patterns()]
-    return F.when(c.contains("@"), F.coalesce(*tries))
+
+    def first(t: Column) -> Column:
+        tries = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in words.patterns()]
+        return F.when(t.contains("@"), F.coalesce(*tries))
+
+    return text.bind(c, first)
 
 
 def privacy_url_candidates(
@@ -67,7 +71,8 @@ def privacy_links(
     ranked = F.array_sort(F.transform(found, lambda a, i: F.struct(
         kind(a).alias("kind"), i.alias("at"), links.resolve_url(F.col(url), a["href"]).alias("url"))))
     urls = F.array_distinct(F.transform(ranked, lambda r: r["url"]))
-    return pages.select(F.col(url).alias("page_url"), F.posexplode(urls).alias("pos", "url")).select("page_url", "url", "pos")
+    linking = pages.where(F.col(html).contains("<"))
+    return linking.select(F.col(url).alias("page_url"), F.posexplode(urls).alias("pos", "url")).select("page_url", "url", "pos")
 
 
 def page_contacts(
@@ -85,17 +90,18 @@ def page_contacts(
         content = text.truncate(content, limit)
     rows = (pages if model else pages.where(may_have)).select(
         links.normalise_url(F.col(url)).alias("page_key"), F.col(page_id).alias("_id"), content.alias("_text"))
-    rows = rows.where(F.col("_text").isNotNull())
     contact = dpo_email(F.col("_text"), words)
     if model is not None:
-        asked = rows.withColumn("_ask", F.concat(
+        asked = rows.where(F.col("_text").isNotNull()).withColumn("_ask", F.concat(
             F.lit("Give the e-mail address of the data protection officer named in this text, or None.\n\n"),
             text.truncate(F.col("_text"), DEFAULT_CONFIG.max_policy_length)))
         rows = call_model(asked, "_ask", "_reply", model).drop("_ask")
         reply = text.strip_whitespace(F.col("_reply"))
         contact = F.coalesce(F.when(domains.is_valid_email(reply), reply), contact)
+    # Exploding the found address, rather than filtering on it, works it out only once.
+    found = F.explode(F.filter(F.array(contact), lambda x: x.isNotNull())).alias("contact")
     return (
-        rows.select("page_key", "_id", contact.alias("contact")).where(F.col("contact").isNotNull())
+        rows.select("page_key", "_id", found)
         .groupBy("page_key").agg(F.min_by("contact", "_id").alias("contact"))
     )
 
@@ -103,7 +109,8 @@ def page_contacts(
 def resolve_site_policy(candidates: DataFrame, contacts: DataFrame, site: str) -> DataFrame:
     """One row per site: the first candidate page with an address, or the reason there is none."""
     keyed = candidates.withColumn("page_key", links.normalise_url(F.col("url")))
-    met = lookup_join(keyed, contacts, "page_key")
+    # Few bytes per row; where many sites share one page, adaptive execution splits that key.
+    met = keyed.join(contacts, "page_key", "left")
     first = F.min_by(
         F.struct(F.col("contact"), F.col("url")), F.when(F.col("contact").isNotNull(), F.col("pos")))
     return met.groupBy(site).agg(first.alias("m")).select(

@@ -32,6 +32,16 @@ def lookup_join(
     return spread.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left"))
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a small input that lies in few files.
+
+    Only inputs with fewer splits than cores are moved, so what is moved is less than one split
+    per core; larger tables stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store a table that several later steps read, in the folder the session names."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ from mailloom.functions import domains, footers, links, text
 from mailloom.operators import (
     classify, embed, ingest, lsh, metadata, neighbours, pii, privacy, reports, similarity, store,
 )
-from mailloom.operators.skew import cut_lineage
+from mailloom.operators.skew import cut_lineage, spread_small
 from mailloom.plans import messages as plan
 from mailloom.rules import DpoWords, PiiRule
 from mailloom.sources import tables as src
@@ -34,7 +34,7 @@ LOCAL_DPO = DpoWords(officer="the|der|dans|que", protection="of|en|de", privacy=
 LOCAL_LINK_WORDS = dict(href_words=("the", "The"), text_words=("and", "der", "la"))
 LOCAL_THRESHOLDS = (("EMAIL_ADDRESS", 0.5), ("PHONE_NUMBER", 0.85), ("CREDIT_CARD", 0.8))
 # A loose phone rule, whose hits lie inside cards and phones of the stricter rules.
-LOOSE_RULES = (*rules.PII_RULES, PiiRule("any_phone", "PHONE_NUMBER", rules.COMPANY_PHONE, 0.75, "[0-9]{4}"))
+LOOSE_RULES = (*rules.PII_RULES, PiiRule("any_phone", "PHONE_NUMBER", rules.COMPANY_PHONE, 0.75, digits=4))
 # No two of the given vectors are nearly the same, so a lower threshold decides.
 ROUTE = EngineConfig(confidence_threshold=0.3)
 WHOLE = EngineConfig(max_email_length=None)
@@ -44,10 +44,18 @@ def _r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def _docs(spark, sf):
+    return spread_small(table(spark, sf, "documents"), "doc_id")
+
+
+def _pages(spark, sf):
+    return spread_small(table(spark, sf, "pages"), "page_id")
+
+
 # --- intake -----------------------------------------------------------------------------------
 
 def _checked(spark, sf):
-    return ingest.with_problem(src.raw_messages(table(spark, sf, "documents")))
+    return ingest.with_problem(src.raw_messages(_docs(spark, sf)))
 
 
 def ingest_report(spark, sf):
@@ -59,7 +67,7 @@ def ingest_status(spark, sf):
 
 
 def parsed_messages(spark, sf):
-    good, _ = ingest.validate(src.raw_messages(table(spark, sf, "documents")))
+    good, _ = ingest.validate(src.raw_messages(_docs(spark, sf)))
     parsed = ingest.parse_messages(good)
     return parsed.select(
         "email_id", "from_email", "subject",
@@ -72,7 +80,7 @@ def quarantine_reasons(spark, sf):
 
 
 def email_validation(spark, sf):
-    docs = src.text_messages(table(spark, sf, "documents")).select("email_id", "from_email")
+    docs = src.text_messages(_docs(spark, sf)).select("email_id", "from_email")
     kind = F.pmod(F.char_length("from_email"), F.lit(4))
     address = (
         F.when(kind == 0, F.concat(F.lit("  "), F.col("from_email"), F.lit(" ")))
@@ -87,29 +95,29 @@ def email_validation(spark, sf):
 # --- text -------------------------------------------------------------------------------------
 
 def strip_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("clean_text"))
+    return _pages(spark, sf).select("page_id", text.strip_html(F.col("html")).alias("clean_text"))
 
 
 def strip_html_parsed(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.strip_html_parsed("html").alias("clean_text"))
+    return _pages(spark, sf).select("page_id", text.strip_html_parsed("html").alias("clean_text"))
 
 
 def strip_tags_basic(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.strip_tags_basic(F.col("html")).alias("clean_text"))
+    return _pages(spark, sf).select("page_id", text.strip_tags_basic(F.col("html")).alias("clean_text"))
 
 
 def collapse_whitespace(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.collapse_whitespace(F.col("text")).alias("clean_text"))
+    return _docs(spark, sf).select("doc_id", text.collapse_whitespace(F.col("text")).alias("clean_text"))
 
 
 def truncate_body(spark, sf):
     cut = text.truncate(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return _docs(spark, sf).select(
         "doc_id", F.char_length(cut).cast("long").alias("chars"), F.md5(cut).alias("digest"))
 
 
 def _all_messages(spark, sf):
-    texts, pages = src.text_messages(table(spark, sf, "documents")), src.html_messages(table(spark, sf, "pages"))
+    texts, pages = src.text_messages(_docs(spark, sf)), src.html_messages(_pages(spark, sf))
     return texts.unionByName(pages)
 
 
@@ -120,7 +128,7 @@ def select_body(spark, sf):
 
 def clean_page(spark, sf):
     cleaned = text.clean_page(F.col("html"), 1000)
-    return table(spark, sf, "pages").select("page_id", F.md5(cleaned).alias("digest"))
+    return _pages(spark, sf).select("page_id", F.md5(cleaned).alias("digest"))
 
 
 # --- metadata ---------------------------------------------------------------------------------
@@ -135,12 +143,12 @@ def root_domain_rollup(spark, sf):
 
 
 def html_links(spark, sf):
-    found = metadata.html_links(table(spark, sf, "pages"), "page_id", "html", absolute_only=False)
+    found = metadata.html_links(_pages(spark, sf), "page_id", "html", absolute_only=False)
     return found.withColumn("pos", F.col("pos").cast("long"))
 
 
 def _resolved(spark, sf):
-    return metadata.resolved_links(table(spark, sf, "pages"), "page_id", "html", "url")
+    return metadata.resolved_links(_pages(spark, sf), "page_id", "html", "url")
 
 
 def resolved_links(spark, sf):
@@ -156,7 +164,7 @@ def _page_notes(spark, sf):
     url = F.col("url")
     note = F.concat(
         F.lit("See "), url, F.lit(", or <"), F.upper(url), F.lit(">. Again: "), url, F.lit(") http:// end."))
-    return table(spark, sf, "pages").select("page_id", "url", "html", note.alias("note"))
+    return _pages(spark, sf).select("page_id", "url", "html", note.alias("note"))
 
 
 def text_urls(spark, sf):
@@ -178,26 +186,26 @@ def url_hosts(spark, sf):
 
 
 def footer_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", footers.footer_from_html(F.col("html")).alias("footer"))
+    return _pages(spark, sf).select("page_id", footers.footer_from_html(F.col("html")).alias("footer"))
 
 
 def footer_html_parsed(spark, sf):
-    return table(spark, sf, "pages").select(
+    return _pages(spark, sf).select(
         "page_id", footers.footer_from_html(F.col("html"), mode="parser").alias("footer"))
 
 
 def footer_text(spark, sf):
-    return table(spark, sf, "documents").select(
+    return _docs(spark, sf).select(
         "doc_id", footers.footer_from_text(F.col("text"), indicators=LOCAL_INDICATORS).alias("footer"),
         footers.footer_from_text(F.col("text")).alias("contact_footer"))
 
 
 def last_lines(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", footers.last_lines(F.col("text")).alias("lines"))
+    return _docs(spark, sf).select("doc_id", footers.last_lines(F.col("text")).alias("lines"))
 
 
 def likely_footer(spark, sf):
-    return metadata.likely_footer_counts(table(spark, sf, "documents"), "text", LOCAL_INDICATORS)
+    return metadata.likely_footer_counts(_docs(spark, sf), "text", LOCAL_INDICATORS)
 
 
 def extract_metadata(spark, sf):
@@ -227,19 +235,19 @@ def company_addresses(spark, sf):
 
 
 def company_phones(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(footers.company_phones(F.col("text"))).alias("phone"))
+    return _docs(spark, sf).select("doc_id", F.explode(footers.company_phones(F.col("text"))).alias("phone"))
 
 
 def company_info(spark, sf):
     texts = _signatures(spark, sf).select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.col("signature").alias("body"))
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.col("text").alias("body"))
+    docs = _docs(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.col("text").alias("body"))
     return metadata.company_details(texts.unionByName(docs), "id", "body")
 
 
 # --- personal data ----------------------------------------------------------------------------
 
 def _spans(spark, sf):
-    return pii.pii_spans(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return pii.pii_spans(_docs(spark, sf).select("doc_id", "text"), "text")
 
 
 def _flat_spans(df):
@@ -253,7 +261,7 @@ def pii_spans(spark, sf):
 
 
 def pii_cards_checked(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = _docs(spark, sf).select("doc_id", "text")
     return _flat_spans(pii.pii_spans(docs, "text", ["CREDIT_CARD"], check_cards=True))
 
 
@@ -262,37 +270,37 @@ def pii_thresholds(spark, sf):
 
 
 def pii_overlap(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = _docs(spark, sf).select("doc_id", "text")
     spans = pii.pii_spans(docs, "text", table=LOOSE_RULES)
     return _flat_spans(pii.resolve_overlaps(spans, "doc_id", [r.score for r in LOOSE_RULES]))
 
 
 def pii_mask(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", pii.mask(F.col("text")).alias("masked"))
+    return _docs(spark, sf).select("doc_id", pii.mask(F.col("text")).alias("masked"))
 
 
 def pii_replace(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(pii.replace(F.col("text"))).alias("digest"))
+    return _docs(spark, sf).select("doc_id", F.md5(pii.replace(F.col("text"))).alias("digest"))
 
 
 def pii_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(pii.hash_spans(F.col("text"))).alias("digest"))
+    return _docs(spark, sf).select("doc_id", F.md5(pii.hash_spans(F.col("text"))).alias("digest"))
 
 
 def pii_default_rewrite(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(pii.rewrite_by_entity(F.col("text"))).alias("digest"))
+    return _docs(spark, sf).select("doc_id", F.md5(pii.rewrite_by_entity(F.col("text"))).alias("digest"))
 
 
 def pii_extract(spark, sf):
-    return pii.pii_extract(table(spark, sf, "documents"), "doc_id", "text")
+    return pii.pii_extract(_docs(spark, sf), "doc_id", "text")
 
 
 def pii_stats(spark, sf):
-    return pii.pii_stats(table(spark, sf, "documents"), "text")
+    return pii.pii_stats(_docs(spark, sf), "text")
 
 
 def pii_by_language(spark, sf):
-    return pii.pii_stats(table(spark, sf, "documents"), "text", by=("lang",))
+    return pii.pii_stats(_docs(spark, sf), "text", by=("lang",))
 
 
 def pii_conversations(spark, sf):
@@ -303,7 +311,7 @@ def pii_conversations(spark, sf):
 
 def embedding_text(spark, sf):
     clean = metadata.metadata_columns(
-        metadata.clean_messages(src.html_messages(table(spark, sf, "pages")), WHOLE), "clean_text", WHOLE)
+        metadata.clean_messages(src.html_messages(_pages(spark, sf)), WHOLE), "clean_text", WHOLE)
     note = F.array(F.col("subject"))
     document = similarity.embedding_text(
         pii.mask(F.col("clean_text")), F.col("sender_domain"), F.col("footer_text"), note)
@@ -392,7 +400,7 @@ def confident_route(spark, sf):
         similarity.score(near, "q_domain", "c_domain"), "q_id", "c_id", ["email_category", "business_name"])
     sure = best.where(similarity.is_confident(F.col("confidence"), ROUTE)).select(
         F.col("q_id").alias("email_id"), "confidence", "email_category", "business_name")
-    docs = src.text_messages(table(spark, sf, "documents"))
+    docs = src.text_messages(_docs(spark, sf))
     matched = F.col("confidence").isNotNull()
     rest = classify.fallback_result(
         F.col("text_content"), domains.sender_domain(F.col("from_email")), F.array().cast("array<string>"), LOCAL_KEYWORDS)
@@ -423,7 +431,7 @@ def index_peek(spark, sf):
 
 
 def hashing_embed(spark, sf):
-    done = embed.hashing_embed(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    done = embed.hashing_embed(_docs(spark, sf).select("doc_id", "text"), "text")
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return done.select("doc_id", F.size("embedding").cast("long").alias("size"), F.round(norm, 4).alias("norm"))
 
@@ -431,13 +439,13 @@ def hashing_embed(spark, sf):
 # --- classification ---------------------------------------------------------------------------
 
 def classify_rules(spark, sf):
-    return table(spark, sf, "documents").select(
+    return _docs(spark, sf).select(
         "doc_id", classify.classify_rules(F.col("text")).alias("category"),
         classify.classify_rules(F.col("text"), LOCAL_KEYWORDS).alias("local_category"))
 
 
 def classify_whole_words(spark, sf):
-    return table(spark, sf, "documents").select(
+    return _docs(spark, sf).select(
         "doc_id", classify.classify_rules(F.col("text"), (("survey", ("the", "der")), ("marketing", ("la", "le"))), whole_word=True).alias("category"))
 
 
@@ -475,7 +483,7 @@ def parse_model_json(spark, sf):
 # --- privacy contacts -------------------------------------------------------------------------
 
 def _sites(spark, sf):
-    return table(spark, sf, "documents").select(src.site_of_text().alias("site")).distinct()
+    return _docs(spark, sf).select(src.site_of_text().alias("site")).distinct()
 
 
 def privacy_candidates(spark, sf):
@@ -484,17 +492,17 @@ def privacy_candidates(spark, sf):
 
 
 def privacy_links(spark, sf):
-    found = privacy.privacy_links(table(spark, sf, "pages"), "url", "html", **LOCAL_LINK_WORDS)
+    found = privacy.privacy_links(_pages(spark, sf), "url", "html", **LOCAL_LINK_WORDS)
     return found.withColumn("pos", F.col("pos").cast("long"))
 
 
 def dpo_extract(spark, sf):
-    return table(spark, sf, "documents").select(
+    return _docs(spark, sf).select(
         "doc_id", privacy.dpo_email(F.col("text"), LOCAL_DPO).alias("dpo_email")).where(F.col("dpo_email").isNotNull())
 
 
 def _policies(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = _docs(spark, sf)
     return privacy.site_policies(
         docs.select(src.site_of_text().alias("site")), "site", src.crawled_pages(docs), "page_id", "url", "html", LOCAL_DPO)
 
@@ -504,7 +512,7 @@ def resolve_site_policy(spark, sf):
 
 
 def enrich_dpo(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = _docs(spark, sf)
     known = F.when(F.col("lang") == "de", F.concat(F.lit("dpo@"), src.site_of_text()))
     website = F.when(F.col("source") != "src1", src.site_of_text())
     rows = docs.select("doc_id", website.alias("website"), known.alias("dpo_email"))
@@ -584,7 +592,7 @@ def high_confidence_count(spark, sf):
 
 def _predictions(spark, sf):
     """Three rule sets stand for three models."""
-    docs = table(spark, sf, "documents")
+    docs = _docs(spark, sf)
     sets = (("default", rules.CATEGORY_KEYWORDS), ("local", LOCAL_KEYWORDS), ("short", SHORT_KEYWORDS))
     each = F.array(*[
         F.struct(F.lit(name).alias("model"), classify.classify_rules(F.col("text"), keywords).alias("predicted"))
@@ -623,7 +631,7 @@ def class_precision(spark, sf):
 
 def _providers(spark, sf):
     """One summary row per source, as if each source were a provider."""
-    docs = table(spark, sf, "documents").groupBy(F.col("source").alias("provider")).agg(
+    docs = _docs(spark, sf).groupBy(F.col("source").alias("provider")).agg(
         F.avg("n_chars").alias("mean"), F.max("n_chars").alias("most"))
     return docs.select(
         "provider", (F.col("most") % 4 != 0).alias("success"),
@@ -650,7 +658,7 @@ def latency_check(spark, sf):
 
 def process_messages(spark, sf):
     """All texts against an index of all page messages, with contacts from crawled pages."""
-    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    docs, pages = _docs(spark, sf), _pages(spark, sf)
     described = cut_lineage(plan.describe(src.html_messages(pages), WHOLE))
     entity = F.concat(F.lit("Site "), F.col("sender_domain"))
     nothing = F.lit(None).cast("string")
