@@ -14,21 +14,18 @@ FILES = "email_*.[jJ][sS][oO][nN]"
 def raw_messages(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, raw): one row per message file below ``path``, one JSON document each."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", FILES).text(path)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", FILES)
+        .text(path, wholetext=True)
     )
     return files.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
 
 
 def raw_message_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """The same as a stream: a file that arrives in the folder is one queued message."""
-    reader = (
-        spark.readStream.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", FILES)
-    )
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", FILES)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
 
 
 def message_id(df: DataFrame, column: str = "source_file") -> DataFrame:
