@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -69,15 +69,23 @@ def _code_point(n: Column) -> Column:
 
 
 def _decode_one(hit: Column) -> Column:
-    names = _constant_map({**{k: chr(n) for k, n in name2codepoint.items()}, "apos": "'"}, "string")
+    """One reference. A name without its semicolon, or with letters after it, still counts if it
+    is one of the old names that may stand so; the longest such name wins."""
+    bare = {k: v for k, v in html5.items() if not k.endswith(";")}
+    names = _constant_map({**{k: chr(n) for k, n in name2codepoint.items()}, **bare, "apos": "'"}, "string")
     body = F.regexp_replace(hit, "^&|;$", "")
     is_hex = body.rlike("^#[xX]")
     digits = F.when(is_hex, F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2)))
     number = F.coalesce(digits.try_cast("int"), F.lit(-1))
-    return (
-        F.when(body.startswith("#"), _code_point(number))
-        .otherwise(F.coalesce(F.try_element_at(names, body), hit))
-    )
+
+    def by_prefix(prefix: Column) -> Column:
+        rest = F.substr(hit, F.char_length(prefix) + 2)
+        return F.when(prefix != "", F.concat(F.try_element_at(names, prefix), rest)).otherwise(hit)
+
+    longest_first = "|".join(sorted(bare, key=lambda k: (-len(k), k)))
+    prefixed = bind(F.regexp_extract(body, f"^(?:{longest_first})", 0), by_prefix)
+    whole = F.when(hit.endswith(";"), F.try_element_at(names, body))
+    return F.when(body.startswith("#"), _code_point(number)).otherwise(F.coalesce(whole, prefixed))
 
 
 def decode_entities(c: Column) -> Column:

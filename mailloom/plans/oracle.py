@@ -29,9 +29,9 @@ def strip_space(e: str) -> str:
 
 def decode(e: str) -> str:
     for name, char in (("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                       ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+                       ("&copy;", "©"), ("&middot;", "·")):
         e = f"replace({e}, {_q(name)}, {_q(char)})"
-    return e
+    return rx(e, "&amp;?", "&")
 
 
 def strip(e: str) -> str:

@@ -15,6 +15,7 @@ def values(spark, rows, make, kind="string"):
 ENTITY_ROWS = [
     "a &amp;lt; b", "x&nbsp;y &#39;q&#39; &#x2014; &hellip; &copy;", "AT&T &#150; &#128512; &bogus;",
     "&#0; &#xD800; &#99999999999;", "no entity", "", "&amp;amp; &quot;q&quot;",
+    "a&ampb &ampÄ &notit; &notin; &copy2 &LT &rsquo &rsquo; &ampfoo; &eacutex;",
 ]
 
 
