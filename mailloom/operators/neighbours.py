@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 BLOCK_BYTES = 32 << 20
 PIVOT_BYTES = 16 << 20
+MAX_PIVOTS = 1024
 CHUNK_CELLS = 1 << 22
 BINS_PER_OCTAVE = 4
 LOWEST_BIN = -40 * BINS_PER_OCTAVE
@@ -60,6 +61,27 @@ def sortable(ids: np.ndarray) -> np.ndarray:
     return np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
 
 
+def row_groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row number per distinct row, the group of each row)."""
+    packed = np.ascontiguousarray(rows)
+    keys = packed.view(np.dtype((np.void, packed.dtype.itemsize * packed.shape[1]))).ravel()
+    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+    return first, group
+
+
+def place_in_run(keys: np.ndarray) -> np.ndarray:
+    """Position of each element within its run of equal keys, for sorted keys."""
+    return np.arange(len(keys)) - np.searchsorted(keys, keys, side="left")
+
+
+def useful_copies(rows: np.ndarray, order_ids: np.ndarray, wanted: int) -> np.ndarray:
+    """Row numbers without the copies that cannot be among the nearest of anything: of equal rows
+    only the ``wanted`` lowest ids can."""
+    _, group = row_groups(rows)
+    order = np.lexsort((order_ids, group))
+    return np.sort(order[place_in_run(group[order]) < wanted])
+
+
 def nearest_rows(
     queries: np.ndarray, candidates: np.ndarray, query_ids: np.ndarray, candidate_ids: np.ndarray,
     k: int, metric: str, within: float | None, skip_self: bool,
@@ -67,13 +89,36 @@ def nearest_rows(
     """(query row, candidate row, distance, rank) of the k nearest candidates per query row.
 
     A fast product picks everything that may be among the nearest, with room for rounding;
-    those distances are then taken exactly, and ties go to the lower id.
+    those distances are then taken exactly, and ties go to the lower id. Equal queries are
+    answered once, and copies of a candidate count only as far as they can rank.
     """
-    order_ids = sortable(candidate_ids)
+    if not len(queries) or not len(candidates):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)
     wanted = k + 1 if skip_self else k
+    order_ids = sortable(candidate_ids)
+    kept = useful_copies(candidates, order_ids, wanted)
+    first, group = row_groups(queries)
+    ui, ci, d = _nearest(queries[first], candidates[kept], order_ids[kept], wanted, metric, within)
+    ci = kept[ci]
+
+    sizes = np.bincount(ui, minlength=len(first))
+    times = sizes[group]
+    qi = np.repeat(np.arange(len(queries)), times)
+    starts = (np.cumsum(sizes) - sizes)[group]
+    at = np.repeat(starts, times) + place_in_run(qi)
+    ci, d = ci[at], d[at]
+    if skip_self:
+        other = query_ids[qi] != candidate_ids[ci]
+        qi, ci, d = qi[other], ci[other], d[other]
+    rank = place_in_run(qi)
+    top = rank < k
+    return qi[top], ci[top], d[top], rank[top] + 1
+
+
+def _nearest(queries, candidates, order_ids, wanted: int, metric: str, within: float | None):
     step = max(1, CHUNK_CELLS // max(1, len(candidates)))
     limit = None if within is None else (within if metric == "sql2" else 2.0 * within)
-    found = []
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     for i in range(0, len(queries), step):
         block = queries[i:i + step]
         d = squared_distances(block, candidates)
@@ -84,21 +129,14 @@ def nearest_rows(
         if limit is not None:
             reach = np.minimum(reach, limit + room)
         qi, ci = np.nonzero(d <= reach[:, None])
-        if skip_self:
-            other = query_ids[qi + i] != candidate_ids[ci]
-            qi, ci = qi[other], ci[other]
         exact = exact_distances(block[qi], candidates[ci], metric)
         if within is not None:
             near = exact < within
             qi, ci, exact = qi[near], ci[near], exact[near]
         order = np.lexsort((order_ids[ci], exact, qi))
         qi, ci, exact = qi[order], ci[order], exact[order]
-        first = np.searchsorted(qi, qi, side="left")
-        rank = np.arange(len(qi)) - first
-        keep = rank < k
-        found.append((qi[keep] + i, ci[keep], exact[keep], rank[keep] + 1))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+        top = place_in_run(qi) < wanted
+        found.append((qi[top] + i, ci[top], exact[top]))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
@@ -359,7 +397,7 @@ def knn(
             F.explode(F.sequence(F.lit(0), F.lit(share - 1))).alias("_share"))
         return block_neighbours(one, other, list(_TAGS), k, **names, **options)
 
-    most = max(1, min(4096, PIVOT_BYTES // (8 * dim)))
+    most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * dim)))
     count = min(most, -(-4 * size // block_rows))
     drawn = c.select("_cv").orderBy(F.xxhash64(index_id)).limit(count).collect()
     pivots = np.unique(np.array([r["_cv"] for r in drawn], dtype=np.float64), axis=0)

@@ -45,12 +45,16 @@ def get_result(results: DataFrame, key, id_col: str = "id") -> DataFrame:
     return results.where(F.col(id_col) == key)
 
 
-def _within(start, end, at: str) -> Column:
+def _within(results: DataFrame, start, end, at: str) -> Column:
+    """Inclusive bounds on a time, and on the day folders where the table has them."""
     cond = F.lit(True)
+    by_day = "dt" in results.columns and at == "processed_at"
     if start is not None:
-        cond = cond & (F.col(at) >= F.lit(start).cast("timestamp"))
+        low = F.lit(start).cast("timestamp")
+        cond = cond & (F.col(at) >= low) & (F.col("dt") >= F.to_date(low) if by_day else F.lit(True))
     if end is not None:
-        cond = cond & (F.col(at) <= F.lit(end).cast("timestamp"))
+        high = F.lit(end).cast("timestamp")
+        cond = cond & (F.col(at) <= high) & (F.col("dt") <= F.to_date(high) if by_day else F.lit(True))
     return cond
 
 
@@ -62,7 +66,7 @@ def query_by_domain(
 
     The bounds apply before the limit; ``strict`` applies them to the newest ``limit`` rows.
     """
-    rows, bounds = results.where(F.col("sender_domain") == domain), _within(start, end, at)
+    rows, bounds = results.where(F.col("sender_domain") == domain), _within(results, start, end, at)
     newest = [F.col(at).desc(), F.col(id_col)]
     if strict:
         return rows.orderBy(*newest).limit(limit).where(bounds)
@@ -76,7 +80,7 @@ def latest_per_domain(
     domain with most of the rows sends few of them through the shuffle."""
     order = Window.partitionBy("sender_domain").orderBy(F.col(at).desc(), id_col)
     return (
-        results.where(_within(start, end, at))
+        results.where(_within(results, start, end, at))
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     )
 

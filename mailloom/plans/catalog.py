@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,12 @@ from mailloom.functions import domains, footers, links, text
 from mailloom.operators import (
     classify, embed, ingest, lsh, metadata, neighbours, pii, privacy, reports, similarity, store,
 )
-from mailloom.operators.skew import cut_lineage, spread_small
+from mailloom.operators.skew import cut_lineage, shared_folder, spread_small
 from mailloom.plans import messages as plan
 from mailloom.rules import DpoWords, PiiRule
 from mailloom.sources import tables as src
 from mailloom.sources.tables import table
+from mailloom.streaming import messages as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -677,6 +679,20 @@ def process_messages(spark, sf):
         F.array_join("data.email", " ").alias("emails"), F.round("confidence_score", 4).alias("confidence"))
 
 
+def stream_values(spark, sf):
+    """The texts as a stream of files: each batch stores its personal data, keyed by its number."""
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    texts = spark.readStream.schema(table(spark, sf, "documents").schema).option(
+        "pathGlobFilter", "documents*.parquet").parquet(sf)
+
+    def handle(batch, number):
+        pii.pii_extract(batch, "doc_id", "text").write.mode("overwrite").parquet(f"{work}/values/batch={number}")
+
+    query = streaming.start(texts, handle, f"{work}/progress")
+    query.awaitTermination()
+    return spark.read.parquet(f"{work}/values").select("doc_id", "kind", "value")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ingest_report, ingest_status, parsed_messages, quarantine_reasons, email_validation,
     strip_html, strip_html_parsed, strip_tags_basic, collapse_whitespace, truncate_body, select_body, clean_page,
@@ -693,5 +709,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     flatten_result, get_result, query_by_domain, query_by_domain_strict, latest_per_domain, result_stats,
     category_shares, run_summary, high_confidence, high_confidence_count, accuracy_by_model, confusion_matrix,
     class_precision, compare_providers, providers_by_category, latency_check,
-    process_messages,
+    process_messages, stream_values,
 )}

@@ -468,5 +468,6 @@ SQL["process_messages"] = f"""
       select page_id, lower({host('url')}) as domain, {strip('html')} as clean,
         'https://en.src' || (length({host('url')}) % 20) || '.example' as website from pages) m
     left join {POLICIES} p on 'https://' || p.site = m.website"""
+SQL["stream_values"] = SQL["pii_extract"]
 SQL["url_host_counts"] = f"""select host, links, {root('host')} as root from (
     select lower(host) as host, count(*) as links from ({SQL['resolved_links']}) group by 1)"""
