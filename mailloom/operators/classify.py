@@ -80,15 +80,19 @@ def prompt(content: Column, sender_domain: Column, footer: Column, urls: Column,
 
 def parse_reply(reply: Column) -> Column:
     """The reply as a struct, or null where it is no JSON or not a valid record."""
-    record = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), MODEL_REPLY)
-    entity, score = record["business_entity"], record["confidence_score"]
-    good = (
-        record["email_category"].isin(*rules.CATEGORIES)
-        & entity["name"].isNotNull() & record["data"].isNotNull() & score.between(0.0, 1.0)
-        & (entity["website"].isNull() | (links.is_absolute(entity["website"]) & (links.url_host(entity["website"]) != "")))
-        & (entity["dpo_email"].isNull() | domains.is_valid_email(entity["dpo_email"]))
-    )
-    return F.when(good, record)
+
+    def checked(record: Column) -> Column:
+        entity, score = record["business_entity"], record["confidence_score"]
+        website, dpo = entity["website"], entity["dpo_email"]
+        good = (
+            record["email_category"].isin(*rules.CATEGORIES)
+            & entity["name"].isNotNull() & record["data"].isNotNull() & score.between(0.0, 1.0)
+            & (website.isNull() | (links.is_absolute(website) & (links.url_host(website) != "")))
+            & (dpo.isNull() | domains.is_valid_email(dpo))
+        )
+        return F.when(good, record)
+
+    return bind(F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), MODEL_REPLY), checked)
 
 
 def call_model(df: DataFrame, prompt_col: str, reply_col: str, model: Callable[[pd.Series], pd.Series]) -> DataFrame:

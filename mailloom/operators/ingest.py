@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom import rules
+from mailloom.functions.text import bind
 
 
 def problem(raw: Column, required: Sequence[str] = rules.REQUIRED_KEYS) -> Column:
@@ -15,13 +16,18 @@ def problem(raw: Column, required: Sequence[str] = rules.REQUIRED_KEYS) -> Colum
 
     A key counts as given even when its value is null. ``from_email`` stands in for ``from``.
     """
-    keys = F.json_object_keys(raw)
-    named = F.transform(keys, lambda k: F.when(k == "from_email", F.lit("from")).otherwise(k))
-    missing = F.array_except(F.array(*[F.lit(k) for k in required]), named)
-    return (
-        F.when(keys.isNull(), F.lit("invalid JSON"))
-        .when(F.size(missing) > 0, F.concat(F.lit("missing required fields: "), F.array_join(missing, ", ")))
-    )
+
+    def lacking(keys: Column) -> Column:
+        named = F.transform(keys, lambda k: F.when(k == "from_email", F.lit("from")).otherwise(k))
+        return F.array_except(F.array(*[F.lit(k) for k in required]), named)
+
+    def reason(missing: Column) -> Column:
+        return (
+            F.when(missing.isNull(), F.lit("invalid JSON"))
+            .when(F.size(missing) > 0, F.concat(F.lit("missing required fields: "), F.array_join(missing, ", ")))
+        )
+
+    return bind(lacking(F.json_object_keys(raw)), reason)
 
 
 def with_problem(df: DataFrame, raw: str = "raw", required: Sequence[str] = rules.REQUIRED_KEYS) -> DataFrame:

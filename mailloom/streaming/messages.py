@@ -49,11 +49,15 @@ def message_handler(
     return handle
 
 
+def process_stream(rows: DataFrame, work: str, available_now: bool = True, **options) -> StreamingQuery:
+    """Process a stream of whole JSON messages (source_file, raw) from any source, such as a
+    message queue; ``source_file`` is whatever names a message."""
+    return start(rows.select("source_file", "raw"), message_handler(work, **options), f"{work}/stream", available_now)
+
+
 def ingest_stream(
     spark: SparkSession, path: str, work: str, files_per_trigger: int | None = None,
     available_now: bool = True, **options,
 ) -> StreamingQuery:
     """Process a folder of message files as they arrive."""
-    return start(
-        raw_message_stream(spark, path, files_per_trigger), message_handler(work, **options),
-        f"{work}/stream", available_now)
+    return process_stream(raw_message_stream(spark, path, files_per_trigger), work, available_now, **options)

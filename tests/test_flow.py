@@ -11,7 +11,7 @@ from mailloom.plans.messages import Hooks, PageTable, index_entries, process_mes
 from mailloom.sources import messages as source
 from mailloom.sources import results as sink
 from mailloom.sources.index import VectorIndex
-from mailloom.streaming.messages import ingest_stream
+from mailloom.streaming.messages import ingest_stream, process_stream
 
 MAILS = {
     "email_01_marketing_shop_com.json": {
@@ -164,3 +164,17 @@ def test_results_append(spark, tmp_path):
     back = sink.read_results(spark, path)
     assert back.count() == 2 and {str(r["dt"]) for r in back.collect()} == {"2024-01-02"}
     assert sink.stored_form(rows).select("id").distinct().count() == 2
+
+
+def test_stream_of_whole_messages(spark, tmp_path):
+    (tmp_path / "lines").mkdir()
+    rows = [json.dumps(MAILS["email_03_family_net.json"]), "{bad", json.dumps(MAILS["email_02_transactional_bank_org.json"])]
+    (tmp_path / "lines" / "a.txt").write_text("\n".join(rows))
+    lines = spark.readStream.text(str(tmp_path / "lines"))
+    named = lines.select(F.sha2("value", 256).alias("source_file"), F.col("value").alias("raw"))
+    query = process_stream(named, str(tmp_path / "work"))
+    query.awaitTermination(120)
+    assert query.exception() is None
+    got = sink.read_results(spark, str(tmp_path / "work" / "results"))
+    assert sorted(r["sender_domain"] for r in got.collect()) == ["bank.org", "family.net"]
+    assert spark.read.parquet(str(tmp_path / "work" / "quarantine")).count() == 1
