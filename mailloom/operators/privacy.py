@@ -48,8 +48,11 @@ def privacy_url_candidates(
     if found_links is None:
         return usual.select(site, "url", "pos")
     keyed = sites.select(site, links.normalise_url(base).alias("_page"))
-    from_page = found_links.select(
-        links.normalise_url(F.col("page_url")).alias("_page"), "url", (F.col("pos") + len(paths)).alias("pos"))
+    # A page may have any number of copies; its links are merged before they meet the sites.
+    from_page = (
+        found_links.select(links.normalise_url(F.col("page_url")).alias("_page"), "url", "pos")
+        .groupBy("_page", "url").agg((F.min("pos") + len(paths)).alias("pos"))
+    )
     both = usual.select(site, "url", "pos").unionByName(
         keyed.join(from_page, "_page").select(site, "url", "pos"))
     return both.groupBy(site, "url").agg(F.min("pos").alias("pos"))
