@@ -21,6 +21,7 @@ from mailloom.rules import PII_RULES, PiiRule
 from mailloom.schemas import SPAN
 
 _SPANS = ArrayType(SPAN)
+STRETCH = 1 << 18
 
 
 def select_rules(entities: Sequence[str] | None = None, table: Sequence[PiiRule] = PII_RULES) -> list[PiiRule]:
@@ -162,14 +163,20 @@ def apply_thresholds(
 
 def resolve_overlaps(
     spans: DataFrame, key: str, scores: Sequence[float] = tuple(r.score for r in PII_RULES),
+    stretch: int = STRETCH,
 ) -> DataFrame:
     """Drop each span that lies inside another one of equal or higher score.
 
     Sorted by start, then longer first, everything that can cover a span stands before it, so
     one running maximum of the end per score level decides: n log n, however many spans one
     text has. ``scores`` lists the levels; a level in between counts as the next one below.
+
+    The work is split by stretches of each text, so one huge text is not one task: a span is
+    judged in the stretch where it starts, and stands in all stretches that it touches.
     """
-    order = Window.partitionBy(key).orderBy(
+    first, last = (F.floor(c / stretch) for c in (F.col("start"), F.greatest(F.col("end") - 1, F.col("start"))))
+    placed = spans.withColumn("_stretch", F.explode(F.sequence(first, last)))
+    order = Window.partitionBy(key, "_stretch").orderBy(
         "start", F.col("end").desc(), F.col("score").desc(), "rule",
     ).rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted(set(scores))
@@ -181,7 +188,8 @@ def resolve_overlaps(
         ),
         levels, F.lit(False),
     )
-    return spans.withColumn("_covered", covered).where(~F.col("_covered")).drop("_covered")
+    judged = placed.withColumn("_covered", covered)
+    return judged.where(~F.col("_covered") & (F.col("_stretch") == first)).drop("_covered", "_stretch")
 
 
 def _rewrite(c: Column, how: Callable[[Column], Column] | str, chosen: Sequence[PiiRule]) -> Column:
