@@ -53,3 +53,16 @@ def text_of(column: str | Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def rows_named(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose identifier and text are named, each once, with all their columns.
+
+    named holds doc_id and digest (the text's SHA-256, null counting as empty), a row for each row of docs that is
+    meant. Rows that repeat in both can't be told apart by these, so of them, and only there, duplicates are dropped.
+    """
+    named = named.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_rows"))
+    full = docs.withColumn("_own", F.unhex(F.sha2(text_of(docs[text_col]), 256)))
+    full = full.join(named, full[id_col].eqNullSafe(named["_id"]) & (full["_own"] == named["_digest"]))
+    again = full.filter("_rows > 1").dropDuplicates([id_col, "_own"])
+    return full.filter("_rows = 1").unionByName(again).select(docs.columns)

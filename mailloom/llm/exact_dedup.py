@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailloom.llm.common import look_up, shuffle_partitions, stored, text_of
+from mailloom.llm.common import look_up, rows_named, shuffle_partitions, stored, text_of
 
 FAN_IN = 8
 
@@ -34,7 +34,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
+        rows = pa.Table.from_arrays(batch.columns, batch.schema.names)
         if held is not None:
             rows = pa.concat_tables([held, rows])
         if not rows.num_rows:
@@ -99,16 +99,6 @@ def merged(slim: DataFrame, keep: str = "largest", fan_in: int = FAN_IN) -> Data
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, one per text, with all their columns.
-
-    Rows are found again by identifier and digest. Rows that repeat in both can't be told apart by these, so of
-    such rows of one survivor (and only there) duplicates are dropped.
-    """
+    """The rows of docs that stay, one per text, with all their columns."""
     found = dedup(docs, id_col, text_col, keep)
-    mine = found.filter((F.col("doc_id").eqNullSafe(F.col("keep_id"))))
-    stay = mine.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_rows"))
-    full = docs.withColumn("_own", F.unhex(F.sha2(text_of(docs[text_col]), 256)))
-    full = full.join(stay, full[id_col].eqNullSafe(stay["_id"]) & (full["_own"] == stay["_digest"]))
-    single = full.filter("_rows = 1").select(docs.columns)
-    again = full.filter("_rows > 1").dropDuplicates([id_col, "_own"]).select(docs.columns)
-    return single.unionByName(again)
+    return rows_named(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))), id_col, text_col)

@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import exact_dedup, warc
+from mailloom.llm import exact_dedup, simhash, warc
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and the components of their links."""
+    return simhash.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Write all pages as an archive, read it back: payload length and digest, type and referred page of each."""
     path = new_path(spark, "archive")
@@ -29,6 +35,7 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
     "op7_exact_dedup": op7_exact_dedup,
 }
