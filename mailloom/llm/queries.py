@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import exact_dedup, simhash, warc
+from mailloom.llm import exact_dedup, packing, simhash, warc
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +34,16 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {
