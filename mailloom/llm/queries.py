@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import exact_dedup, packing, simhash, warc
+from mailloom.llm import exact_dedup, mixing, packing, simhash, warc
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("type").alias("record_type"), "refers_to")
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each document the mix of all documents takes."""
+    return mixing.mix(table(spark, folder, "documents")).takes()
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Exact copies over all documents; of equal texts the largest doc_id stays."""
     return exact_dedup.dedup(table(spark, folder, "documents")).select(
@@ -42,6 +47,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
+    "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_packing": op10_packing,
 }
