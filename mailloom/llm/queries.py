@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import exact_dedup, mixing, packing, simhash, warc
+from mailloom.llm import exact_dedup, mixing, packing, quality, simhash, warc
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("type").alias("record_type"), "refers_to")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents; rows held out of training are marked."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return quality.score(docs, table(spark, folder, "labels")).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each document the mix of all documents takes."""
     return mixing.mix(table(spark, folder, "documents")).takes()
@@ -47,6 +55,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_packing": op10_packing,
