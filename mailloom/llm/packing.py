@@ -10,6 +10,8 @@ among the pieces of that length. Ranks come from counts per partition; no length
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,6 +34,12 @@ CACHE = 500_000
 #: Pieces per pattern that the enumeration aims at: fewer pieces take a coarser grid of patterns.
 PER_PATTERN = 8
 ROUNDS = 150
+#: Letters whose lower case and composition don't depend on their neighbours, and marks that no contraction starts with.
+LATIN = re.compile("[a-zà-öø-ÿ]+")
+MARKS = "".join(sorted(set(string.punctuation) - {"'"}))
+#: The tokenizer's characters for bytes: printable ones stand for themselves, the others follow from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
 class Encoder:
@@ -47,16 +55,21 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def letters(self, word: bytes) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word.decode())], "<u4").tobytes()
+    def pretoken(self, token: str) -> bytes:
+        """Ids of lower-case letters, or of marks, which the tokenizer reads as the characters of their bytes."""
+        if not token.isascii():
+            token = token.encode().decode("latin-1").translate(BYTES)
+        return np.array([t.id for t in self.model.tokenize(token)], "<u4").tobytes()
 
     def word(self, word: bytes) -> bytes:
-        if word.isalpha():  # of bytes: ASCII letters only
-            return self.letters(word)
-        stem = word.rstrip(b".,")
-        if stem.isalpha():
-            return self.letters(stem) + self.letters(word[len(stem):])
-        return self.plain(word.decode())
+        """Ids of a word: at once if it is Latin letters and perhaps marks behind them, else by the whole tokenizer."""
+        text = word.decode()
+        stem = text.rstrip(MARKS)
+        low = stem.lower()
+        if not LATIN.fullmatch(low):
+            return self.plain(text)
+        found = self.pretoken(low)
+        return found + self.pretoken(text[len(stem):]) if len(stem) < len(text) else found
 
     def ids(self, text: bytes) -> bytes:
         if any(mark in text for mark in self.marks):
