@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import exact_dedup, mixing, packing, quality, simhash, warc
+from mailloom.llm import exact_dedup, mixing, packing, pii, quality, simhash, warc
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.report(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces of sequences of at most 2048 tokens."""
     return packing.pack(table(spark, folder, "documents"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
