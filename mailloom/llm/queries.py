@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import exact_dedup, mixing, packing, pii, quality, simhash, warc
+from mailloom.llm import exact_dedup, html_text, mixing, packing, pii, quality, simhash, warc
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("type").alias("record_type"), "refers_to")
 
 
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality scores of all documents; rows held out of training are marked."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -60,6 +65,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
+    "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
