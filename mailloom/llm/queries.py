@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import exact_dedup, html_text, mixing, packing, pii, quality, simhash, warc
+from mailloom.llm import exact_dedup, html_text, mixing, packing, pii, quality, rules, simhash, warc
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule figures and verdict of all documents."""
+    return rules.verdicts(table(spark, folder, "documents"))
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.report(table(spark, folder, "documents"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_rules": op8_rules,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
