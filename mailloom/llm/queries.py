@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import exact_dedup, html_text, mixing, packing, pii, quality, rules, simhash, warc
+from mailloom.llm import exact_dedup, html_text, mixing, packing, pii, quality, rules, simhash, substrings, warc
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("type").alias("record_type"), "refers_to")
 
 
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of all documents without their repeated windows of 20 words."""
+    return substrings.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.lower(F.hex("kept_digest")).alias("kept_sha256"))
+
+
 def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of all pages."""
     return html_text.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
@@ -70,6 +76,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
+    "op3_substrings": op3_substrings,
     "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
