@@ -71,10 +71,15 @@ def log_factorial(n: Column) -> Column:
     up = n.cast("double") + 8
     series = 1 / (12 * up) - 1 / (360 * up * up * up) + 1 / (1260 * up * up * up * up * up)
     whole = up * F.log(up) - up + 0.5 * F.log(2 * math.pi * up) + series
-    steps = F.lit(0.0)
+    steps = F.lit(1.0)
     for i in range(1, 9):
-        steps = steps + F.log(n + i)
-    return whole - steps
+        steps = steps * (n + i)
+    return whole - F.log(steps)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once and named, not written out at each place of use."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
 
 
 def hypergeometric(good: Column, other: Column, draws: Column, u: Column) -> Column:
@@ -83,14 +88,27 @@ def hypergeometric(good: Column, other: Column, draws: Column, u: Column) -> Col
     The distribution is summed from its mode outwards until u is passed. Twelve standard deviations hold all of it
     that double precision can tell from nothing.
     """
+    given = F.struct(good.cast("double").alias("good"), other.cast("double").alias("other"),
+                     draws.cast("double").alias("draws"), u.alias("u"))
+    return let(given, lambda g: let(span(g["good"], g["other"], g["draws"]), lambda s: outwards(g, s)))
+
+
+def span(good: Column, other: Column, draws: Column) -> Column:
+    """The support of the distribution, its mode, and how far from the mode to look."""
     n = good + other
-    low, high = F.greatest(F.lit(0), draws - other), F.least(good, draws)
-    mode = F.least(high, F.greatest(low, F.floor((draws + 1) * (good + 1) / (n + 2))))
+    low, high = F.greatest(F.lit(0.0), draws - other), F.least(good, draws)
+    mode = F.least(high, F.greatest(low, F.floor((draws + 1) * (good + 1) / (n + 2)).cast("double")))
+    width = F.ceil(12 * F.sqrt(draws * good * other) / F.greatest(n, F.lit(1.0))) + 12
+    return F.struct(low.alias("low"), high.alias("high"), mode.alias("mode"), width.cast("double").alias("width"))
+
+
+def outwards(given: Column, found: Column) -> Column:
+    good, other, draws, u = (given[c] for c in ("good", "other", "draws", "u"))
+    low, high, mode = (found[c] for c in ("low", "high", "mode"))
     choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
-    top = F.exp(choose(good, mode) + choose(other, draws - mode) - choose(n, draws))
-    mean_part = draws * good / F.greatest(n, F.lit(1))
-    width = F.ceil(12 * F.sqrt(mean_part * other / F.greatest(n, F.lit(1)))) + 12
-    steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.least(width, high - low)).cast("long"))
+    top = F.exp(choose(good, mode) + choose(other, draws - mode) - choose(good + other, draws))
+    most = F.greatest(F.lit(1.0), F.least(found["width"], high - low))
+    steps = F.sequence(F.lit(1).cast("long"), most.cast("long"))
 
     def step(state: Column, i: Column) -> Column:
         up, down = mode + i, mode - i
@@ -105,8 +123,8 @@ def hypergeometric(good: Column, other: Column, draws: Column, u: Column) -> Col
         return F.struct((state["sum"] + p_up + p_down).alias("sum"), p_up.alias("up"), p_down.alias("down"),
                         here.cast("long").alias("found"))
 
-    start = F.struct(top.alias("sum"), top.alias("up"), top.alias("down"),
-                     F.when(u < top, mode).cast("long").alias("found"))
+    start = let(top, lambda p: F.struct(p.alias("sum"), p.alias("up"), p.alias("down"),
+                                        F.when(u < p, mode).cast("long").alias("found")))
     return F.aggregate(steps, start, step, lambda state: F.coalesce(state["found"], mode.cast("long")))
 
 
@@ -128,9 +146,9 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         def deal(state: Column, x: Column) -> Column:
             u = uniform(F.lit(seed), F.lit(depth), F.col("node"), x["_name"])
             left = hypergeometric(x["draws"], state["rest"] - x["draws"], state["take"], u)
-            return F.transform(F.array(left), lambda n: F.struct(  # works n out once
+            return let(left, lambda n: F.struct(
                 (state["rest"] - x["draws"]).alias("rest"), (state["take"] - n).alias("take"),
-                F.concat(state["left"], F.array(n)).alias("left")))[0]
+                F.concat(state["left"], F.array(n)).alias("left")))
 
         start = F.struct(F.col("total").alias("rest"), F.floor(F.col("total") / 2).alias("take"),
                          F.array().cast("array<bigint>").alias("left"))
@@ -141,6 +159,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             F.struct((2 * F.col("node")).alias("node"), child(lambda d, n: n).alias("all")),
             F.struct((2 * F.col("node") + 1).alias("node"), child(lambda d, n: d - n).alias("all")),
         )).alias("at")).select("at.*")
+        node = stored(node, "nodes")  # else the expressions of all levels pile up in one plan
     return node.select(F.col("node").alias("shard"), F.explode("all").alias("at")).select(
         "at._name", "shard", F.col("at.draws").alias("quota"))
 
@@ -186,18 +205,19 @@ class Mix:
             "gap": F.when((F.col("before") < F.col("rest")) & (ends > F.col("rest")), F.col("rest") - F.col("before")),
             "more": ((F.col("before") < F.col("rest")) & (F.col("words") > 0)).cast("long"),
         }), "blocks")
-        # Blocks that are cut, at most one of each source: a run of documents, and the one that fills the gap best.
+        # Blocks that are cut, at most one of each source: a run of its documents, and of all documents that the round
+        # leaves, the one whose size comes nearest to what the run leaves open.
         docs = rows.groupBy("_name", "_block", "_key").agg(F.sum("_size").alias("words"))
-        docs = docs.join(blocks.filter("gap is not null").select("_name", "_block", "gap"), ["_name", "_block"])
+        docs = docs.join(blocks.select("_name", "_block", "gap", "more"), ["_name", "_block"])
         run = Window.partitionBy("_name", "_block").orderBy(F.xxhash64(F.lit(self.seed), F.lit("cut"), "_key"), "_key")
-        docs = docs.withColumn("run", F.sum("words").over(run) <= F.col("gap"))
-        all_ = Window.partitionBy("_name", "_block")
-        left = F.col("gap") - F.coalesce(F.sum(F.when(F.col("run"), F.col("words"))).over(all_), F.lit(0))
-        docs = docs.withColumn("left", left).withColumn("off", F.abs(F.col("words") - F.col("left")))
-        best = F.min(F.when(~F.col("run"), F.struct("off", "_key"))).over(all_)
-        fills = (F.col("_key") == best["_key"]) & (best["off"] < F.col("left"))
-        docs = docs.withColumn("fills", F.coalesce(fills, F.lit(False)))
-        cut = stored(docs.filter("run or fills").select("_name", "_block", "_key", F.lit(1).alias("more")), "cut")
+        cut = stored(docs.filter("gap is not null").withColumn("run", F.sum("words").over(run) <= F.col("gap")), "cut")
+        open_ = cut.groupBy("_name").agg(
+            (F.first("gap") - F.coalesce(F.sum(F.when(F.col("run"), F.col("words"))), F.lit(0))).alias("open"))
+        free = docs.filter("more = 0").unionByName(cut.filter("not run").drop("run"))
+        free = free.join(F.broadcast(open_) if self.few else open_, "_name")
+        best = F.min(F.struct(F.abs(F.col("words") - F.col("open")).alias("off"), "_key", "_block", "open")).alias("best")
+        fills = free.groupBy("_name").agg(best).filter("best.off < best.open").select("_name", "best._block", "best._key")
+        cut = cut.filter("run").select("_name", "_block", "_key").unionByName(fills)
         # Draws of blocks: whole rounds over the permutation, then the blocks of the last round.
         draws = blocks.withColumn("round", F.explode(F.sequence(
             F.lit(0).cast("long"), F.col("full") + F.col("more")))).filter(F.col("round") < F.col("full") + F.col("more"))
@@ -213,17 +233,20 @@ class Mix:
         by_block = draws.join(dealt, ["_name", "at"]).groupBy("_name", "_block").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("round", "shard"))), lambda x: x["shard"]).alias("shards"))
         blocks = blocks.select("_name", "_block", "more", F.col("gap").isNotNull().alias("is_cut"))
-        return stored(blocks.join(by_block, ["_name", "_block"], "left"), "drawn"), cut
+        drawn = stored(blocks.join(by_block, ["_name", "_block"], "left"), "drawn")
+        where = drawn.filter("is_cut").select("_name", F.element_at("shards", -1).alias("_shard"))
+        return drawn, stored(cut.join(F.broadcast(where) if self.few else where, "_name"), "parts")
 
     def decide(self, rows: DataFrame) -> DataFrame:
         """rows (_name, _key) with copies (times taken) and shards (where to, one for each copy)."""
         rows = self._with_source(rows).join(self.blocks, ["_name", "_block"])
-        cut = self.cut.select("_name", "_block", "_key", F.lit(True).alias("_in"))
-        rows = rows.join(cut, ["_name", "_block", "_key"], "left")
-        more = F.when(F.col("is_cut"), F.col("_in").isNotNull().cast("long")).otherwise(F.col("more"))
-        rows = rows.withColumn("copies", F.col("full") + more)
-        shards = F.when(F.col("copies") > 0, F.slice("shards", F.lit(1), F.greatest(F.col("copies"), F.lit(1)).cast("int")))
-        return rows.withColumn("shards", F.coalesce(shards, F.array().cast("array<bigint>")))
+        rows = rows.join(self.cut, ["_name", "_block", "_key"], "left")
+        times = F.col("full") + F.when(F.col("is_cut"), 0).otherwise(F.col("more"))
+        whole = F.when(times > 0, F.slice("shards", F.lit(1), F.greatest(times, F.lit(1)).cast("int")))
+        none = F.array().cast("array<bigint>")
+        part = F.when(F.col("_shard").isNotNull(), F.array("_shard")).otherwise(none)
+        rows = rows.withColumn("shards", F.concat(F.coalesce(whole, none), part))
+        return rows.withColumn("copies", F.size("shards").cast("long"))
 
     def takes(self) -> DataFrame:
         """One row per document: doc_id, size, source_size, target, taken (words), copies, shards."""
