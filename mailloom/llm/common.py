@@ -28,11 +28,31 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df: DataFrame, what: str) -> str:
+    """Work df out once as Parquet in the shared folder; its path. Its shuffle files go at once, since nothing reads
+    them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path := new_path(df.sparkSession, what))
+    finally:
+        conf.set(CLEANUP, before)
+    return path
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df, worked out once as Parquet in the shared folder: lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
+    """df, worked out once and read again: lineage ends here, and lost executors lose nothing."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, what))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def look_up(rows: DataFrame, answers: DataFrame, keys: list[str], slot: str = "slot") -> DataFrame:

@@ -257,8 +257,9 @@ class Mix:
     def documents(self, docs: DataFrame) -> DataFrame:
         """The mix itself: each row of docs as often as it is taken, shard after shard, shuffled within each."""
         names = docs.columns
-        rows = self.decide(keyed(docs, *self.columns, self.seed)).select(
-            *names, "_key", F.posexplode("shards").alias("_copy", "_shard"))
+        taken = self.decide(self.slim).filter("copies > 0").select("_key", "shards").dropDuplicates(["_key"])
+        rows = keyed(docs, *self.columns, self.seed).select(*names, "_key").join(taken, "_key")  # one shuffle of texts
+        rows = rows.select(*names, "_key", F.posexplode("shards").alias("_copy", "_shard"))
         order = F.xxhash64(F.lit(self.seed), F.lit("order"), "_key", "_copy")
         n = shuffle_partitions(docs.sparkSession)
         return rows.repartition(n, "_shard").sortWithinPartitions("_shard", order).select(names)

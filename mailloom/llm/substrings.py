@@ -25,9 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from mailloom.llm.common import look_up, shuffle_partitions, stored, text_of
+from mailloom.llm.common import discard, look_up, shuffle_partitions, store, stored, text_of
 
 WINDOW = 20
 ANCHOR = 6
@@ -168,7 +167,7 @@ class Passages:
         is a hash of a text's words."""
         few = FEW
 
-        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def local(batches: Iterator[pa.RecordBatch], known: bool) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lists = batch["anchors"]
                 sizes = lists.value_lengths().to_numpy()
@@ -184,10 +183,9 @@ class Passages:
                 ends = np.zeros(len(anchor), bool)
                 ends[starts] = True
                 ends[starts + number - 1] = True
-                for chosen, known in ((~many | ends, False), (many, True)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[chosen]), pa.array(same[chosen]), pa.array(place[chosen]),
-                         pa.array(np.full(int(chosen.sum()), known))], ["anchor", "same", "place", "known"])
+                chosen = many if known else ~many | ends
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[chosen]) for x in (anchor, same, place)], ["anchor", "same", "place"])
 
         def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in whole_groups(batches, ["anchor"]):
@@ -199,123 +197,113 @@ class Passages:
                 yield pa.RecordBatch.from_arrays([pa.array(same[chosen]), pa.array(place[chosen])], ["same", "place"])
 
         rows = read.filter(F.size("anchors") > 0).select(self.same(), "anchors", "places")
-        spread = rows.mapInArrow(local, "anchor long, same long, place int, known boolean")
-        spread = stored(spread, "anchors")
-        met = spread.filter("not known").select("anchor", "same", "place").repartition(self.partitions, "anchor")
+        kind = "anchor long, same long, place int"
+        met = rows.mapInArrow(lambda x: local(x, False), kind).repartition(self.partitions, "anchor")
         met = met.sortWithinPartitions("anchor", "same", "place").mapInArrow(repeated, "same long, place int")
-        return met.unionByName(spread.filter("known").select("same", "place"))
+        return met.unionByName(rows.mapInArrow(lambda x: local(x, True), kind).select("same", "place"))
 
     @staticmethod
     def same() -> Column:
         return F.xxhash64("digest").alias("same")
 
     def edges(self, marked: DataFrame) -> DataFrame:
-        """Windows of marked documents whose anchor repeats: their hashes and coordinates. Of windows that are equal
-        within a batch only the earliest keeps its hashes; the others have its coordinates as their source."""
+        """Windows of marked documents whose anchor repeats: 96 bits of hash and coordinates. Of windows that are equal
+        within a batch only the earliest is left open; the others have its coordinates as their source."""
         window, anchor = self.window, self.anchor
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, xts = batch["doc_id"].to_pylist(), batch["xt"].to_pylist()
-                rank = sorted(range(len(ids)), key=lambda i: (ids[i] is None, 0 if ids[i] is None else ids[i], xts[i]))
-                a, b, row, start = [], [], [], []
+                number, a, b, n, start = batch["n"].to_numpy(), [], [], [], []
                 texts, places = batch["text"], batch["places"]
-                rank = [i for k, i in enumerate(rank) if not k or (ids[i], xts[i]) != (ids[rank[k - 1]], xts[rank[k - 1]])]
-                for i in rank:
+                for i in np.unique(number, return_index=True)[1].tolist():
                     words = word_hashes(b" ".join(texts[i].as_py().split()))
                     at = np.flatnonzero(np.isin(anchors(words, window, anchor)[1], places[i].values.to_numpy()))
                     a.append(runs(words, window, WORD_BASES[0])[at])
-                    b.append(runs(words, window, WORD_BASES[1])[at])
-                    row.append(np.full(len(at), i))
+                    b.append(runs(words, window, WORD_BASES[1])[at].view(np.int64) >> 32)
+                    n.append(np.full(len(at), number[i]))
                     start.append(at)
-                if not row:
+                if not n:
                     continue
-                a, b, row, start = map(np.concatenate, (a, b, row, start))
+                a, b, n, start = map(np.concatenate, (a, b, n, start))
                 order = np.lexsort((np.arange(len(a)), b, a))
-                a, b, row, start = a[order], b[order], row[order], start[order]
+                a, b, n, start = a[order], b[order], n[order], start[order]
                 new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
                 first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(a) else np.zeros(0, np.int64)
-                own, old = pa.array(row), pa.array(row[first])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(a.view(np.int64), mask=~new), pa.array(b.view(np.int64), mask=~new),
-                    batch["doc_id"].take(own), batch["xt"].take(own), pa.array(start.astype(np.int32)),
-                    batch["doc_id"].take(old), batch["xt"].take(old), pa.array(start[first].astype(np.int32))],
-                    ["a", "b", "doc_id", "xt", "start", "src_id", "src_xt", "src_start"])
+                    signed(a), pa.array(b.astype(np.int32)), pa.array(n), pa.array(start.astype(np.int32)),
+                    pa.array(n[first], mask=new), pa.array(start[first].astype(np.int32), mask=new)],
+                    ["a", "b", "n", "start", "src_n", "src_start"])
 
-        return marked.select("doc_id", "xt", "text", "places").mapInArrow(
-            of, f"a long, b long, doc_id {self.kind}, xt long, start int, src_id {self.kind}, src_xt long, src_start int")
+        return marked.mapInArrow(of, "a long, b int, n long, start int, src_n long, src_start int")
 
     def repeated_edges(self, edges: DataFrame) -> DataFrame:
-        """Windows that start earlier too, with the coordinates of an earlier start as source."""
+        """Windows that start earlier too, with the coordinates of an earlier start as source. Those that have their
+        source are dealt out by their coordinates and just pass."""
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in whole_groups(batches, ["a", "b"]):
-                a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+            names = ["n", "start", "src_n", "src_start"]
+            for rows in whole_groups(batches, ["key"]):
+                known = pc.is_valid(rows["src_n"])
+                yield from rows.filter(known).select(names).to_batches()
+                rows = rows.filter(pc.invert(known))
+                if not rows.num_rows:
+                    continue
+                a, b, n, start = (rows[c].to_numpy() for c in ("key", "b", "n", "start"))
                 new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
                 first = np.flatnonzero(new)[np.cumsum(new) - 1]
-                own, old = rows.filter(pa.array(~new)), rows.take(pa.array(first[~new]))
-                itself = pc.and_(pc.equal(own["xt"], old["xt"]), pc.equal(own["start"], old["start"]))  # a repeated row
-                one = pc.or_(pc.fill_null(pc.equal(own["doc_id"], old["doc_id"]), False),
-                             pc.and_(pc.is_null(own["doc_id"]), pc.is_null(old["doc_id"])))
-                other = pc.invert(pc.and_(itself, one))
-                own, old = own.filter(other), old.filter(other)
-                columns = [*(own[c] for c in ("doc_id", "xt", "start")), *(old[c] for c in ("doc_id", "xt", "start"))]
-                yield from pa.Table.from_arrays(
-                    columns, ["doc_id", "xt", "start", "src_id", "src_xt", "src_start"]).to_batches()
-
-        met = edges.filter("a is not null").select("a", "b", "doc_id", "xt", "start").repartition(self.partitions, "a")
-        met = met.sortWithinPartitions("a", "b", F.col("doc_id").asc_nulls_last(), "xt", "start")
-        met = met.mapInArrow(of, f"doc_id {self.kind}, xt long, start int, src_id {self.kind}, src_xt long, src_start int")
-        return met.unionByName(edges.filter("a is null").drop("a", "b"))
+                other = (n != n[first]) | (start != start[first])  # a repeated row isn't its own copy
+                first = first[other]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (n[other], start[other], n[first], start[first])], names)
+
+        key = F.when(F.col("src_n").isNull(), F.col("a")).otherwise(F.xxhash64("n", "start"))
+        met = edges.select(key.alias("key"), "b", "n", "start", "src_n", "src_start").repartition(self.partitions, "key")
+        return met.sortWithinPartitions("key", "b", "n", "start").mapInArrow(
+            of, "n long, start int, src_n long, src_start int")
 
     def spans(self, repeated: DataFrame) -> DataFrame:
         """Paths of repeated edges that don't branch, as spans: start and number of words, and their source."""
-        order = Window.partitionBy("doc_id", "xt").orderBy("start")
-        on = ((F.lag("start").over(order) == F.col("start") - 1)
-              & F.lag("src_id").over(order).eqNullSafe(F.col("src_id")) & (F.lag("src_xt").over(order) == F.col("src_xt"))
+        order = Window.partitionBy("n").orderBy("start", "src_n", "src_start")
+        on = ((F.lag("start").over(order) == F.col("start") - 1) & (F.lag("src_n").over(order) == F.col("src_n"))
               & (F.lag("src_start").over(order) == F.col("src_start") - 1))
         path = repeated.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("path", F.sum("new").over(order))
-        return path.groupBy("doc_id", "xt", "path", "src_id", "src_xt").agg(
+        return path.groupBy("n", "path", "src_n").agg(
             F.min("start").alias("start"), F.min("src_start").alias("src_start"),
-            (F.count("*") + self.window - 1).alias("n")).drop("path")
+            (F.count("*") + self.window - 1).alias("words")).drop("path")
 
     def cut(self, marked: DataFrame, spans: DataFrame) -> DataFrame:
         """Two kinds of rows: documents with what is left of them (n_removed, kept), and for every span, and for the
-        source of every span, the digest of its words, under the source's coordinates (at_id, at_xt, at_start, n)."""
+        source of every span, the digest of its words, under the source's coordinates (at_n, at_start, words)."""
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("doc_id", kind), ("xt", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()),
-                                ("at_id", kind), ("at_xt", pa.int64()), ("at_start", pa.int32()), ("n", pa.int64()),
-                                ("digest", pa.binary())])
+            schema = pa.schema([
+                ("n", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("at_n", pa.int64()),
+                ("at_start", pa.int32()), ("words", pa.int64()), ("digest", pa.binary())])
             for batch in batches:
                 out = []
                 for row in batch.to_pylist():
                     words = row["text"].split()
                     gone = np.zeros(len(words), bool)
                     for ask in row["asks"]:
-                        part = slice(ask["start"], ask["start"] + ask["n"])
+                        part = slice(ask["start"], ask["start"] + ask["words"])
                         if ask["own"]:
                             gone[part] = True
-                        out.append((None, None, None, None, ask["at_id"], ask["at_xt"], ask["at_start"], ask["n"],
+                        out.append((None, None, None, ask["at_n"], ask["at_start"], ask["words"],
                                     hashlib.sha256(b" ".join(words[part])).digest()))
                     kept = b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
-                    out.append((row["doc_id"], row["xt"], int(gone.sum()), hashlib.sha256(kept).digest(), *[None] * 5))
+                    out.append((row["n"], int(gone.sum()), hashlib.sha256(kept).digest(), *[None] * 4))
                 columns = list(zip(*out, strict=True)) or [()] * len(schema)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        kind = to_arrow_type(self.docs.schema["doc_id"].dataType)
-        source = [F.col("src_id").alias("at_id"), F.col("src_xt").alias("at_xt"), F.col("src_start").alias("at_start")]
-        own = spans.select("doc_id", "xt", F.lit(True).alias("own"), "start", "n", *source)
-        theirs = spans.select(F.col("src_id").alias("doc_id"), F.col("src_xt").alias("xt"), F.lit(False).alias("own"),
-                              F.col("src_start").alias("start"), "n", *source).distinct()
-        asks = own.unionByName(theirs).groupBy(F.col("doc_id").alias("_id"), F.col("xt").alias("_xt")).agg(
-            F.collect_list(F.struct("own", "start", "n", "at_id", "at_xt", "at_start")).alias("asks"))
-        rows = marked.select("doc_id", "xt", "text")
-        rows = rows.join(asks, rows["doc_id"].eqNullSafe(asks["_id"]) & (rows["xt"] == asks["_xt"]))
-        return rows.select("doc_id", "xt", "text", "asks").mapInArrow(
-            of, f"doc_id {self.kind}, xt long, n_removed long, kept binary, at_id {self.kind}, at_xt long, at_start int, "
-                "n long, digest binary")
+        source = [F.col("src_n").alias("at_n"), F.col("src_start").alias("at_start")]
+        own = spans.select("n", F.lit(True).alias("own"), "start", "words", *source)
+        theirs = spans.select(F.col("src_n").alias("n"), F.lit(False).alias("own"), F.col("src_start").alias("start"),
+                              "words", *source).distinct()
+        asks = own.unionByName(theirs).groupBy("n").agg(
+            F.collect_list(F.struct("own", "start", "words", "at_n", "at_start")).alias("asks"))
+        return marked.select("n", "text").join(asks, "n").mapInArrow(
+            of, "n long, n_removed long, kept binary, at_n long, at_start int, words long, digest binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -327,28 +315,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last. Rows that repeat in identifier and text are one document, and give equal rows; rows that share the identifier
     only are ordered by a hash of their texts. An empty table gives no rows; other columns aren't looked at.
     """
-    job = Passages(docs, id_col, text_col, window, anchor)
-    read = stored(job.read(), "read")
+    job, spark = Passages(docs, id_col, text_col, window, anchor), docs.sparkSession
+    read_path = store(reading := job.read(), "read")
+    read = spark.read.schema(reading.schema).parquet(read_path)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xt")).alias("first")
     firsts = read.groupBy("digest").agg(first)
     rows = stored(look_up(read.drop("anchors", "places"), firsts, ["digest"]).select(
         "doc_id", "xt", "n_words", "digest", job.same(),
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("xt") == F.col("first.xt"))).alias("is_first"),
     ), "firsts")
-    places = job.repeated_anchors(read).groupBy("same").agg(F.collect_set("place").alias("places"))
-    names = rows.filter("is_first").select("doc_id", "xt", "same").distinct().join(places, "same")
-    names = names.select(F.col("doc_id").alias("_id"), F.col("xt").alias("_xt"), "places")
+    # Numbers in the order of documents: partitions are ranges, and rows within them are sorted.
+    order = [F.col("doc_id").asc_nulls_last(), F.col("xt").asc()]
+    numbered = rows.filter("is_first").select("doc_id", "xt", "same").distinct()
+    numbered = numbered.repartitionByRange(job.partitions, *order).sortWithinPartitions(*order)
+    numbered = stored(numbered.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    places = stored(job.repeated_anchors(read).groupBy("same").agg(F.collect_set("place").alias("places")), "places")
+    discard(spark, read_path)
+    names = numbered.select(F.col("doc_id").alias("_id"), F.col("xt").alias("_xt"), "n", "same").join(places, "same")
     marked = job.docs.join(names, job.docs["doc_id"].eqNullSafe(names["_id"]) & (job.docs["xt"] == names["_xt"]))
-    marked = stored(marked.select("doc_id", "xt", "text", "places"), "marked")
-    once = stored(job.edges(marked), "edges")
-    spans = stored(job.spans(job.repeated_edges(once).distinct()), "spans")
+    marked_path = store(marking := marked.select("n", "text", "places"), "marked")
+    marked = spark.read.schema(marking.schema).parquet(marked_path)
+    spans = stored(job.spans(job.repeated_edges(job.edges(marked))), "spans")
     cut = stored(job.cut(marked, spans), "cut")
-    same = cut.filter("digest is not null").groupBy("at_id", "at_xt", "at_start", "n").agg(
+    discard(spark, marked_path)
+    same = cut.filter("digest is not null").groupBy("at_n", "at_start", "words").agg(
         F.min("digest").alias("least"), F.max("digest").alias("most"))
     if not same.filter("least <> most").isEmpty():
         raise ValueError("a span differs from the words at its source")
-    left = cut.filter("kept is not null").select(
-        F.col("doc_id").alias("_id"), F.col("xt").alias("_xt"), "n_removed", "kept").distinct()
+    left = cut.filter("kept is not null").select("n", "n_removed", "kept").distinct().join(numbered, "n")
+    left = left.select(F.col("doc_id").alias("_id"), F.col("xt").alias("_xt"), "n_removed", "kept")
     out = rows.join(left, rows["doc_id"].eqNullSafe(left["_id"]) & (rows["xt"] == left["_xt"]) & rows["is_first"], "left")
     copy = ~F.col("is_first") & (F.col("n_words") >= window)
     return out.select(
