@@ -35,12 +35,13 @@ FEW_SOURCES = 10_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """docs with _name (a source's name, never null), _size (words) and _key (a hash of identifier and text)."""
+    """docs with _name (a source's name, never null), _size (words) and _key (a hash of identifier,
+    source and text)."""
     text = text_of(docs[text_col])
+    name = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit(""))
     return docs.withColumns({
-        "_name": F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("")),
-        "_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "_key": F.xxhash64(F.lit(seed), docs[id_col], text),
+        "_name": name, "_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
+        "_key": F.xxhash64(F.lit(seed), docs[id_col], name, text),
     })
 
 
@@ -268,8 +269,8 @@ class Mix:
 def mix(docs: DataFrame, **options) -> Mix:
     """A mix of docs. Each source's taken words come near its target, and no document is taken over max_repeats times.
 
-    A null text has size 0; a null source is a source of its own, the last one. Rows that repeat in identifier and
-    text are taken alike. Documents without words are never taken in part rounds but come along in whole ones. A table
+    A null text has size 0; a null source is a source of its own, the last one. Rows that repeat in identifier,
+    source and text are taken alike. Documents without words are never taken in part rounds but come along in whole ones. A table
     without words has targets of 0; an empty one gives no rows. Extra columns are kept and don't matter, but for names
     that start with an underscore, which the mix uses.
     """
