@@ -16,8 +16,8 @@ class EngineConfig:
     similar_domain_weight: float = 0.8
     default_domain_weight: float = 0.5
     footer_lines_count: int = 3
-    max_email_length: int | None = 10_000
-    max_policy_length: int = 8_000
+    max_email_length: int | None = None
+    max_policy_length: int | None = None
     embedding_size: int = 256
     min_page_length: int = 100
     match_candidates: int = 10

@@ -69,7 +69,7 @@ def footer_from_html(
         pattern = (
             rf"(?is)<footer{classed}>.*?(?:</footer\s*>|\z)|<div{classed}>.*?(?:</div\s*>|\z){plain}"
         )
-        last = F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(-1))
+        last = F.try_element_at(F.regexp_extract_all(tx.drop_invisible(c), F.lit(pattern), F.lit(0)), F.lit(-1))
         found = tx.collapse_whitespace(tx.strip_tags(last))
     # Cleaned HTML is one line, so the last-lines rule can apply only when one line is enough.
     shown = tx.bind(found, lambda f: F.when(f != "", f))

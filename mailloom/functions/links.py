@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailloom import rules
-from mailloom.functions.text import bind, decode_entities, strip_whitespace
+from mailloom.functions.text import bind, decode_entities, drop_invisible, strip_whitespace
 
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*" + _VALUE
@@ -36,13 +36,16 @@ def is_absolute(url: Column) -> Column:
 
 def html_urls(html: Column) -> Column:
     """Absolute link targets, then absolute media sources; first occurrence wins."""
-    both = F.concat(F.filter(hrefs(html), is_absolute), F.filter(sources(html), is_absolute))
-    return F.array_distinct(F.coalesce(both, F.array().cast("array<string>")))
+    def found(shown: Column) -> Column:
+        both = F.concat(F.filter(hrefs(shown), is_absolute), F.filter(sources(shown), is_absolute))
+        return F.array_distinct(F.coalesce(both, F.array().cast("array<string>")))
+
+    return bind(drop_invisible(html), found)
 
 
 def anchors(html: Column) -> Column:
     """array<struct<href, label>> of the links of a page, in order."""
-    hits = F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0))
+    hits = F.regexp_extract_all(drop_invisible(html), F.lit(_ANCHOR), F.lit(0))
     return F.transform(hits, lambda a: F.struct(
         _unquote(F.regexp_extract(a, _HREF, 1)).alias("href"),
         F.regexp_replace(F.regexp_replace(a, r"<[^>]+>", ""), r"\s+", " ").alias("label"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from html.entities import html5, name2codepoint
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -30,6 +30,9 @@ _TAG = (
     r"|</?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>"
 )
 
+#: Where truncate cuts unless told otherwise.
+TRUNCATE_LIMIT = 10_000
+
 # "&amp;" comes last so that "&amp;lt;" decodes once, to "&lt;".
 _COMMON_ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
@@ -72,7 +75,8 @@ def _decode_one(hit: Column) -> Column:
     """One reference. A name without its semicolon, or with letters after it, still counts if it
     is one of the old names that may stand so; the longest such name wins."""
     bare = {k: v for k, v in html5.items() if not k.endswith(";")}
-    names = _constant_map({**{k: chr(n) for k, n in name2codepoint.items()}, **bare, "apos": "'"}, "string")
+    names = _constant_map({k.removesuffix(";"): v for k, v in html5.items()}, "string")
+    old = _constant_map(bare, "string")
     body = F.regexp_replace(hit, "^&|;$", "")
     is_hex = body.rlike("^#[xX]")
     digits = F.when(is_hex, F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2)))
@@ -80,7 +84,7 @@ def _decode_one(hit: Column) -> Column:
 
     def by_prefix(prefix: Column) -> Column:
         rest = F.substr(hit, F.char_length(prefix) + 2)
-        return F.when(prefix != "", F.concat(F.try_element_at(names, prefix), rest)).otherwise(hit)
+        return F.when(prefix != "", F.concat(F.try_element_at(old, prefix), rest)).otherwise(hit)
 
     longest_first = "|".join(sorted(bare, key=lambda k: (-len(k), k)))
     prefixed = bind(F.regexp_extract(body, f"^(?:{longest_first})", 0), by_prefix)
@@ -110,6 +114,11 @@ def strip_whitespace(c: Column) -> Column:
     return F.trim(c, F.lit(_SPACES))
 
 
+def drop_invisible(c: Column) -> Column:
+    """A document without comments, scripts and styles."""
+    return F.when(c.rlike(r"(?i)<(?:script|style|!--)"), F.regexp_replace(c, _INVISIBLE, "")).otherwise(c)
+
+
 def strip_tags(c: Column) -> Column:
     """Drop invisible elements and tags and decode references; white space stays as it is."""
     return decode_entities(F.regexp_replace(F.regexp_replace(c, _INVISIBLE, ""), _TAG, ""))
@@ -125,7 +134,7 @@ def strip_tags_basic(c: Column) -> Column:
     return collapse_whitespace(F.regexp_replace(c, "<[^>]+>", ""))
 
 
-def truncate(c: Column, limit: int | None = DEFAULT_CONFIG.max_email_length) -> Column:
+def truncate(c: Column, limit: int | None = TRUNCATE_LIMIT) -> Column:
     """Cut at ``limit`` characters and mark the cut; no limit keeps the whole text."""
     if limit is None:
         return c

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from mailloom import rules
 from mailloom.functions import domains, links
 from mailloom.functions.text import bind
-from mailloom.operators.skew import lookup_join
+from mailloom.operators.skew import cut_lineage, lookup_join
 from mailloom.schemas import EXTRACTED, MODEL_REPLY
 
+#: Times that a prompt is asked by itself after its batch has failed.
+ATTEMPTS = 3
 Keywords = Sequence[tuple[str, Sequence[str]]]
 
 DEFAULT_PROMPT = (
@@ -96,19 +98,38 @@ def parse_reply(reply: Column) -> Column:
 
 
 def call_model(df: DataFrame, prompt_col: str, reply_col: str, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Add the model's reply. Equal prompts are asked once; a failing batch gives null replies."""
+    """Add the model's reply. Equal prompts are asked once, and the replies are stored before they are joined.
+
+    Where a batch fails, its prompts are asked one by one, each up to ``ATTEMPTS`` times; one that still fails has a
+    null reply, and so hits no other.
+    """
+
+    def ask(prompts: pd.Series) -> list:
+        found = list(model(prompts))
+        if len(found) != len(prompts):
+            raise ValueError(f"{len(found)} replies to {len(prompts)} prompts")
+        return found
+
+    def one(prompts: pd.Series):
+        for _ in range(ATTEMPTS):
+            try:
+                return ask(prompts)[0]
+            except Exception:
+                continue
+        return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            prompts = batch["_prompt"]
             try:
-                replies = pd.Series(list(model(batch["_prompt"])), dtype=object)
+                replies = ask(prompts)
             except Exception:
-                replies = pd.Series([None] * len(batch), dtype=object)
-            yield pd.DataFrame({"_key": batch["_key"].values, reply_col: replies.values})
+                replies = [one(prompts.iloc[i: i + 1]) for i in range(len(prompts))]
+            yield pd.DataFrame({"_key": batch["_key"].values, reply_col: pd.Series(replies, dtype=object).values})
 
     keyed = df.withColumn("_key", F.sha2(prompt_col, 256))
     asked = keyed.select("_key", F.col(prompt_col).alias("_prompt")).dropDuplicates(["_key"])
-    replies = asked.mapInPandas(run, f"_key string, {reply_col} string")
+    replies = cut_lineage(asked.mapInPandas(run, f"_key string, {reply_col} string"))
     return lookup_join(keyed, replies, "_key").drop("_key")
 
 

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom import rules
+from mailloom.functions.domains import is_valid_email
 from mailloom.functions.text import bind
 
 
 def problem(raw: Column, required: Sequence[str] = rules.REQUIRED_KEYS) -> Column:
     """Why a raw JSON message is unusable; null for a good one.
 
-    A key counts as given even when its value is null. ``from_email`` stands in for ``from``.
+    A key counts as given even when its value is null. ``from_email`` stands in for ``from``. A sender that is given
+    must be an address.
     """
 
     def lacking(keys: Column) -> Column:
@@ -25,8 +27,11 @@ def problem(raw: Column, required: Sequence[str] = rules.REQUIRED_KEYS) -> Colum
         return (
             F.when(missing.isNull(), F.lit("invalid JSON"))
             .when(F.size(missing) > 0, F.concat(F.lit("missing required fields: "), F.array_join(missing, ", ")))
+            .when(~is_valid_email(sender), F.lit("invalid sender"))
         )
 
+    sender = F.coalesce(F.get_json_object(raw, "$.from"), F.get_json_object(raw, "$.from_email"))
+
     return bind(lacking(F.json_object_keys(raw)), reason)
 
 

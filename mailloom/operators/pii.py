@@ -20,6 +20,11 @@ from mailloom.functions.text import bind, rewrite_hits
 from mailloom.rules import PII_RULES, PiiRule
 from mailloom.schemas import SPAN
 
+#: Marks of a hit's first and further characters (noncharacters, which no text interchanges), and a run of them.
+_FIRST, _FURTHER = "\ufdd0", "\ufdd1"
+_RUN = f"(?s){_FIRST}.(?:{_FURTHER}.)*+"
+#: Rules and models have a few fixed scores; each is a level of resolve_overlaps.
+MOST_LEVELS = 200
 _SPANS = ArrayType(SPAN)
 STRETCH = 1 << 18
 
@@ -162,14 +167,15 @@ def apply_thresholds(
 
 
 def resolve_overlaps(
-    spans: DataFrame, key: str, scores: Sequence[float] = tuple(r.score for r in PII_RULES),
+    spans: DataFrame, key: str, scores: Sequence[float] | None = None,
     stretch: int = STRETCH,
 ) -> DataFrame:
     """Drop each span that lies inside another one of equal or higher score.
 
     Sorted by start, then longer first, everything that can cover a span stands before it, so
     one running maximum of the end per score level decides: n log n, however many spans one
-    text has. ``scores`` lists the levels; a level in between counts as the next one below.
+    text has. ``scores`` lists the levels
+    that occur; by default they are read off the spans, one per rule and model.
 
     The work is split by stretches of each text, so one huge text is not one task: a span is
     judged in the stretch where it starts, and stands in all stretches that it touches.
@@ -179,7 +185,10 @@ def resolve_overlaps(
     order = Window.partitionBy(key, "_stretch").orderBy(
         "start", F.col("end").desc(), F.col("score").desc(), "rule",
     ).rowsBetween(Window.unboundedPreceding, -1)
-    levels = sorted(set(scores))
+    levels = sorted(set(scores)) if scores is not None else sorted(
+        r["score"] for r in spans.select("score").distinct().limit(MOST_LEVELS + 1).collect())
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"over {MOST_LEVELS} different scores; round them to levels first")
     covered = reduce(
         lambda acc, level: acc | (
             (F.col("score") <= level)
@@ -192,19 +201,47 @@ def resolve_overlaps(
     return judged.where(~F.col("_covered") & (F.col("_stretch") == first)).drop("_covered", "_stretch")
 
 
-def _rewrite(c: Column, how: Callable[[Column], Column] | str, chosen: Sequence[PiiRule]) -> Column:
-    def apply(text: Column, rule: PiiRule) -> Column:
-        pattern = regex_of(rule)
+def _rewrite(c: Column, how: Callable[[Column], Column], chosen: Sequence[PiiRule]) -> Column:
+    """Every hit put through ``how``. All hits are looked for in the text as it came; those that overlap are united.
 
-        def step(t: Column) -> Column:
-            done = F.regexp_replace(t, pattern, how) if isinstance(how, str) else rewrite_hits(t, pattern, how)
-            return F.when(gate(t, rule), done).otherwise(t)
-
-        return bind(text, step)
+    Where one rule hits, its hits are rewritten as they stand. Where several do, each rule marks the first and the
+    further characters of its hits, the marks are united place by place, and each run of marks is rewritten.
+    """
+    def hits(t: Column, rule: PiiRule) -> Column:
+        return F.coalesce(gate(t, rule) & t.rlike(regex_of(rule)), F.lit(False))
+
+    def marked(t: Column, rule: PiiRule) -> Column:
+        marks = rewrite_hits(t, regex_of(rule), lambda h: F.concat(
+            F.lit(_FIRST), F.repeat(F.lit(_FURTHER), F.char_length(h) - 1)))
+        return F.split(marks, "")
+
+    def unite(t: Column, which: Column) -> Column:
+        def step(acc: Column, rule: PiiRule, i: int) -> Column:
+            both = F.zip_with(acc, marked(t, rule), lambda a, b: F.when(
+                (a == _FURTHER) | (b == _FURTHER), F.lit(_FURTHER)).when(b == _FIRST, F.lit(_FIRST)).otherwise(a))
+            return F.when(which[i], both).otherwise(acc)
+
+        chars = F.split(t, "")
+        united = chars
+        for i, rule in enumerate(chosen):
+            united = step(united, rule, i)
+        joined = F.array_join(F.zip_with(united, chars, lambda u, ch: F.when(
+            u.isin(_FIRST, _FURTHER), F.concat(u, ch)).otherwise(ch)), "")
+        return rewrite_hits(joined, _RUN, lambda h: how(F.regexp_replace(h, f"(?s)[{_FIRST}{_FURTHER}](.)", "$1")))
+
+    def one(t: Column, which: Column) -> Column:
+        done = F
+        for i, rule in enumerate(chosen):
+            done = done.when(which[i], rewrite_hits(t, regex_of(rule), how))
+        return done.otherwise(t)
+
+    def rewritten(t: Column) -> Column:
+        return bind(F.array(*(hits(t, r) for r in chosen)), lambda which: F.when(
+            F.size(F.filter(which, lambda x: x)) > 1, unite(t, which)).otherwise(one(t, which)))
 
     if not chosen:
         return c
-    return bind(c, lambda t: F.when(any_gate(t, chosen), reduce(apply, chosen, t)).otherwise(t))
+    return bind(c, lambda t: F.when(any_gate(t, chosen), rewritten(t)).otherwise(t))
 
 
 def mask(
@@ -229,8 +266,7 @@ def replace(
     value: str = rules.REDACTED,
 ) -> Column:
     """Put a fixed text in place of each hit."""
-    literal = value.replace("\\", "\\\\").replace("$", "\\$")
-    return _rewrite(c, literal, select_rules(entities, table))
+    return _rewrite(c, lambda hit: F.when(hit.isNotNull(), F.lit(value)), select_rules(entities, table))
 
 
 def hash_spans(

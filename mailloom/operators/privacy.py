@@ -16,18 +16,27 @@ from mailloom import rules
 from mailloom.config import DEFAULT_CONFIG
 from mailloom.functions import domains, links, text
 from mailloom.operators.classify import call_model
-from mailloom.operators.skew import lookup_join
-from mailloom.rules import DpoWords
+from mailloom.operators.skew import cut_lineage, lookup_join
+from mailloom.rules import FOUND_EMAIL, DpoWords
 
 NOT_FOUND = "No DPO email found in privacy policies"
 NO_URLS = "No privacy policy URLs found"
 
 
 def dpo_email(c: Column, words: DpoWords = DpoWords()) -> Column:
-    """The first address by the first pattern that gives one."""
+    """The first address by the first pattern that gives one.
+
+    A pattern that starts with an address is tried only where a run of its characters starts: a match from there is
+    the leftmost, and a long run without one takes linear time.
+    """
+    start = f"(?i)({FOUND_EMAIL})"
+    patterns = [
+        p.replace(start, f"(?i)(?<![a-zA-Z0-9._%+-])({FOUND_EMAIL})", 1) if p.startswith(start) else p
+        for p in words.patterns()
+    ]
 
     def first(t: Column) -> Column:
-        tries = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in words.patterns()]
+        tries = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in patterns]
         return F.when(t.contains("@"), F.coalesce(*tries))
 
     return text.bind(c, first)
@@ -80,7 +89,7 @@ def privacy_links(
 
 def page_contacts(
     pages: DataFrame, page_id: str, url: str, html: str, words: DpoWords = DpoWords(),
-    limit: int | None = None, model: Callable[[pd.Series], pd.Series] | None = None,
+    limit: int | None = None, min_length: int = 0, model: Callable[[pd.Series], pd.Series] | None = None,
 ) -> DataFrame:
     """(page_key, contact): one data-protection address per page address.
 
@@ -88,7 +97,7 @@ def page_contacts(
     model is asked first, on at most the configured length; the patterns are the fallback.
     """
     may_have = F.col(html).contains("@") | F.col(html).contains("&#") | F.col(html).contains("&commat;")
-    content = text.clean_page(F.col(html))
+    content = text.clean_page(F.col(html), min_length)
     if limit is not None:
         content = text.truncate(content, limit)
     rows = (pages if model else pages.where(may_have)).select(
@@ -149,5 +158,5 @@ def enrich_dpo(messages: DataFrame, policies: DataFrame, website: str, dpo: str,
     missing = (F.coalesce(dpo, F.lit("")) == "") & (F.coalesce(website, F.lit("")) != "")
     known = policies.where("success").select(F.col(site).alias("_site"), F.col("dpo_email").alias("_found"))
     keyed = messages.withColumn("_site", F.when(missing, F.col(website)))
-    joined = lookup_join(keyed, known, "_site")
+    joined = lookup_join(keyed, cut_lineage(known), "_site")
     return joined.withColumn(dpo, F.coalesce("_found", dpo)).drop("_site", "_found").select(*messages.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,31 +32,17 @@ def lookup_join(
     return spread.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left"))
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a small input that lies in few files.
-
-    Only inputs with fewer splits than cores are moved, so what is moved is less than one split
-    per core; larger tables stay where they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; one of our own only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="mailloom-checkpoint-")
-    return folder
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset, one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store a table that several later steps read, in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Store a table that several later steps read, as Parquet in the shared folder, so that each reads the columns
+    it needs. It goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/mailloom-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from mailloom.functions import domains, footers, links, text
 from mailloom.operators import (
     classify, embed, ingest, lsh, metadata, neighbours, pii, privacy, reports, similarity, store,
 )
-from mailloom.operators.skew import cut_lineage, shared_folder, spread_small
+from mailloom.operators.skew import cut_lineage, shared_folder
 from mailloom.plans import messages as plan
 from mailloom.rules import DpoWords, PiiRule
 from mailloom.sources import tables as src
@@ -47,11 +47,11 @@ def _r(c: Column | str, digits: int = 6) -> Column:
 
 
 def _docs(spark, sf):
-    return spread_small(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def _pages(spark, sf):
-    return spread_small(table(spark, sf, "pages"), "page_id")
+    return table(spark, sf, "pages")
 
 
 # --- intake -----------------------------------------------------------------------------------

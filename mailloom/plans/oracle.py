@@ -196,10 +196,10 @@ SCORED = f"""select *, similarity * domain_weight as confidence from (
 BEST = f"""select * from (select *, row_number() over (partition by q_id order by confidence desc, distance, c_id) as pos
     from ({SCORED})) where pos = 1"""
 
-RAW = """(select doc_id, case when source = 'src3' then full_raw[1:40] else full_raw end as raw from (
+RAW = """(select doc_id, case when source = 'src3' then full_raw[1:length(full_raw) - 1] else full_raw end as raw from (
     select doc_id, source, case
-      when lang = 'de' then json_object('from_email', 'u' || doc_id || '@' || source || '.example', 'subject', 'Message ' || doc_id)::varchar
-      when lang = 'es' then json_object('from', 'u' || doc_id || '@' || source || '.example', 'subject', 'Message ' || doc_id, 'html_content', null)::varchar
+      when lang = 'de' then json_object('from_email', 'u' || doc_id || '@' || source || '.example', 'subject', 'Message ' || doc_id, 'text_content', text)::varchar
+      when lang = 'es' then json_object('from', 'u' || doc_id || '@' || source || '.example', 'subject', 'Message ' || doc_id, 'text_content', text, 'html_content', null)::varchar
       else json_object('from', 'u' || doc_id || '@' || source || '.example', 'subject', 'Message ' || doc_id, 'html_content', text)::varchar
     end as full_raw from documents))"""
 CHECKED = f"""(select doc_id as email_id, raw, case when not json_valid(raw) then 'invalid JSON'
@@ -225,7 +225,7 @@ def dpo(e: str) -> str:
 POLICIES = f"""(with contacts as (
       select site, path, arg_min(contact, doc_id) as contact from (
         select doc_id, site, path, {dpo('t')} as contact from (
-          select doc_id, site, path, {strip('text')} as t from {CRAWL}) where length(t) > 100)
+          select doc_id, site, path, {strip('text')} as t from {CRAWL}) where length(t) > 0)
       where contact is not null group by all),
     placed as (select site, contact, 'https://' || site || path as url, list_position({_PATHS}, path) as pos
       from contacts where list_position({_PATHS}, path) is not null),

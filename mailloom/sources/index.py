@@ -22,9 +22,16 @@ class VectorIndex:
     def _manifest(self) -> DataFrame | None:
         try:
             return self.spark.read.schema("generation int, published timestamp").parquet(f"{self.path}/manifest")
-        except AnalysisException:
+        except AnalysisException as error:
+            self._only_missing(error)
             return None
 
+    @staticmethod
+    def _only_missing(error: AnalysisException) -> None:
+        """A path that isn't there is an empty index; anything else is an error."""
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise error
+
     def _current(self) -> int:
         manifest = self._manifest()
         newest = None if manifest is None else manifest.agg(F.max("generation").alias("g")).first()["g"]
@@ -38,7 +45,8 @@ class VectorIndex:
         try:
             rows = self.spark.read.option("basePath", self._folder(self._current())).parquet(
                 f"{self._folder(self._current())}/batch=*")
-        except AnalysisException:
+        except AnalysisException as error:
+            self._only_missing(error)
             return self.spark.createDataFrame([], INDEX_ENTRY)
         if before_batch is not None:
             rows = rows.where(F.col("batch") < before_batch)

@@ -37,17 +37,19 @@ def html_messages(pages: DataFrame) -> DataFrame:
 
 
 def raw_messages(documents: DataFrame) -> DataFrame:
-    """JSON messages. Texts of one language lack a body, another's bodies are null, and the
-    messages of one source are cut off, so that every kind of problem occurs."""
+    """JSON messages. Texts of one language come under another key, another's HTML is null beside the text, and the
+    messages of one source lack their last character, so that every kind of problem occurs in whole messages."""
     sender = F.concat(F.lit("u"), F.col("doc_id"), F.lit("@"), F.col("source"), F.lit(".example"))
     subject = F.concat(F.lit("Message "), F.col("doc_id"))
     whole = F.to_json(F.struct(sender.alias("from"), subject.alias("subject"), F.col("text").alias("html_content")))
     empty = F.concat(
-        F.regexp_replace(F.to_json(F.struct(sender.alias("from"), subject.alias("subject"))), r"\}$", ""),
+        F.regexp_replace(F.to_json(F.struct(
+            sender.alias("from"), subject.alias("subject"), F.col("text").alias("text_content"))), r"\}$", ""),
         F.lit(',"html_content":null}'))
-    bodiless = F.to_json(F.struct(sender.alias("from_email"), subject.alias("subject")))
+    bodiless = F.to_json(F.struct(
+        sender.alias("from_email"), subject.alias("subject"), F.col("text").alias("text_content")))
     text = F.when(F.col("lang") == "de", bodiless).when(F.col("lang") == "es", empty).otherwise(whole)
-    cut = F.substring(text, 1, 40)
+    cut = F.left(text, F.char_length(text) - 1)
     return documents.select(
         F.col("doc_id").alias("email_id"),
         F.when(F.col("source") == "src3", cut).otherwise(text).alias("raw"))

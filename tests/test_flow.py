@@ -38,7 +38,7 @@ def folder(tmp_path):
 
 
 def test_validation_reasons(spark):
-    rows = ["{bad", "{}", '{"from":1,"subject":null,"html_content":null}', '{"from_email":"a","subject":"s","html_content":"h"}', "", '[1]']
+    rows = ["{bad", "{}", '{"from":"a@b.co","subject":null,"html_content":null}', '{"from_email":"a@b.co","subject":"s","html_content":"h"}', "", '[1]']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string")
     got = [r["error"] for r in ingest.with_problem(df).orderBy("i").collect()]
     assert got == ["invalid JSON", "missing required fields: from, subject, html_content", None, None, "invalid JSON", "invalid JSON"]

@@ -65,7 +65,9 @@ def test_copies_of_a_page_and_short_pages(spark):
     rows = pages(spark, [("https://a.com/privacy", "nothing"), ("https://a.com/privacy", "DPO a@a.com")])
     short = spark.createDataFrame([(9, "https://b.com/privacy", "DPO b@b.com")], rows.schema)
     got = {r["page_key"]: r["contact"] for r in privacy.page_contacts(rows.union(short), "page_id", "url", "html").collect()}
-    assert got == {"https://a.com/privacy": "a@a.com"}
+    assert got == {"https://a.com/privacy": "a@a.com", "https://b.com/privacy": "b@b.com"}
+    long = privacy.page_contacts(rows.union(short), "page_id", "url", "html", min_length=100)
+    assert {r["page_key"]: r["contact"] for r in long.collect()} == {"https://a.com/privacy": "a@a.com"}
 
 
 def test_model_comes_first_and_patterns_are_the_fallback(spark):
