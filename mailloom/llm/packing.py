@@ -15,6 +15,7 @@ import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +30,7 @@ from mailloom.llm.common import stored, text_of
 LIMIT = 2048
 END = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words kept in the cache of one task; it starts anew when full.
+#: Words kept in the cache of a worker, twice at most: when it is full, it becomes the old one that a new one draws on.
 CACHE = 500_000
 #: Pieces per pattern that the enumeration aims at: fewer pieces take a coarser grid of patterns.
 PER_PATTERN = 8
@@ -49,7 +50,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.cache = self.tokenizer.model, {}
+        self.model, self.cache, self.old = self.tokenizer.model, {}, {}
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def plain(self, text: str) -> bytes:
@@ -74,23 +75,30 @@ class Encoder:
     def ids(self, text: bytes) -> bytes:
         if any(mark in text for mark in self.marks):
             return self.plain(text.decode())
-        words, cache = text.lower().split(), self.cache
+        words, known = text.lower().split(), self.cache
         try:
-            return b"".join([cache[w] for w in words])
+            return b"".join([known[w] for w in words])
         except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
+            if len(known) > CACHE:
+                self.old, self.cache = known, {}
+                known = self.cache
             for w in words:
-                if w not in cache:
-                    cache[w] = self.word(w)
-            return b"".join([cache[w] for w in words])
+                if w not in known:
+                    known[w] = self.old.get(w) or self.word(w)
+            return b"".join([known[w] for w in words])
+
+
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process, so that its cache serves all tasks that the worker runs."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, limit: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, slot, local (rank of the piece in its slot among those of its length)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path), np.zeros(limit + 1, np.int64)
+        encoder, seen = encoder_of(path), np.zeros(limit + 1, np.int64)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "slot", "local"]
         for batch in batches:
             row, piece, start, length, crc, local = [], [], [], [], [], []
