@@ -17,7 +17,10 @@ from mailloom.operators import (
 from mailloom.operators.skew import cut_lineage, shared_folder
 from mailloom.plans import messages as plan
 from mailloom.rules import DpoWords, PiiRule
+from mailloom.schemas import INDEX_ENTRY
 from mailloom.sources import tables as src
+from mailloom.sources.index import VectorIndex
+from mailloom.sources.results import append_results, quarantine, read_results
 from mailloom.sources.tables import table
 from mailloom.streaming import messages as streaming
 
@@ -693,6 +696,50 @@ def stream_values(spark, sf):
     return spark.read.parquet(f"{work}/values").select("doc_id", "kind", "value")
 
 
+def stream_intake(spark, sf):
+    """JSON messages of all texts as a stream of several batches; the reason of each that goes to quarantine."""
+    work = f"{shared_folder(spark)}/intake-{uuid.uuid4()}"
+    raw = src.raw_messages(_docs(spark, sf)).withColumn("source_file", F.col("email_id").cast("string"))
+    raw.repartition(3, "email_id").write.parquet(f"{work}/raw")
+    queued = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/raw")
+
+    def handle(batch, number):
+        good, bad = ingest.split_failures(ingest.with_problem(batch))
+        quarantine(bad, f"{work}/quarantine", number)
+        good.select("email_id").write.mode("overwrite").parquet(f"{work}/queued/batch={number}")
+
+    streaming.start(queued, handle, f"{work}/progress").awaitTermination()
+    bad = spark.read.parquet(f"{work}/quarantine").select("email_id", F.lit("error").alias("status"), "error")
+    good = spark.read.schema("email_id long").parquet(f"{work}/queued")
+    return bad.unionByName(good.select("email_id", F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error")))
+
+
+def stored_by_day(spark, sf):
+    """All results appended to the table of results in two writes, and read back by day."""
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4()}"
+    rows = _results(spark, sf).withColumn("dt", F.to_date("processed_at"))
+    for part in (0, 1):
+        append_results(rows.where(F.pmod("id", F.lit(2)) == part), path)
+    return read_results(spark, path).select(
+        "id", "sender_domain", "email_category", F.date_format("dt", "yyyy-MM-dd").alias("day"), _r("confidence_score").alias("confidence"))
+
+
+def index_batches(spark, sf):
+    """The index written in three batches, compacted, one batch replayed, and some entries deleted."""
+    index = VectorIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4()}")
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in INDEX_ENTRY.fields}
+    rows = _index(spark, sf)
+    full = rows.withColumns({k: v for k, v in nothing.items() if k not in rows.columns})
+    for batch in (0, 1, 2):
+        index.append(full.where(F.col("id") % 3 == batch), batch)
+    index.compact()
+    index.append(full.where(F.col("id") % 3 == 1), 1)
+    index.delete(full.where(F.col("id") % 5 == 0).select(F.col("id").cast("string")))
+    before = index.read(before_batch=2).select("id", F.lit(1).alias("seen"))
+    return index.read().join(before, "id", "left").select(
+        F.col("id").cast("long").alias("id"), "sender_domain", "email_category", F.coalesce("seen", F.lit(0)).alias("seen_by_last"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ingest_report, ingest_status, parsed_messages, quarantine_reasons, email_validation,
     strip_html, strip_html_parsed, strip_tags_basic, collapse_whitespace, truncate_body, select_body, clean_page,
@@ -709,5 +756,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     flatten_result, get_result, query_by_domain, query_by_domain_strict, latest_per_domain, result_stats,
     category_shares, run_summary, high_confidence, high_confidence_count, accuracy_by_model, confusion_matrix,
     class_precision, compare_providers, providers_by_category, latency_check,
-    process_messages, stream_values,
+    process_messages, stream_values, stream_intake, stored_by_day, index_batches,
 )}

@@ -471,3 +471,8 @@ SQL["process_messages"] = f"""
 SQL["stream_values"] = SQL["pii_extract"]
 SQL["url_host_counts"] = f"""select host, links, {root('host')} as root from (
     select lower(host) as host, count(*) as links from ({SQL['resolved_links']}) group by 1)"""
+SQL["stream_intake"] = SQL["ingest_status"]
+SQL["stored_by_day"] = f"""select id, sender_domain, email_category, strftime(processed_at, '%Y-%m-%d') as day,
+    round(confidence_score, 6) as confidence from {RESULTS}"""
+SQL["index_batches"] = f"""select id, sender_domain, email_category, case when id % 3 < 2 then 1 else 0 end::int as seen_by_last
+    from {INDEX} where id % 5 <> 0"""

@@ -152,6 +152,9 @@ def test_index_delete_compact_reset(spark, tmp_path):
     index.append(rows.where("id = 1"), 2)
     index.compact()
     assert index.read().count() == 4
+    index.append(rows.where("id >= 2"), 1)  # a replay replaces its batch also after compacting
+    assert sorted(r["id"] for r in index.read().collect()) == ["0", "1", "2", "3"]
+    assert sorted(r["id"] for r in index.read(before_batch=1).collect()) == ["0"]
     index.reset()
     assert index.read().count() == 0
 
