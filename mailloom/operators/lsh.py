@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -10,6 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailloom.operators import neighbours as nb
+from mailloom.operators.skew import cut_lineage
+
+#: Rows of a bucket that the default number of projections aims at, and the values that a projection typically takes.
+BUCKET_ROWS = 256
+VALUES = 3.0
 
 
 def _bucketed(df: DataFrame, model, vec: str, tables: int, width: int) -> DataFrame:
@@ -51,9 +57,9 @@ def knn_lsh(
     index_cols: Sequence[str] = (),
     metric: str = "sql2",
     skip_self: bool = False,
-    bucket_length: float = 1.0,
+    bucket_length: float | None = None,
     tables: int = 4,
-    width: int = 2,
+    width: int | None = None,
     seed: int = 17,
     complete: bool = True,
     block_rows: int | None = None,
@@ -63,6 +69,9 @@ def knn_lsh(
     With ``complete`` (the default) these only bound the k-th distance, and the exact search
     finishes the job with fewer visits, so nothing is missed. Without it the result is
     approximate: true distances, but some neighbours may be missing.
+
+    By default a bucket is as long as a projection of the index typically spreads, and there are as many projections
+    per table (``width``) as bring buckets of a spread-out index down to ``BUCKET_ROWS`` rows.
     """
     q = nb.usable(queries, query_id, query_cols, query_vec, "_qv", metric)
     c = nb.usable(index, index_id, index_cols, index_vec, "_cv", metric)
@@ -73,6 +82,13 @@ def knn_lsh(
         return nb.knn(queries, index, k, **names)
     rows = block_rows or max(1024, nb.BLOCK_BYTES // (8 * len(sample["_cv"])))
 
+    if bucket_length is None or width is None:
+        norm = F.sqrt(F.aggregate("_cv", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        size, mean = _scaled(c, "_cv", metric).agg(F.count(F.lit(1)), F.avg(norm)).first()
+        if bucket_length is None:
+            bucket_length = max(mean, 1e-9) / math.sqrt(len(sample["_cv"]))
+        if width is None:
+            width = max(1, math.ceil(math.log(max(1.0, size / BUCKET_ROWS)) / math.log(VALUES)))
     lsh = BucketedRandomProjectionLSH(
         inputCol="_ml", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables * width, seed=seed)
     model = lsh.fit(c.limit(1).select(array_to_vector(F.transform("_cv", lambda x: x.cast("double"))).alias("_ml")))
@@ -104,5 +120,6 @@ def knn_lsh(
     scale = 2.0 if metric == "cosine" else 1.0
     bound = near.where(F.col("rank") == k).select(
         query_id, (F.sqrt(F.greatest(F.col("distance"), F.lit(0.0)) * scale) + nb.SLACK).alias("_bound"))
+    bounded = cut_lineage(queries.join(bound, query_id, "left"))
     return nb.knn(
-        queries.join(bound, query_id, "left"), index, k, **names, known_reach="_bound", block_rows=block_rows)
+        bounded, index, k, **names, known_reach="_bound", block_rows=block_rows)
