@@ -71,6 +71,14 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,7 +90,8 @@ def rows_named(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) ->
     meant. Rows that repeat in both can't be told apart by these, so of them, and only there, duplicates are dropped.
     """
     named = named.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_rows"))
-    full = docs.withColumn("_own", F.unhex(F.sha2(text_of(docs[text_col]), 256)))
-    full = full.join(named, full[id_col].eqNullSafe(named["_id"]) & (full["_own"] == named["_digest"]))
-    again = full.filter("_rows > 1").dropDuplicates([id_col, "_own"])
-    return full.filter("_rows = 1").unionByName(again).select(docs.columns)
+    full = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"),
+                       F.unhex(F.sha2(text_of(docs[text_col]), 256)).alias("own"))  # apart from docs' own names
+    full = full.join(named, full["id"].eqNullSafe(named["_id"]) & (full["own"] == named["_digest"]))
+    again = full.filter("_rows > 1").dropDuplicates(["id", "own"])
+    return full.filter("_rows = 1").unionByName(again).select("row.*")

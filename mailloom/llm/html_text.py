@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.llm.boosting import grow, walk
-from mailloom.llm.common import text_of
+from mailloom.llm.common import fresh, text_of
 
 #: Elements whose text isn't the page's.
 SILENT = "script|style|template|noscript|textarea|select|svg|iframe|object|title|button|canvas|math|video|audio"
@@ -168,7 +168,10 @@ def labelled_pages() -> list[tuple[str, str]]:
     p = lambda *sizes: "".join(f"<p>{prose(n)}</p>" for n in sizes)
     menu = "<ul><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li><li><a href=/c>News and more</a></li></ul>"
     links = "".join(f"<p><a href=/{i}>{prose(6)}</a></p>" for i in range(3))
+    teasers = "".join(f"<p><a href=/{i}>{prose(n)}</a></p>" for i, n in enumerate((9, 14, 30)))
     return [
+        (f"<div>{teasers}</div><div><h2>{prose(3)}</h2>{p(40, 25, 12)}</div><div>{teasers}</div>", "---++++---"),
+        (f"<div>{p(33, 18)}<p>{prose(14)} <a href=x>{prose(4)}</a></p></div><div>{teasers}{teasers}</div>", "+++------"),
         (f"<body><nav>{menu}</nav><article><h1>A title</h1>{p(40, 3, 90)}</article><footer>&copy; us {prose(9)}</footer>", "---++++-"),
         (f"<div class=ad>{prose(20)}</div><article><h1>{prose(9)}</h1>{p(8, 60, 1, 25)}</article><footer>{prose(25)}</footer>", "-+++++-"),
         (f"<header><p>Site</p>{menu}</header><main><h1>Title</h1><h2>Part</h2>{p(30, 5)}<ul><li>{prose(4)}</li><li>one</li></ul></main>", "----++++++"),
@@ -182,6 +185,8 @@ def labelled_pages() -> list[tuple[str, str]]:
         (f"<main><p>{prose(20)} <a href=x>{prose(9)}</a></p><blockquote>{prose(12)}</blockquote><form>{prose(25)}</form></main>", "++-"),
         (f"<section><h1>{prose(4)}</h1><p>{prose(35)} <a href=x>more</a> {prose(9)}</p></section><div class=sidebar>{p(35)}{links}</div>", "++----"),
         (f"<div class=related>{links}</div><div class=share>Share</div><p>{prose(70)}</p><div class=newsletter>{prose(18)}</div>", "----+-"),
+        (f"<article>{p(9)}{links}{p(3)}<ul><li><a href=x>one</a></li><li><a href=y>{prose(5)}</a></li></ul></article>{links}", "+++++++---"),
+        (f"<nav>{menu}</nav><main>{links}{p(25)}{links}</main><div class=widget>{links}</div>", "---+++++++---"),
         (f"<article><p>one</p><p>two</p><h3>three</h3><p>four</p><nav>{menu}</nav></article><p>Terms</p><p>Privacy</p>", "++++-----"),
     ]
 
@@ -197,7 +202,7 @@ def tree():
         rows.append(features(found))
         labels += [1.0 if m == "+" else -1.0 for m in marks]
     labels = np.array(labels)
-    return grow(np.concatenate(rows), labels, np.ones(len(labels)), depth=7, least=2, penalty=0.0)
+    return grow(np.concatenate(rows), labels, np.ones(len(labels)), depth=8, least=1, penalty=0.0)
 
 
 def main_texts(pages: list[str]) -> list[str]:
@@ -215,16 +220,17 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     what isn't a tag is text, elements that aren't closed end with what holds them. Whole pages are read, of any
     length. Equal pages have equal texts. An empty table gives no rows. Columns text and n_chars of pages are replaced.
     """
-    names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    names = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
+    source = fresh(pages, "source")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = main_texts(batch["_html"].to_pylist())
+            texts = main_texts(batch[source].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in names), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 [*names, "text", "n_chars"])
 
-    rows = pages.select(*names, text_of(pages[html_col]).alias("_html"))
+    rows = pages.select(*names, text_of(pages[html_col]).alias(source))
     schema = pages.select(*names).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     for field in schema:
         field.nullable = True

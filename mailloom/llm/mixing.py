@@ -35,14 +35,14 @@ FEW_SOURCES = 10_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """docs with _name (a source's name, never null), _size (words) and _key (a hash of identifier,
-    source and text)."""
+    """_row (a struct of all columns of docs), _id, _name (a source's name, never null), _size (words) and _key (a hash
+    of identifier, source and text)."""
     text = text_of(docs[text_col])
     name = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit(""))
-    return docs.withColumns({
-        "_name": name, "_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "_key": F.xxhash64(F.lit(seed), docs[id_col], name, text),
-    })
+    return docs.select(
+        F.struct("*").alias("_row"), docs[id_col].alias("_id"), name.alias("_name"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"),
+        F.xxhash64(F.lit(seed), docs[id_col], name, text).alias("_key"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, max_repeats: int) -> DataFrame:
@@ -173,7 +173,7 @@ class Mix:
                  shards: int = SHARDS, seed: int = SEED):
         self.columns, self.seed = (id_col, text_col, source_col), seed
         docs = keyed(docs, *self.columns, seed)
-        self.slim = stored(docs.select(F.col(id_col).alias("doc_id"), "_name", "_size", "_key"), "sizes")
+        self.slim = stored(docs.select(F.col("_id").alias("doc_id"), "_name", "_size", "_key"), "sizes")
         sums = self.slim.groupBy("_name").agg(F.sum("_size").alias("source_size"), F.count("*").alias("docs"))
         sources = targets(sums, weights, share, max_repeats)
         full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -257,13 +257,12 @@ class Mix:
 
     def documents(self, docs: DataFrame) -> DataFrame:
         """The mix itself: each row of docs as often as it is taken, shard after shard, shuffled within each."""
-        names = docs.columns
         taken = self.decide(self.slim).filter("copies > 0").select("_key", "shards").dropDuplicates(["_key"])
-        rows = keyed(docs, *self.columns, self.seed).select(*names, "_key").join(taken, "_key")  # one shuffle of texts
-        rows = rows.select(*names, "_key", F.posexplode("shards").alias("_copy", "_shard"))
+        rows = keyed(docs, *self.columns, self.seed).select("_row", "_key").join(taken, "_key")  # one shuffle of texts
+        rows = rows.select("_row", "_key", F.posexplode("shards").alias("_copy", "_shard"))
         order = F.xxhash64(F.lit(self.seed), F.lit("order"), "_key", "_copy")
         n = shuffle_partitions(docs.sparkSession)
-        return rows.repartition(n, "_shard").sortWithinPartitions("_shard", order).select(names)
+        return rows.repartition(n, "_shard").sortWithinPartitions("_shard", order).select("_row.*")
 
 
 def mix(docs: DataFrame, **options) -> Mix:
@@ -271,7 +270,7 @@ def mix(docs: DataFrame, **options) -> Mix:
 
     A null text has size 0; a null source is a source of its own, the last one. Rows that repeat in identifier,
     source and text are taken alike. Documents without words are never taken in part rounds but come along in whole ones. A table
-    without words has targets of 0; an empty one gives no rows. Extra columns are kept and don't matter, but for names
-    that start with an underscore, which the mix uses.
+    without words has targets of 0; an empty one gives no rows. Extra columns are kept and don't matter,
+    whatever their names.
     """
     return Mix(docs, **options)

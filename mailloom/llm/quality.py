@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.common import text_of
+from mailloom.llm.common import fresh, text_of
 
 SAMPLE = 4096
 DIMENSIONS = 48
@@ -157,25 +157,27 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     equal texts have equal scores. An empty table gives no rows. docs' own columns score and predicted are replaced.
     """
     model = train(*labelled(docs, labels, sample, id_col, text_col))
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names, bytes_ = [c for c in docs.columns if c.lower() not in ("score", "predicted")], fresh(docs, "bytes")
     share = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["_bytes"].to_pylist()
+            texts = batch[bytes_].to_pylist()
             found = share.value.scores(texts) if share.value else np.full(len(texts), 0.5)
             found = np.clip(np.asarray(found, np.float64), 0, 1)
             predicted = pa.array((found >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in names), pa.array(found), predicted], [*names, "score", "predicted"])
 
-    rows = docs.select(*names, text_of(docs[text_col]).cast("binary").alias("_bytes"))
+    rows = docs.select(*names, text_of(docs[text_col]).cast("binary").alias(bytes_))
     schema = docs.select(*names).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     for field in schema:
         field.nullable = True
     return rows.mapInArrow(of, schema)
 
 
-def survivors(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that aren't rejected."""
-    return score(docs, labels, **options).filter("predicted = 1").select(docs.columns)
+def survivors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't rejected, with all their columns."""
+    boxed = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return score(boxed, labels, sample).filter("predicted = 1").select("row.*")

@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, source string, score double, kept boolean, slot int, digest string, n long, row long"
+SCHEMA = "doc_id long, text string, source string, score double, kept boolean, slot int, digest string, n long, row long, _id long, _key long, _row string, bytes int"
 
 
 @pytest.fixture(scope="session")
@@ -23,7 +23,7 @@ def awkward(spark, small_batches):
     ]
     rows = [(i if i % 11 else None, texts[i % len(texts)], (None, "s1", "s2", "", "s1")[i % 5]) for i in range(120)]
     rows += rows[20:35] + [(3, "another text under three", "s1"), (None, None, None), (None, "one", "s2")]
-    return spark.createDataFrame([(*r, 0.5, True, 1, "d", 7, 3) for r in rows], SCHEMA).repartition(5)
+    return spark.createDataFrame([(*r, 0.5, True, 1, "d", 7, 3, 1, 2, "r", 4) for r in rows], SCHEMA).repartition(5)
 
 
 @pytest.fixture(scope="session")

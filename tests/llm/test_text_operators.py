@@ -75,6 +75,10 @@ def test_quality_of_awkward_rows(spark, awkward, nothing):
         assert by_text.setdefault(r.text or "", r.score) == r.score
     assert {r.score for r in quality.score(awkward, labels.filter("false")).collect()} == {0.5}
     assert quality.score(nothing, labels).count() == 0
+    kept = quality.survivors(awkward, labels)
+    assert kept.columns == awkward.columns
+    rows = [tuple(r) for r in awkward.collect()]
+    assert all(tuple(r) in rows for r in kept.collect())
 
 
 def figures(text):
