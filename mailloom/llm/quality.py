@@ -97,7 +97,8 @@ class Model(NamedTuple):
     labels: np.ndarray
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        found = (rows * self.idf) @ self.axes
+        """Unit vectors of rows of term weights."""
+        found = rows @ (self.idf[:, None] * self.axes)
         return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
 
     def scores(self, texts: list[bytes], neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -126,9 +127,10 @@ def train(texts: list[bytes], labels: np.ndarray, dimensions: int = DIMENSIONS)
         return None
     rows = terms(texts)
     idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))).astype(np.float32) + 1
-    axes = leading_axes(rows * idf, dimensions)
-    model = Model(idf, axes.astype(np.float32), np.zeros((0, 0), np.float32), labels.astype(np.float32))
-    return model._replace(vectors=model.project(rows))
+    rows *= idf  # in place: the rows of the sample are the largest thing on the driver
+    axes = leading_axes(rows, dimensions).astype(np.float32)
+    model = Model(np.ones_like(idf), axes, np.zeros((0, 0), np.float32), labels.astype(np.float32))
+    return model._replace(vectors=model.project(rows).astype(np.float32), idf=idf)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> tuple[list[bytes], np.ndarray]:
