@@ -180,7 +180,17 @@ class Judge(NamedTuple):
     thresholds: dict[str, float]
 
 
+_judges: dict[tuple[float, int], Judge] = {}
+
+
 def train(spark: SparkSession, precision: float = 0.95, folds: int = 5) -> Judge:
+    """The judge of these settings; it depends on nothing else, so a process fits it once."""
+    if (precision, folds) not in _judges:
+        _judges[precision, folds] = fit(spark, precision, folds)
+    return _judges[precision, folds]
+
+
+def fit(spark: SparkSession, precision: float, folds: int) -> Judge:
     """Fit trees on the labelled table. Calibration and thresholds use margins of trees that haven't seen the row:
     rows of one candidate string are in one fold."""
     table = examples()
