@@ -17,9 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of long nodes -> (node, root) for every linked node; root is the component's smallest node.
 
     In each round every node points to its smallest neighbour or itself, and links between nodes become links between
-    what they point to. A node that isn't the smallest around vanishes, so at least half of the nodes of every
-    component that is left go in each round, and so do the rounds' costs. The pointers are then followed through the
-    rounds. Nulls and self links are ignored; no links give no rows.
+    what they point to. Stars and dense groups vanish in a round or two; a path whose numbers rise along it is the
+    worst case and loses one node a round. The pointers are then followed through the rounds. Nulls and self links are ignored; no links give no rows.
     """
     links = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                    .distinct(), "links")
