@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 from mailloom.llm.boosting import grow, walk
 from mailloom.llm.common import fresh, text_of
 
-#: Elements whose text isn't the page's.
-SILENT = "script|style|template|noscript|textarea|select|svg|iframe|object|title|button|canvas|math|video|audio"
+#: Elements whose text isn't the page's. What is in RAW ones is no markup: they go to their end tag or the page's end.
+RAW = "script|style|noscript|textarea|iframe|title"
+SILENT = "template|select|svg|object|button|canvas|math|video|audio"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])([^>]*+)>"
+    rf"""|<({SILENT})(?=[\s/>])((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>""",
     re.S | re.I)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW.split("|")}
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -49,6 +53,22 @@ HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?tru
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form".split())
 
 
+class Mark(NamedTuple):
+    """An open silent element, and what there was where it starts."""
+
+    name: str
+    depth: int
+    found: int
+    pieces: list[str]
+    size: int
+    linked: int
+    heading: bool
+    quiet: bool
+    bounds: int
+    open_p: int
+    open_a: int
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -81,13 +101,20 @@ def is_boiler(name: str, attributes: str, in_article: bool) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in order. References are decoded, white space is one space, empty blocks are none."""
+    """The text blocks of a page, in order. References are decoded, white space is one space, empty blocks are none.
+
+    What a silent element holds goes when its end tag comes. One without an end tag ends with what holds it, and only
+    its text up to the next block goes.
+    """
     found: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []
     open_: Counter[str] = Counter()
     pieces: list[str] = []
     linked, heading = 0, False
     boiler = article = False
+    marks: list[Mark] = []
+    quiet, bounds = False, 0
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal pieces, linked, heading
@@ -97,46 +124,75 @@ def blocks(page: str) -> list[Block]:
         pieces, linked, heading = [], 0, False
 
     def pop(name: str) -> None:
-        nonlocal boiler, article
+        nonlocal boiler, article, quiet, bounds, pieces, linked, heading
         while stack:
             last, boiler, article = stack.pop()
             open_[last] -= 1
+            if marks and marks[-1].depth == len(stack):
+                mark = marks.pop()
+                if last == name:
+                    del found[mark.found:]
+                    pieces, linked, heading, quiet, bounds = mark.pieces, mark.linked, mark.heading, mark.quiet, mark.bounds
+                    del pieces[mark.size:]
+                elif bounds == mark.bounds:
+                    quiet = mark.quiet
             if last == name:
                 return
 
+    def within(name: str) -> bool:
+        """Whether such an element is open in the innermost silent one, or in the page if none is open."""
+        return open_[name] > (getattr(marks[-1], f"open_{name}") if marks else 0)
+
     def text(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not quiet:
             decoded = html.unescape(raw) if "&" in raw else raw
             pieces.append(decoded)
             if open_["a"]:
                 linked += len(decoded.split())
 
     at = 0
-    for token in TOKEN.finditer(page):
+    while token := TOKEN.search(page, at):
         text(page[at: token.start()])
         at = token.end()
-        name = (token[3] or "").lower()
+        raw, _, silent, _, slash, name, _ = token.groups()
+        name = (raw or silent or name or "").lower()
+        attributes = token[2] or token[4] or token[7] or ""
         if not name:
             continue
+        if raw and not (quiet and marks[-1].name in FOREIGN):
+            if name not in endless:
+                end = RAW_END[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name == "noscript":
+                    endless.add(name)
+                else:
+                    at = len(page)
+            continue
         if name in BLOCK:
             flush()
-        elif name in SPACE:
+            quiet = False
+            bounds += 1
+        elif name in SPACE and not quiet:
             pieces.append(" ")
-        if token[2]:
+        if slash:
             if open_[name]:
                 pop(name)
             continue
-        if name == "a" and open_["a"]:
+        if name == "a" and within("a"):
             pop("a")
-        if name in BLOCK and open_["p"]:
+        if name in BLOCK and within("p"):
             pop("p")
-        heading = heading or name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if name in VOID or token[4].endswith("/"):
+        heading = heading or not quiet and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        if name in VOID or attributes.endswith("/"):
             continue
+        if silent:
+            marks.append(Mark(name, len(stack), len(found), pieces, len(pieces), linked, heading, quiet, bounds, open_["p"], open_["a"]))
+            quiet = True
         stack.append((name, boiler, article))
         open_[name] += 1
-        boiler = boiler or is_boiler(name, token[4], article)
+        boiler = boiler or is_boiler(name, attributes, article)
         article = article or name in ARTICLE
     text(page[at:])
     flush()

@@ -33,6 +33,24 @@ def test_pages(page, text):
     assert text is None or found == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<svg class="i"/><p>a</p><p>b</p>', "a\nb"),
+    ('<p>a</p><svg class="i"/><p>b</p><svg><path/><title/><style/>s</svg><p>c</p>', "a\nb\nc"),
+    ("<p>a</p><math/><p>b</p>", "a\nb"),
+    ("<p>a <button><div>Share</div></button> b <svg><a><title>x</title></a></svg>c</p>", "a b c"),
+    ("<p>a</p><video><p>none</p></video><object><p>none</p><canvas>none</object><p>b</p>", "a\nb"),
+    *((f"<p>a</p><div><{name}>none</div><p>b</p><p>c</p>", "a\nb\nc")
+      for name in "select object video audio canvas button svg math".split()),
+    ("<p>a</p><button>Share<p>b</p><script>if (x<y) '<p>s'</script><p>c</p>", "a\nb\nc"),
+    ("<p>a</p><select><option>none<option>none</select><p>b</p><script>'<p>c'", "a\nb"),
+    ("<p>a</p><noscript><p>none</p></noscript><p>b</p><noscript><p>c</p>", "a\nb\nc"),
+    ("<p>a</p><template><div><template>none</template>none</div></template><p>b</p>", "a\nb"),
+])
+def test_silent_elements(page, text):
+    assert html_text.main_texts([f"<article><h1>T</h1>{page}</article><footer>f</footer>"]) == [
+        f"T\n{text}"]
+
+
 def test_page_table(spark, small_batches):
     rows = [(i, None if i % 3 == 0 else f"<article><p>page {i}</p></article><nav>n</nav>", "u", 5) for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, html string, url string, n_chars int").repartition(4)
