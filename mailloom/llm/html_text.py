@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks of text at block-level tags. A block's features are its own word count and link density, those
-of the blocks before and behind it, and what it stands in: an article, or an element that by its tag or by words of its
-class and id holds menus, adverts, notices, comments and the like. A decision tree, grown on the small labelled pages
+of the blocks before and behind it, and what it stands in: an article, an element that by its tag holds menus, notices,
+comments and the like, or a form or a wrapper that by words of its class and id does, unless that is around most of the
+page. An article starts afresh, what is around it doesn't count. A decision tree, grown on the small labelled pages
 below, says which blocks are content. Pages don't depend on each other, so the work is one pass of tasks over batches.
 """
 
@@ -41,16 +42,25 @@ BLOCK = frozenset(
 #: Inline elements that part words.
 SPACE = frozenset("br td th img input".split())
 ARTICLE = frozenset("article main".split())
-BOILER = frozenset("nav footer aside form menu dialog address".split())
+BOILER = frozenset("nav footer aside menu dialog address".split())
+#: No article starts afresh in these.
+SHUT = frozenset("nav footer aside".split())
 HEADERS = frozenset("header hgroup".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
     "cookie cookies disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice "
     "notification pager pagination popup promo promotion recommended related reply replies respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget".split())
+#: Hints of comment lists, where each comment may be an article, and of lists of teasers.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+TEASERS = frozenset("promo promotion recommended related sponsor sponsored teaser".split())
+#: A wrapper with more than this share of the page's words outside is boilerplate; one around most of the page is layout.
+OUTSIDE = 0.4
+STATE = re.compile(r"(?:has|no|with|without|show)[-_]")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
+SHUT_ROLES = frozenset("navigation contentinfo complementary".split())
 
 
 class Mark(NamedTuple):
@@ -76,28 +86,44 @@ class Block(NamedTuple):
     boiler: bool
     article: bool
     heading: bool
+    outside: float = 0.0
 
 
-def is_boiler(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds something else than the article, by its tag or attributes."""
-    if name in BOILER or (name in HEADERS and not in_article):
-        return True
+class Place(NamedTuple):
+    """What a block stands in: shut places have no articles of their own; wrapper counts unless an article is below it,
+    owner is the innermost wrapper anyway; teasers says that wrapper lists teasers."""
+
+    boiler: bool = False
+    article: bool = False
+    shut: bool = False
+    teasers: bool = False
+    wrapper: int = -1
+    owner: int = -1
+
+
+def hints(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool, bool]:
+    """(boiler, shut, wrapper, teasers) of an element, by its tag or attributes."""
+    boiler, shut, wrapper = name in BOILER or (name in HEADERS and not in_article), name in SHUT, name == "form"
+    teasers = False
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return boiler, shut, wrapper, teasers
     if HIDDEN.search(attributes):
-        return True
+        return True, True, wrapper, teasers
     if name in ("body", "html", "article", "main"):
-        return False
+        return boiler, shut, wrapper, teasers
     for key, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if key.lower() == "role":
-            if value.lower() in ROLES:
-                return True
+            boiler, shut = boiler or value.lower() in ROLES, shut or value.lower() in SHUT_ROLES
+            wrapper = wrapper or value.lower() == "form"
             continue
-        parts = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())) & HINTS
-        if parts - {"header"} or parts and not in_article:
-            return True
-    return False
+        for one in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+            parts = set(re.split(r"[^a-z]+", one)) & HINTS
+            if parts & COMMENTS and not STATE.match(one):
+                boiler = shut = True
+            wrapper = wrapper or bool(parts - {"header"} or parts and not in_article)
+            teasers = teasers or bool(parts & TEASERS)
+    return boiler, shut, wrapper, teasers
 
 
 def blocks(page: str) -> list[Block]:
@@ -106,12 +132,13 @@ def blocks(page: str) -> list[Block]:
     What a silent element holds goes when its end tag comes. One without an end tag ends with what holds it, and only
     its text up to the next block goes.
     """
-    found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    found: list[tuple[Block, Place]] = []
+    stack: list[tuple[str, Place]] = []
+    parents: list[int] = []
     open_: Counter[str] = Counter()
     pieces: list[str] = []
     linked, heading = 0, False
-    boiler = article = False
+    place = Place()
     marks: list[Mark] = []
     quiet, bounds = False, 0
     endless: set[str] = set()
@@ -120,13 +147,14 @@ def blocks(page: str) -> list[Block]:
         nonlocal pieces, linked, heading
         words = "".join(pieces).split()
         if words:
-            found.append(Block(" ".join(words), len(words), min(linked, len(words)), boiler, article, heading))
+            found.append((
+                Block(" ".join(words), len(words), min(linked, len(words)), place.boiler, place.article, heading), place))
         pieces, linked, heading = [], 0, False
 
     def pop(name: str) -> None:
-        nonlocal boiler, article, quiet, bounds, pieces, linked, heading
+        nonlocal place, quiet, bounds, pieces, linked, heading
         while stack:
-            last, boiler, article = stack.pop()
+            last, place = stack.pop()
             open_[last] -= 1
             if marks and marks[-1].depth == len(stack):
                 mark = marks.pop()
@@ -190,13 +218,28 @@ def blocks(page: str) -> list[Block]:
         if silent:
             marks.append(Mark(name, len(stack), len(found), pieces, len(pieces), linked, heading, quiet, bounds, open_["p"], open_["a"]))
             quiet = True
-        stack.append((name, boiler, article))
+        stack.append((name, place))
         open_[name] += 1
-        boiler = boiler or is_boiler(name, attributes, article)
-        article = article or name in ARTICLE
+        boiler, shut, wrapper, teasers = hints(name, attributes, place.article)
+        if name in ARTICLE and not place.shut and not shut:
+            listed = place.teasers and name != "main"
+            place = Place(article=True, teasers=listed, wrapper=place.wrapper if listed else -1, owner=place.owner)
+        elif name in ARTICLE or boiler or shut or wrapper:
+            if wrapper:
+                parents.append(place.owner)
+                place = place._replace(wrapper=len(parents) - 1, owner=len(parents) - 1, teasers=teasers)
+            place = place._replace(
+                boiler=place.boiler or boiler, shut=place.shut or shut, article=place.article or name in ARTICLE)
     text(page[at:])
     flush()
-    return found
+    total, sizes = sum(b.words for b, _ in found), [0] * len(parents)
+    for block, at_ in found:
+        if at_.owner >= 0:
+            sizes[at_.owner] += block.words
+    for i in reversed(range(len(parents))):
+        if parents[i] >= 0:
+            sizes[parents[i]] += sizes[i]
+    return [b if p.wrapper < 0 else b._replace(outside=1 - sizes[p.wrapper] / total) for b, p in found]
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -208,7 +251,7 @@ def features(found: list[Block]) -> np.ndarray:
     rows[:, 0], rows[:, 1] = words, density
     rows[1:, 2], rows[1:, 3] = words[:-1], density[:-1]
     rows[:-1, 4], rows[:-1, 5] = words[1:], density[1:]
-    rows[:, 6] = [b.boiler for b in found]
+    rows[:, 6] = [b.boiler or b.outside > OUTSIDE for b in found]
     rows[:, 7] = [b.article for b in found]
     rows[:, 8] = [b.heading for b in found]
     return rows
@@ -244,6 +287,14 @@ def labelled_pages() -> list[tuple[str, str]]:
         (f"<article>{p(9)}{links}{p(3)}<ul><li><a href=x>one</a></li><li><a href=y>{prose(5)}</a></li></ul></article>{links}", "+++++++---"),
         (f"<nav>{menu}</nav><main>{links}{p(25)}{links}</main><div class=widget>{links}</div>", "---+++++++---"),
         (f"<article><p>one</p><p>two</p><h3>three</h3><p>four</p><nav>{menu}</nav></article><p>Terms</p><p>Privacy</p>", "++++-----"),
+        (f"<div class=content-sidebar-wrap><main><h1>Title</h1>{p(40, 6, 30)}</main><div class=sidebar>{p(20)}{links}</div></div>", "++++----"),
+        (f"<div class='site header-fixed'><header>{menu}</header><article><h1>Title</h1>{p(30, 4)}</article><footer>Us</footer></div>", "---+++-"),
+        (f"<form><div>{menu}</div><div><h1>{prose(5)}</h1>{p(55, 8, 40)}</div></form>", "---++++"),
+        (f"<div class=has-sidebar><div><h1>{prose(4)}</h1>{p(45, 60, 7, 25)}</div><div class=sidebar>{p(30)}{links}</div></div>"
+         f"<div class=footer>{prose(12)}</div>", "+++++-----"),
+        (f"<article>{p(40, 20)}</article><div class=related>" + f"<article><h3>{prose(5)}</h3>{p(15)}</article>" * 2 + "</div>", "++----"),
+        (f"<article>{p(20)}</article><ol class=comment-list><li><article>{p(30)}</article></li></ol>", "+-"),
+        (f"<form class=login>{p(2, 3, 2)}</form><div>{menu}</div><div><h2>{prose(3)}</h2>{p(30, 6)}</div>", "------+++"),
     ]
 
 

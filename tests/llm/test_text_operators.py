@@ -51,6 +51,26 @@ def test_silent_elements(page, text):
         f"T\n{text}"]
 
 
+BODY = "<h1>A title</h1><p>" + "one two " * 20 + "</p><p>" + "some more " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("page, kept", [
+    *((f"{wrapper}<{name}>BODY</{name}>{'<p>word</p>' * 50}", True) for name in ("article", "main") for wrapper in (
+        "<div class='content-sidebar-wrap'>", "<div class=has-sidebar>", "<div class='site header-fixed'>", "<form>", "<header>")),
+    *((f"{wrapper}<div>BODY</div>", True) for wrapper in (
+        "<div class='content-sidebar-wrap'>", "<div class=has-sidebar>", "<div class='site header-fixed'>", "<form action=x>", "<div class=has-comments>")),
+    *((f"{wrapper}<article>BODY</article>", False) for wrapper in (
+        "<nav>", "<aside>", "<footer>", "<ol class=comment-list>", "<div hidden>", "<div role=complementary>")),
+    *((f"<article>{BODY * 2}{wrapper}BODY", False) for wrapper in ("<div class=sidebar>", "<form>", "<div class=comments><article>")),
+    (f"<article>{BODY * 2}</article><div class=related><article>BODY</article></div>", False),
+    ("<nav>menu</nav><div>BODY<p>here it is at the end</p></div>", True),
+])
+def test_wrappers(page, kept):
+    other = html_text.main_texts([page.replace("BODY", "")])[0]
+    found = html_text.main_texts([page.replace("BODY", BODY.replace("one two", "here it is"))])[0]
+    assert (found.count("here it is") == 20 + page.count("here it is") and "A title" in found) if kept else found == other
+
+
 def test_page_table(spark, small_batches):
     rows = [(i, None if i % 3 == 0 else f"<article><p>page {i}</p></article><nav>n</nav>", "u", 5) for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, html string, url string, n_chars int").repartition(4)
