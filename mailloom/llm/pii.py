@@ -4,10 +4,11 @@ Every generator is a pattern. The base generators are rules whose valid matches
 recall what base rules leave out: addresses spelled out, IPv6, cards and phones in other notations. A candidate has
 format features (lengths, digits, groups, check digits) and context features (words and characters around it). Boosted
 trees, trained on a small labelled table of such candidates, score it; the scores are calibrated out of fold, and
-each kind has a threshold that keeps precision. Candidates that overlap a base span go, and of candidates that overlap
-each other the likeliest stays.
+each kind has a threshold that keeps precision. Candidates that overlap a base span go. Of the others the likeliest stays,
+what overlaps it goes, and so on with the rest.
 
-Positions come from the texts between matches: a match starts where the gaps and matches before it end. Only built-in
+Cards and phones are proposed at each group of digits and with each number of groups, so proposals overlap. Positions
+come from the texts between matches: a match starts where the gaps and matches before it end. Only built-in
 column functions are used; the trees are column expressions.
 """
 
@@ -28,6 +29,10 @@ LOCAL, HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 NEXT = r"(?:[ ]?(?:\(dot\)|\[dot\]|\{dot\})[ ]?|[ ]dot[ ]|\.)"
 
 
+#: The first group of a phone. Inside a parenthesis that it doesn't close, it is proposed with and without that.
+FIRST = r"(?:\([0-9]{2,4}+\)?|(?<!\()[0-9]{2,4}+\)?|(?<=\()[0-9]{2,4}+(?!\)))"
+
+
 class Generator(NamedTuple):
     """What it finds, its pattern, and a cheap test of the text without which the pattern can't match."""
 
@@ -35,6 +40,8 @@ class Generator(NamedTuple):
     base: bool
     pattern: str
     gate: str
+    #: Matches are empty and the candidate is group 1, so that candidates can overlap.
+    ahead: bool = False
 
 
 #: The base patterns say what the rules say, written so that they take linear time and no deep stack: a match starts
@@ -45,14 +52,14 @@ GENERATORS = (
     Generator("card", True, r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", "[0-9]"),
     Generator("phone", True, r"\+[0-9][ ().0-9-]+[0-9]", "[+][0-9]"),
     Generator("email", False,
-              rf"(?<!{LOCAL}){LOCAL}{{1,64}}(?:[ ]?(?:\(at\)|\[at\]|\{{at\}}|@)[ ]?|[ ]at[ ]){HOST}{{1,63}}"
-              rf"(?:{NEXT}{HOST}{{1,63}}){{1,4}}+", r"\(at\)|\[at\]|\{at\}| at |@"),
+              rf"(?i)(?<!{LOCAL}){LOCAL}{{1,64}}(?:[ ]?(?:\(at\)|\[at\]|\{{at\}}|@)[ ]?|[ ]at[ ]){HOST}{{1,63}}"
+              rf"(?:{NEXT}{HOST}{{1,63}}){{1,4}}+", r"(?i)\(at\)|\[at\]|\{at\}| at |@"),
     Generator("ip", False, r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}"
               r"(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:.])", "[0-9A-Fa-f]:"),
-    Generator("card", False, r"(?<![0-9A-Za-z.])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{3,6}){2,4}+(?![0-9A-Za-z])",
-              "[0-9]{4}[ ._/-]"),
-    Generator("phone", False, r"(?<![0-9A-Za-z+.,$#-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}[0-9]{2,4})"
-              r"{2,4}+(?![0-9A-Za-z%])", "[0-9]{2}[ )./-]"),
+    *(Generator("card", False, rf"(?<![0-9A-Za-z.])(?=([0-9]{{4}}(?:[ ._/-]{{1,2}}[0-9]{{3,6}}+){{{n}}})(?![0-9A-Za-z]))",
+                "[0-9]{4}[ ._/-]", True) for n in (2, 3, 4)),
+    *(Generator("phone", False, rf"(?<![0-9A-Za-z+.$#-])(?=((?:00[0-9]{{1,3}}[ .-]?)?{FIRST}(?:[ ./-]{{1,2}}[0-9]{{2,4}}+){{{n}}})"
+                "(?![0-9A-Za-z%]))", "[0-9]{2}[ )./-]", True) for n in (2, 3, 4)),
 )
 CONTEXT = 40
 #: Words that speak for a kind, and words that speak for other numbers.
@@ -113,7 +120,7 @@ def features(kind: Column, match: Column, before: Column, after: Column) -> dict
         "even_groups": flag(match.rlike(r"^(?:[0-9]{4}[^0-9]+){2,}[0-9]{1,4}$")),
         "parens": flag(match.rlike(r"^\(")), "dots": F.size(F.split(match, "[.]")) - 1,
         "slashes": flag(match.rlike("[/_]")), "luhn": flag(luhn(F.substring(number, 1, 19)) & (length >= 13)),
-        "spelled": flag(match.rlike(r"[(\[{](?:at|dot)[)\]}]| dot ")), "at_sign": flag(match.contains("@")),
+        "spelled": flag(match.rlike(r"(?i)[(\[{](?:at|dot)[)\]}]| dot ")), "at_sign": flag(match.contains("@")),
         "us": flag(match.rlike(r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$")),
         "abroad": flag(match.rlike("^00")), "date": flag(match.rlike(r"(?:^|[^0-9])(?:19|20)[0-9]{2}(?:$|[^0-9])")),
         "double_colon": flag(match.contains("::")), "colons": F.size(F.split(match, ":")) - 1,
@@ -150,6 +157,13 @@ def examples() -> list[tuple[str, str, str, str, int]]:
                      "123-456-789", "1999-12-31 23", "12/11/2020 10", "555 444 333", "415-555-0199", "30 40 50 60 70"],
         ["order ", "ISBN ", "invoice no. ", "on the date ", "version ", "the values ", "serial ", "ref: ", "page ", "then "],
         end)
+    # Phones next to other numbers, and what goes over the end or the start of one.
+    near = [" 24 hours", " 415 555 0188", ",415-555-0188", " 2024 1000", " 7 days", "", " and"]
+    add("phone", 1, ["(212) 555-0143", "415-555-0199", "212 555 0143", "303.555.0166", "617-555-0107", "720 555 0119"],
+        ["Call ", "phone 212 555 0143 ", "tel 212-555-0143,", "", "or ", "numbers: 646-555-0111, "], near)
+    add("phone", 0, ["415-555-0199 24", "212 555 0143 2024", "555 0143 415 555", "555 0143 415", "0143 415 555", "0188 303 555 0122",
+                     "0143 2024 1000", "555-0199 24 10", "303.555.0166 30", "555 0143 2024", "0199 212 5550"],
+        ["Call ", "phone 212 ", "tel 212-555-", "my number 415 555 ", ""], [" hours", " 0188", " 555 0188", " 1000", " days"])
     add("card", 1, [numbers(i, sep, True) for i, sep in enumerate(["."] * 4 + ["_"] * 3 + ["  "] * 3 + ["/"] * 3)],
         ["card ", "my Visa ", "credit card number: ", "pay with ", "payment by ", ""], end)
     add("card", 0, [numbers(i + 20, sep, False) for i, sep in enumerate([".", "_", "  ", "/"] * 2)] + [
@@ -158,6 +172,8 @@ def examples() -> list[tuple[str, str, str, str, int]]:
     add("email", 1, ["jane (at) mail.example.com", "joe.doe[at]example[dot]org", "ann at corp dot example dot net",
                      "info {at} shop.de", "sales [at] firm (dot) com", "bob(at)school.edu"],
         ["mail ", "contact: ", "write to ", "", "reach me: ", "\n"], end)
+    add("email", 1, ["Jane (AT) mail.example.com", "JOE.DOE[AT]EXAMPLE[DOT]ORG", "ann AT corp DOT example DOT net"],
+        ["mail ", "Contact: ", ""], end)
     add("email", 0, ["look at example.com", "met at a.m", "was at version.two", "arrive at noon.Then", "shop at store.com",
                      "stay at home.We", "look @ this.one", "price @ 3.50", "x @ y.z"],
         ["we ", "they ", "please ", "", "and ", "he "], end)
@@ -218,22 +234,35 @@ def fit(spark: SparkSession, precision: float, folds: int) -> Judge:
 
 def matches(text: Column, gate: Column, generator: Generator, number: int) -> Column:
     """All matches of a generator's pattern, in order, each with the length of the gap before it."""
+    # Splitting leaves out an empty match at the start of a text, so there is a space in front of it.
+    text = F.concat(F.lit(" "), text) if generator.ahead else text
     gaps = F.split(text, generator.pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(generator.pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(generator.pattern), F.lit(int(generator.ahead)))
     rows = F.arrays_zip(found.alias("match"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+    # Gaps between empty matches have a group of two digits and a separator at least, and candidates at most CONTEXT.
+    ends = F.transform(gaps, lambda x: F.right(x, F.lit(CONTEXT)))
+    starts = F.transform(gaps, lambda x: F.left(x, F.lit(2 * CONTEXT)))
 
     def row(x: Column, i: Column) -> Column:
         match = x["match"]
+        if generator.ahead:
+            least = F.greatest(i + 2 - CONTEXT // 3 - 1, F.lit(1))
+            before = F.right(F.array_join(F.slice(ends, least, i + 2 - least), ""), F.lit(CONTEXT))
+            after = F.array_join(F.slice(starts, i + 2, F.lit(2 * CONTEXT // 3 + 1)), "")
+            after = F.substring(after, F.length(match) + 1, F.lit(CONTEXT))
+            step = F.lit(0)
+        else:
+            before, after, step = F.right(x["gap"], F.lit(CONTEXT)), F.left(x["next"], F.lit(CONTEXT)), F.length(match)
         good = valid(generator.kind, match) if generator.base else plausible(generator.kind, match)
         return F.struct(
-            F.lit(number).alias("g"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(match).alias("length"),
+            F.lit(number).alias("g"), i.alias("i"), (F.length(x["gap"]) - (i == 0).cast("int") * int(generator.ahead)).alias("gap"),
+            step.alias("step"), F.length(match).alias("length"),
             good.alias("good"), *(
                 [F.lit(None).cast("string").alias(n) for n in ("match", "before", "after")] if generator.base else
-                [match.alias("match"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"),
-                 F.left(x["next"], F.lit(CONTEXT)).alias("after")]))
+                [match.alias("match"), before.alias("before"), after.alias("after")]))
 
     found = F.transform(F.filter(rows, lambda x: x["match"].isNotNull()), row)
-    kind = ("array<struct<g:int,i:int,gap:int,length:int,good:boolean,match:string,before:string,after:string>>")
+    kind = ("array<struct<g:int,i:int,gap:int,step:int,length:int,good:boolean,match:string,before:string,after:string>>")
     return F.when(gate, found.cast(kind)).otherwise(F.array().cast(kind))
 
 
@@ -250,7 +279,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     seen = stored(frame.select(F.monotonically_increasing_id().alias("row"), "doc_id", hits.alias("hits")), "hits")
     found = seen.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.*")
     before = Window.partitionBy("row", "g").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("start", F.coalesce(F.sum(F.col("gap") + F.col("length")).over(before), F.lit(0))
+    found = found.withColumn("start", F.coalesce(F.sum(F.col("gap") + F.col("step")).over(before), F.lit(0))
                              + F.col("gap")).filter("good")
     kind = F.element_at(F.array(*(F.lit(g.kind) for g in GENERATORS)), F.col("g") + 1)
     base = F.element_at(F.array(*(F.lit(g.base) for g in GENERATORS)), F.col("g") + 1)
@@ -266,7 +295,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
 
 
 def resolve(spans: DataFrame) -> DataFrame:
-    """All base spans, and of the others those that overlap no base span, the best of each overlapping run."""
+    """All base spans, and of the others that overlap no base span the likeliest, again and again, without what overlaps it.
+
+    A run of overlapping others takes time by its size times the number of those that stay."""
     order = Window.partitionBy("row").orderBy("start", F.col("base").desc(), "end", "kind")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     coming = order.rowsBetween(1, Window.unboundedFollowing)
@@ -276,11 +307,17 @@ def resolve(spans: DataFrame) -> DataFrame:
     kept = spans.withColumn("touched", ~F.col("base") & touched).filter("not touched")
     # A run ends where the next candidate starts at or behind the ends of all before it.
     new = F.coalesce(F.max(F.when(~F.col("base"), F.col("end"))).over(past) <= F.col("start"), F.lit(True))
-    kept = kept.withColumn("new", new.cast("int"))
-    kept = kept.withColumn("run", F.when(F.col("base"), -F.row_number().over(order)).otherwise(F.sum("new").over(order)))
-    best = Window.partitionBy("row", "run").orderBy(F.desc("p"), F.col("start") - F.col("end"), "start", "kind")
-    kept = kept.withColumn("place", F.row_number().over(best)).filter("place = 1")
-    return kept.select("row", "kind", "start", "end", "base", "p")
+    free = kept.withColumn("new", new.cast("int")).filter("not base").withColumn("run", F.sum("new").over(order))
+    best = F.struct((-F.col("p")).alias("off"), (F.col("start") - F.col("end")).alias("size"), "start", "kind", "end", "p")
+    runs = free.groupBy("row", "run").agg(F.array_sort(F.collect_list(best)).alias("all"))
+    none = F.filter("all", lambda x: F.lit(False))
+    picked = F.aggregate("all", none, lambda done, x: F.when(
+        F.exists(done, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), done).otherwise(
+            F.concat(done, F.array(x))))
+    picked = F.when(F.size("all") == 1, F.col("all")).otherwise(picked)
+    free = runs.select("row", F.explode(picked).alias("x")).select(
+        "row", "x.kind", "x.start", "x.end", F.lit(False).alias("base"), "x.p")
+    return kept.filter("base").select("row", "kind", "start", "end", "base", "p").unionByName(free)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

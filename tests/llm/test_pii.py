@@ -71,6 +71,33 @@ def test_candidates(spark):
     assert found[6] == "phone:0:17"
 
 
+def test_candidates_next_to_others(spark):
+    texts = {
+        "call 212 555 0143 415 555 0188 now": ["212 555 0143", "415 555 0188"],
+        "😀 call 212 555 0143 2024 1000": ["212 555 0143"],
+        "phone 415-555-0199 24 hours": ["415-555-0199"],
+        "tel 212-555-0143,415-555-0188": ["212-555-0143", "415-555-0188"],
+        "card 4111.1111.1111.1111 2025 1000": ["4111.1111.1111.1111"],
+        "write to jane (AT) mail.example.com or ann AT corp DOT example DOT net please": [
+            "jane (AT) mail.example.com", "ann AT corp DOT example DOT net"],
+        "phones 212-555-0143 415-555-0188 303-555-0122 617-555-0107": [
+            "212-555-0143", "415-555-0188", "303-555-0122", "617-555-0107"],
+        "order 100 200 300 400 500 600 700": [],
+    }
+    rows = pii.report(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in rows:
+        text = list(texts)[r.doc_id]
+        found = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        assert [text[a:b] for a, b in sorted(found)] == texts[text]
+
+
+def test_only_what_overlaps_the_likeliest_goes(spark):
+    rows = [(1, "phone", False, 0, 10, 0.7), (1, "phone", False, 8, 20, 0.9), (1, "phone", False, 18, 30, 0.8), (1, "phone", False, 28, 40, 0.6),
+            (2, "phone", False, 0, 10, 0.9), (2, "phone", False, 8, 20, 0.7), (2, "card", False, 18, 30, 0.8), (2, "ip", False, 40, 41, 0.7)]
+    kept = pii.resolve(spark.createDataFrame(rows, "row long, kind string, base boolean, start int, end int, p double"))
+    assert sorted((r.row, r.start) for r in kept.collect()) == [(1, 8), (1, 28), (2, 0), (2, 18), (2, 40)]
+
+
 def test_overlaps(spark):
     rows = [(1, "phone", True, 5, 9, 1.0), (1, "card", False, 8, 20, 0.9), (1, "card", True, 7, 12, 1.0),
             (1, "phone", False, 20, 30, 0.8), (1, "card", False, 25, 40, 0.9), (1, "ip", False, 40, 41, 0.7)]
