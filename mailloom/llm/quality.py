@@ -6,8 +6,8 @@ long words and lines are, and the like. Term weights are damped, scaled by inver
 the leading singular vectors of the labelled sample. Every document is compared with every labelled vector, exactly,
 in blocks; the nearest ones vote with their label, weighted by similarity.
 
-The labelled sample is bounded (`sample`), so its vectors can be broadcast: by default at most 4,096 x 48 floats,
-under 1 MB. Everything else looks at all documents and at whole texts.
+The labelled sample is bounded (`sample`), so its vectors can be broadcast: by default at most 4,096 x 48 doubles,
+under 2 MB. Everything else looks at all documents and at whole texts.
 """
 
 from __future__ import annotations
@@ -90,21 +90,30 @@ def terms(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def whole(x: np.ndarray, bits: int) -> np.ndarray:
+    """x in steps of 2 ** -bits, as integral doubles."""
+    return np.rint(np.asarray(x, np.float64) * (1 << bits))
+
+
 class Model(NamedTuple):
+    """Sums over terms and axes are of integers below 2 ** 53, so they are exact in doubles, and no score depends on
+    how many rows are multiplied at a time or in which order a matrix product adds."""
+
     idf: np.ndarray
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        """Unit vectors of rows of term weights."""
-        found = rows @ (self.idf[:, None] * self.axes)
-        return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+        """Unit vectors of rows of term weights, as integral doubles in steps of 2 ** -20."""
+        found = whole(rows, 20) @ whole(self.idf[:, None] * self.axes, 20)
+        found = np.rint(found / (1 << 22))  # steps of 2 ** -18, whose squares still add up exactly
+        return whole(found / np.maximum(np.sqrt((found * found).sum(1, keepdims=True)), 1e-9), 20)
 
     def scores(self, texts: list[bytes], neighbours: int = NEIGHBOURS) -> np.ndarray:
         out = []
         for at in range(0, len(texts), BLOCK):
-            alike = self.project(terms(texts[at: at + BLOCK])) @ self.vectors.T
+            alike = (self.project(terms(texts[at: at + BLOCK])) @ self.vectors.T) / (1 << 40)
             k = min(neighbours, alike.shape[1])
             near = np.argpartition(-alike, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(alike, near, 1), 1e-6) ** POWER
@@ -121,20 +130,34 @@ def leading_axes(rows: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarr
     return (axes @ turn.T)[:, :dimensions]
 
 
-def train(texts: list[bytes], labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model | None:
-    """A model of labelled texts; None if there are none."""
-    if not texts:
+def train(rows: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model | None:
+    """A model of the term weights of labelled texts (changed in place); None if there are none."""
+    if not len(rows):
         return None
-    rows = terms(texts)
     idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))).astype(np.float32) + 1
     rows *= idf  # in place: the rows of the sample are the largest thing on the driver
     axes = leading_axes(rows, dimensions).astype(np.float32)
     model = Model(np.ones_like(idf), axes, np.zeros((0, 0), np.float32), labels.astype(np.float32))
-    return model._replace(vectors=model.project(rows).astype(np.float32), idf=idf)
+    vectors = np.concatenate([model.project(rows[at: at + BLOCK]) for at in range(0, len(rows), BLOCK)])
+    return model._replace(vectors=vectors, idf=idf)
+
+
+def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> their terms, as places and weights of those that aren't zero."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            rows = terms(part["text"].to_pylist())
+            places = [np.flatnonzero(r) for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [part["_id"], part["_label"], pa.array([p.astype(np.int16).tobytes() for p in places], pa.binary()),
+                 pa.array([r[p].tobytes() for r, p in zip(rows, places, strict=True)], pa.binary())],
+                ["_id", "_label", "places", "values"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> tuple[list[bytes], np.ndarray]:
-    """At most `sample` labelled training texts, those of smallest hash, in that order.
+def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Term weights and labels of at most `sample` labelled training texts that docs holds, those of smallest hash.
+    Their terms are worked out where the texts are, so no text of any length reaches the driver.
 
     Training rows are those whose crc32 of the identifier, as text, isn't 1 modulo 3, with quality 0 or 1. Several
     labels of one identifier vote, a tie counts as 1.
@@ -142,12 +165,18 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     rows = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(
         F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     rows = rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_label"))
+    rows = rows.join(docs.select(docs[id_col].alias("doc_id")), "doc_id", "left_semi")
     order = F.xxhash64(F.lit("sample"), "doc_id")
     rows = rows.orderBy(order, "doc_id").limit(sample).withColumnRenamed("doc_id", "_id")
     found = docs.select(docs[id_col].alias("_id"), text_of(docs[text_col]).cast("binary").alias("text"))
-    found = found.join(F.broadcast(rows), "_id").groupBy("_id", "_label").agg(F.min("text").alias("text")).collect()
+    found = found.join(F.broadcast(rows), "_id").groupBy("_id", "_label").agg(F.min("text").alias("text"))
+    kind = dict(found.dtypes)["_id"]
+    found = found.mapInArrow(weights, f"_id {kind}, _label int, places binary, values binary").collect()
     found.sort(key=lambda r: r["_id"])
-    return [bytes(r["text"]) for r in found], np.array([r["_label"] for r in found], np.float32)
+    out = np.zeros((len(found), TERMS), np.float32)
+    for row, r in zip(out, found, strict=True):
+        row[np.frombuffer(r["places"], np.int16)] = np.frombuffer(r["values"], np.float32)
+    return out, np.array([r["_label"] for r in found], np.float32)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",

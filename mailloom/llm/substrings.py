@@ -263,10 +263,14 @@ class Passages:
 
     def spans(self, repeated: DataFrame) -> DataFrame:
         """Paths of repeated edges that don't branch, as spans: start and number of words, and their source."""
-        order = Window.partitionBy("n").orderBy("start", "src_n", "src_start")
+        order = Window.partitionBy("n").orderBy("start")
         on = ((F.lag("start").over(order) == F.col("start") - 1) & (F.lag("src_n").over(order) == F.col("src_n"))
               & (F.lag("src_start").over(order) == F.col("src_start") - 1))
-        path = repeated.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("path", F.sum("new").over(order))
+        # Repeated rows of a document give a window several times; it needs one source only.
+        repeated = repeated.groupBy("n", "start").agg(F.min(F.struct("src_n", "src_start")).alias("src")).select(
+            "n", "start", "src.*")
+        path = repeated.withColumn("new", F.when(on, 0).otherwise(1)).withColumn(
+            "path", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         return path.groupBy("n", "path", "src_n").agg(
             F.min("start").alias("start"), F.min("src_start").alias("src_start"),
             (F.count("*") + self.window - 1).alias("words")).drop("path")
