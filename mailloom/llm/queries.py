@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import exact_dedup, html_text, mixing, packing, pii, quality, rules, simhash, substrings, warc
+from mailloom.llm import centroids, exact_dedup, html_text, mixing, packing, pii, quality, rules, simhash, substrings, warc
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,47 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors in 16 clusters after three rounds."""
+    return centroids.report(table(spark, folder, "embeddings"))
+
+
+def clusters_sql(rounds: int = 3) -> str:
+    """Rounds of assignment and means, written out one after the other."""
+    def near(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+            SELECT vec_id, x, min(d * 16 + k) % 16 AS k, min(d) AS d
+            FROM (SELECT v.vec_id, v.row, v.x, m.k, list_sum(list_transform(
+                    list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::HUGEINT AS d
+                FROM v, m{i} m)
+            GROUP BY row, vec_id, x)"""
+
+    def means(i: int) -> str:
+        return f"""m{i + 1} AS MATERIALIZED (
+            SELECT m.k, coalesce(s.x, m.x) AS x
+            FROM m{i} m LEFT JOIN (
+                SELECT k, list((t - ((t % n) + n) % n) // n ORDER BY place) AS x
+                FROM (SELECT k, place, sum(c) AS t, count(*) AS n
+                    FROM (SELECT k, unnest(x) AS c, unnest(range(64)) AS place FROM a{i}) GROUP BY k, place)
+                GROUP BY k) s ON m.k = s.k)"""
+
+    steps = ", ".join(f"{near(i)}, {means(i)}" for i in range(rounds))
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS row,
+                list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64),
+        m0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, x FROM v
+            ORDER BY k LIMIT 16),
+        {steps}, {near(rounds)}
+        SELECT vec_id, a.k::INTEGER AS cluster, d::BIGINT AS distance,
+            (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(m.x, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN m{rounds} m ON a.k = m.k"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -84,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op8_rules": op8_rules,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op13_centroids": op13_centroids,
 }
 
 SQL: dict[str, str] = {
@@ -102,4 +144,5 @@ SQL: dict[str, str] = {
             doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op13_centroids": clusters_sql(),
 }
