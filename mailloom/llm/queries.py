@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import centroids, exact_dedup, html_text, mixing, packing, pii, quality, rules, simhash, substrings, warc
+from mailloom.llm import (
+    centroids, collocations, exact_dedup, html_text, mixing, packing, pii, quality, rules, simhash, substrings, suffix_tree,
+    warc,
+)
 from mailloom.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +76,17 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 collocations of each language over all documents."""
+    return collocations.top(table(spark, folder, "documents")).drop("k")
+
+
+def op12_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a suffix tree over the words of those that aren't held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_tree.score(docs, F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 2)
+
+
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors in 16 clusters after three rounds."""
     return centroids.report(table(spark, folder, "embeddings"))
@@ -125,6 +139,8 @@ QUERIES: dict[str, Query] = {
     "op8_rules": op8_rules,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_lm": op12_lm,
     "op13_centroids": op13_centroids,
 }
 
@@ -144,5 +160,40 @@ SQL: dict[str, str] = {
             doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT lang, row_number() OVER () AS row, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents)),
+        places AS (
+            SELECT lang, w1, lead(w1, 1) OVER piece AS w2, lead(w1, 2) OVER piece AS w3, lead(w1, 3) OVER piece AS w4
+            FROM (SELECT lang, row, unnest(words) AS w1, unnest(range(len(words))) AS i FROM pieces)
+            WINDOW piece AS (PARTITION BY row ORDER BY i)),
+        f AS MATERIALIZED (
+            SELECT lang, [w1] AS p, 1 AS k, count(*) AS a FROM places GROUP BY lang, w1
+            UNION ALL SELECT lang, [w1, w2], 2, count(*) FROM places WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+            UNION ALL SELECT lang, [w1, w2, w3], 3, count(*) FROM places WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3
+            UNION ALL SELECT lang, [w1, w2, w3, w4], 4, count(*) FROM places WHERE w4 IS NOT NULL
+                GROUP BY lang, w1, w2, w3, w4),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+        inside AS (
+            SELECT lang, p[i:i + m - 1] AS part, max(a) AS most
+            FROM c, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS m) WHERE m < k AND i + m - 1 <= k
+            GROUP BY ALL),
+        cuts AS (
+            SELECT c.lang, c.p, c.k, c.a, s.cut, l.a AS l, r.a AS r,
+                ((2000000::HUGEINT * c.a) // (l.a + r.a))::BIGINT AS score
+            FROM c JOIN (SELECT unnest([1, 2, 3]) AS cut) s ON s.cut < c.k
+            JOIN f l ON l.lang = c.lang AND l.p = c.p[1:s.cut]
+            JOIN f r ON r.lang = c.lang AND r.p = c.p[s.cut + 1:]),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+        kept AS (
+            SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.part = b.p
+            WHERE i.most IS NULL OR 100 * i.most < 80 * b.a)
+        SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept k JOIN n ON n.lang = k.lang QUALIFY rank <= 2000""",
     "op13_centroids": clusters_sql(),
 }
