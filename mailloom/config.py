@@ -22,6 +22,8 @@ class EngineConfig:
     min_page_length: int = 100
     match_candidates: int = 10
     score_threshold: float = 0.35
+    entity_thresholds: tuple[tuple[str, float], ...] = ()
+    model_score: float = 0.85
     high_confidence: float = 0.8
     min_accuracy: float = 0.6
     max_latency_sec: float = 10.0

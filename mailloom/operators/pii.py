@@ -16,16 +16,16 @@ from pyspark.sql.types import ArrayType
 
 from mailloom import rules
 from mailloom.config import DEFAULT_CONFIG, EngineConfig
+from mailloom.functions.spans import rewrite_spans, running_sums, united
 from mailloom.functions.text import bind, rewrite_hits
 from mailloom.rules import PII_RULES, PiiRule
 from mailloom.schemas import SPAN
 
-#: Marks of a hit's first and further characters (noncharacters, which no text interchanges), and a run of them.
-_FIRST, _FURTHER = "\ufdd0", "\ufdd1"
-_RUN = f"(?s){_FIRST}.(?:{_FURTHER}.)*+"
 #: Rules and models have a few fixed scores; each is a level of resolve_overlaps.
 MOST_LEVELS = 200
 _SPANS = ArrayType(SPAN)
+#: Score of what a named-entity model finds, unless told otherwise.
+MODEL_SCORE = 0.85
 STRETCH = 1 << 18
 
 
@@ -65,25 +65,18 @@ def luhn_valid(c: Column) -> Column:
 def rule_spans(c: Column, rule: PiiRule, keep: Callable[[Column], Column] | None = None) -> Column:
     """array<span> of one rule; offsets are running sums of gap and hit lengths."""
     pattern = regex_of(rule)
-    pieces = F.arrays_zip(
-        F.split(c, pattern, -1).alias("gap"),
-        F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("hit"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        begin = acc["at"] + F.char_length(piece["gap"])
-        end = begin + F.coalesce(F.char_length(piece["hit"]), F.lit(0))
-        span = F.struct(
+    def span(hit: Column, end: Column) -> Column:
+        return F.struct(
             F.lit(rule.entity_type).alias("entity_type"), F.lit(rule.name).alias("rule"),
-            begin.alias("start"), end.alias("end"),
-            F.lit(rule.score).alias("score"), piece["hit"].alias("text"),
-        )
-        grown = F.when(piece["hit"].isNull(), acc["spans"]).otherwise(
-            F.concat(acc["spans"], F.array(span).cast(_SPANS)))
-        return F.struct(end.alias("at"), grown.alias("spans"))
-
-    found = F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+            (end - F.char_length(hit)).alias("start"), end.alias("end"), F.lit(rule.score).alias("score"), hit.alias("text"))
+
+    def spans(hits: Column) -> Column:
+        gaps = F.slice(F.split(c, pattern, -1), F.lit(1), F.size(hits))
+        ends = running_sums(F.zip_with(gaps, hits, lambda gap, hit: F.char_length(gap) + F.char_length(hit)))
+        return F.when(F.size(hits) > 0, F.zip_with(hits, ends, span)).otherwise(F.array().cast(_SPANS))
+
+    found = bind(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), spans)
     if keep is not None:
         found = F.filter(found, lambda s: keep(s["text"]))
     return F.when(gate(c, rule), found).otherwise(F.array().cast(_SPANS))
@@ -159,11 +152,7 @@ def apply_thresholds(
 ) -> DataFrame:
     """Keep spans that reach the least score of their entity type. The table is a few fixed
     values, so it is compiled into the filter."""
-    least = F.coalesce(
-        *[F.when(F.col("entity_type") == kind, F.lit(value)) for kind, value in thresholds],
-        F.lit(default),
-    )
-    return spans.where(F.col("score") >= least)
+    return spans.where(F.col("score") >= least_scores(thresholds, default)(F.col("entity_type")))
 
 
 def resolve_overlaps(
@@ -201,47 +190,77 @@ def resolve_overlaps(
     return judged.where(~F.col("_covered") & (F.col("_stretch") == first)).drop("_covered", "_stretch")
 
 
-def _rewrite(c: Column, how: Callable[[Column], Column], chosen: Sequence[PiiRule]) -> Column:
-    """Every hit put through ``how``. All hits are looked for in the text as it came; those that overlap are united.
+def least_scores(thresholds: Sequence[tuple[str, float]], default: float) -> Callable[[Column], Column]:
+    """The least score of an entity type, as an expression."""
+    def least(kind: Column) -> Column:
+        return F.coalesce(*[F.when(kind == name, F.lit(value)) for name, value in thresholds], F.lit(default))
+    return least
+
+
+def entity_spans(
+    c: Column, model: Callable[[pd.Series], pd.Series], score: float = MODEL_SCORE,
+    labels: Sequence[tuple[str, str]] = rules.NER_LABELS,
+) -> Column:
+    """array<span> of a named-entity model, as ``model_spans`` gives them row by row; batches of texts stream through it.
+    Spans are cut to the text, and a null text has none."""
+    kinds = dict(labels)
+
+    @F.pandas_udf(_SPANS)
+    def spans(texts: pd.Series) -> pd.Series:
+        texts = texts.fillna("")
+        return pd.Series([
+            [{"entity_type": kinds[label], "rule": "model", "start": max(0, int(a)), "end": min(len(t), int(b)),
+              "score": score, "text": t[max(0, int(a)): int(b)]} for label, a, b in found if label in kinds]
+            for t, found in zip(texts, model(texts), strict=True)], index=texts.index, dtype=object)
+
+    return spans(c)
+
 
-    Where one rule hits, its hits are rewritten as they stand. Where several do, each rule marks the first and the
-    further characters of its hits, the marks are united place by place, and each run of marks is rewritten.
+def _rewrite(
+    c: Column, how: Callable[[Column, Column], Column], chosen: Sequence[PiiRule], extra: Column | None = None,
+) -> Column:
+    """Every hit put through ``how(hit, entity_type)``. All hits are looked for in the text as it came, those of
+    ``extra`` (array<span>) among them; those that overlap are united, and the text is cut once.
+
+    Where one rule hits, its hits are rewritten as they stand.
     """
-    def hits(t: Column, rule: PiiRule) -> Column:
-        return F.coalesce(gate(t, rule) & t.rlike(regex_of(rule)), F.lit(False))
-
-    def marked(t: Column, rule: PiiRule) -> Column:
-        marks = rewrite_hits(t, regex_of(rule), lambda h: F.concat(
-            F.lit(_FIRST), F.repeat(F.lit(_FURTHER), F.char_length(h) - 1)))
-        return F.split(marks, "")
-
-    def unite(t: Column, which: Column) -> Column:
-        def step(acc: Column, rule: PiiRule, i: int) -> Column:
-            both = F.zip_with(acc, marked(t, rule), lambda a, b: F.when(
-                (a == _FURTHER) | (b == _FURTHER), F.lit(_FURTHER)).when(b == _FIRST, F.lit(_FIRST)).otherwise(a))
-            return F.when(which[i], both).otherwise(acc)
-
-        chars = F.split(t, "")
-        united = chars
-        for i, rule in enumerate(chosen):
-            united = step(united, rule, i)
-        joined = F.array_join(F.zip_with(united, chars, lambda u, ch: F.when(
-            u.isin(_FIRST, _FURTHER), F.concat(u, ch)).otherwise(ch)), "")
-        return rewrite_hits(joined, _RUN, lambda h: how(F.regexp_replace(h, f"(?s)[{_FIRST}{_FURTHER}](.)", "$1")))
+    if not chosen and extra is None:
+        return c
 
     def one(t: Column, which: Column) -> Column:
         done = F
         for i, rule in enumerate(chosen):
-            done = done.when(which[i], rewrite_hits(t, regex_of(rule), how))
-        return done.otherwise(t)
+            done = done.when(which[i], rewrite_hits(t, regex_of(rule), lambda h, r=rule: how(h, F.lit(r.entity_type))))
+        return t if done is F else done.otherwise(t)
 
-    def rewritten(t: Column) -> Column:
-        return bind(F.array(*(hits(t, r) for r in chosen)), lambda which: F.when(
-            F.size(F.filter(which, lambda x: x)) > 1, unite(t, which)).otherwise(one(t, which)))
+    def several(t: Column, which: Column) -> Column:
+        nothing = F.array().cast(_SPANS)
+        parts = [F.when(which[i], rule_spans(t, r)).otherwise(nothing) for i, r in enumerate(chosen)]
+        return rewrite_spans(t, united(F.concat(*parts, *more)), how)
 
-    if not chosen:
-        return c
-    return bind(c, lambda t: F.when(any_gate(t, chosen), rewritten(t)).otherwise(t))
+    def rewritten(t: Column) -> Column:
+        hits = F.array(*(F.coalesce(gate(t, r) & t.rlike(regex_of(r)), F.lit(False)) for r in chosen)).cast("array<boolean>")
+        return bind(hits, lambda which: F.when(
+            F.size(F.filter(which, lambda x: x)) + given > 1, several(t, which)).otherwise(one(t, which)))
+
+    more = [] if extra is None else [F.coalesce(extra, F.array().cast(_SPANS))]
+    given = F.lit(0) if extra is None else F.when(F.size(more[0]) > 0, 2).otherwise(0)
+    may = (lambda t: any_gate(t, chosen)) if chosen else (lambda t: F.lit(False))
+    return bind(c, lambda t: F.when(may(t) | (given > 0), rewritten(t)).otherwise(t))
+
+
+def _decided(
+    entities: Sequence[str] | None, table: Sequence[PiiRule], extra: Column | None,
+    thresholds: Sequence[tuple[str, float]], least: float,
+) -> tuple[list[PiiRule], Column | None]:
+    """The rules and the further spans that entity types and thresholds let through."""
+    known = dict(thresholds)
+    chosen = [r for r in select_rules(entities, table) if r.score >= known.get(r.entity_type, least)]
+    if extra is None:
+        return chosen, None
+    bound = least_scores(thresholds, least)
+    return chosen, F.filter(extra, lambda s: (s["score"] >= bound(s["entity_type"])) & (
+        F.lit(True) if entities is None else s["entity_type"].isin(*entities)))
 
 
 def mask(
@@ -250,12 +269,18 @@ def mask(
     table: Sequence[PiiRule] = PII_RULES,
     char: str = DEFAULT_CONFIG.pii_mask_char,
     mask_plus: bool = False,
+    extra: Column | None = None,
+    thresholds: Sequence[tuple[str, float]] = (),
+    least: float = DEFAULT_CONFIG.score_threshold,
 ) -> Column:
     """Overwrite every character of a hit; the length stays the same.
 
-    The phone rule as written leaves a leading "+" in place; ``mask_plus`` takes it too.
+    ``extra`` are spans of other recognisers, such as ``entity_spans``. Spans below the least score of their entity type,
+    or of other types than ``entities``, stay as they are. The phone rule as written leaves a leading "+" in place;
+    ``mask_plus`` takes it too.
     """
-    done = _rewrite(c, lambda hit: F.repeat(F.lit(char), F.char_length(hit)), select_rules(entities, table))
+    chosen, more = _decided(entities, table, extra, thresholds, least)
+    done = _rewrite(c, lambda hit, _: F.repeat(F.lit(char), F.char_length(hit)), chosen, more)
     return F.regexp_replace(done, r"\+(?=\Q" + char + r"\E{7})", "\\" + char) if mask_plus else done
 
 
@@ -264,32 +289,56 @@ def replace(
     entities: Sequence[str] | None = DEFAULT_CONFIG.pii_entities,
     table: Sequence[PiiRule] = PII_RULES,
     value: str = rules.REDACTED,
+    extra: Column | None = None,
+    thresholds: Sequence[tuple[str, float]] = (),
+    least: float = DEFAULT_CONFIG.score_threshold,
 ) -> Column:
-    """Put a fixed text in place of each hit."""
-    return _rewrite(c, lambda hit: F.when(hit.isNotNull(), F.lit(value)), select_rules(entities, table))
+    """Put a fixed text in place of each hit; see ``mask`` for what a hit is."""
+    chosen, more = _decided(entities, table, extra, thresholds, least)
+    return _rewrite(c, lambda hit, _: F.when(hit.isNotNull(), F.lit(value)), chosen, more)
 
 
 def hash_spans(
     c: Column,
     entities: Sequence[str] | None = DEFAULT_CONFIG.pii_entities,
     table: Sequence[PiiRule] = PII_RULES,
+    extra: Column | None = None,
+    thresholds: Sequence[tuple[str, float]] = (),
+    least: float = DEFAULT_CONFIG.score_threshold,
 ) -> Column:
-    """Put the SHA-256 of each hit in its place."""
-    return _rewrite(c, lambda hit: F.sha2(hit, 256), select_rules(entities, table))
+    """Put the SHA-256 of each hit in its place; see ``mask`` for what a hit is."""
+    chosen, more = _decided(entities, table, extra, thresholds, least)
+    return _rewrite(c, lambda hit, _: F.sha2(hit, 256), chosen, more)
 
 
 def rewrite_by_entity(
     c: Column,
     choices: Sequence[tuple[str, str]] = rules.DEFAULT_REWRITES,
     table: Sequence[PiiRule] = PII_RULES,
+    extra: Column | None = None,
+    thresholds: Sequence[tuple[str, float]] = (),
+    least: float = DEFAULT_CONFIG.score_threshold,
+    char: str = DEFAULT_CONFIG.pii_mask_char,
+    value: str = rules.REDACTED,
 ) -> Column:
-    """Rewrite each entity type its own way: "mask", "replace" or "hash"."""
-    ways = {"mask": mask, "replace": replace, "hash": hash_spans}
-    chosen = dict(choices)
-    for rule in table:
-        if rule.entity_type in chosen:
-            c = ways[chosen[rule.entity_type]](c, None, [rule])
-    return c
+    """Rewrite each entity type its own way: "mask", "replace" or "hash". Hits that overlap are rewritten as one, the way
+    of the type with the highest score."""
+    ways = {
+        "mask": lambda hit: F.repeat(F.lit(char), F.char_length(hit)),
+        "replace": lambda hit: F.when(hit.isNotNull(), F.lit(value)),
+        "hash": lambda hit: F.sha2(hit, 256),
+    }
+    kinds = {way: [kind for kind, chosen in choices if chosen == way] for way in ways}
+
+    def how(hit: Column, kind: Column) -> Column:
+        done = F
+        for way, names in kinds.items():
+            if names:
+                done = done.when(kind.isin(*names), ways[way](hit))
+        return hit if done is F else done.otherwise(hit)
+
+    chosen, more = _decided([kind for kind, _ in choices], table, extra, thresholds, least)
+    return _rewrite(c, how, chosen, more)
 
 
 def extract(c: Column, table: Sequence[PiiRule] = PII_RULES) -> Column:

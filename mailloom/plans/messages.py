@@ -25,6 +25,7 @@ class Hooks:
     embed: Callable | None = None
     classify: Callable | None = None
     dpo: Callable | None = None
+    entities: Callable | None = None
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,12 @@ def describe(
     ``data_source`` says whether user data is read from the original or the masked text.
     """
     clean = metadata_columns(clean_messages(messages, config, mode), "clean_text", config, mode)
-    masked = clean.withColumn(
-        "masked_text", pii.mask(F.col("clean_text"), config.pii_entities, char=config.pii_mask_char))
+    if hooks.entities is not None:
+        clean = clean.withColumn("_spans", pii.entity_spans(F.col("clean_text"), hooks.entities, config.model_score))
+    masked = clean.withColumn("masked_text", pii.mask(
+        F.col("clean_text"), config.pii_entities, char=config.pii_mask_char,
+        extra=F.col("_spans") if hooks.entities is not None else None,
+        thresholds=config.entity_thresholds, least=config.score_threshold))
     read_from = "clean_text" if data_source == "original" else "masked_text"
     described = masked.withColumn("data", pii.extract(F.col(read_from))).withColumn(
         "document", similarity.embedding_text(

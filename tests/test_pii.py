@@ -114,3 +114,97 @@ def test_model_spans(spark):
 def test_stats_by_group(spark):
     got = {tuple(r) for r in pii.pii_stats(frame(spark), "text").collect()}
     assert ("SSN", 1) in got and ("EMAIL_ADDRESS", 3) in got or ("EMAIL_ADDRESS", 4) in got
+
+
+def _union(found):
+    """Spans (start, end, score, type) -> united ones (start, end, type)."""
+    groups = []
+    for span in sorted(found):
+        if groups and span[0] < groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], span[1])
+            groups[-1][2].append(span)
+        else:
+            groups.append([span[0], span[1], [span]])
+    return [(a, b, min(members, key=lambda m: (-m[2], m[3]))[3]) for a, b, members in groups]
+
+
+def _rewritten(text, found, how):
+    out, at = [], 0
+    for a, b, kind in _union(found):
+        out += [text[at:a], how(text[a:b], kind)]
+        at = b
+    return "".join(out) + text[at:]
+
+
+LOOSE = (
+    pii.PiiRule("digits", "CREDIT_CARD", "[0-9]{3,}", 0.9, digits=3),
+    pii.PiiRule("ab", "PHONE_NUMBER", "[ab0-9]{2,5}", 0.7),
+    pii.PiiRule("mail", "EMAIL_ADDRESS", r"[a-zé]+@[a-z]+", 0.9, needs="@"),
+)
+
+
+def _cases():
+    import random
+    rnd = random.Random(5)
+    rows = [(i, "".join(rnd.choice("ab01 @é😀x\ufdd0") for _ in range(rnd.choice((0, 3, 20, 200))))) for i in range(120)]
+    rows += [(900, None), (901, "ab 123 " * 300), (902, "a@b" * 200 + "12345" * 50)]
+    spans = {}
+    for i, t in rows:
+        n = len(t or "")
+        spans[i] = [(rnd.choice(("PERSON", "LOCATION")), a, min(n, a + rnd.randrange(4)), rnd.choice((0.2, 0.5, 0.95)))
+                    for a in (rnd.randrange(n) for _ in range(rnd.choice((0, 0, 1, 4, 40))) if n)]
+    return rows, spans
+
+
+def test_one_span_set_decides_about_rewriting(spark):
+    rows, spans = _cases()
+    df = spark.createDataFrame([
+        (i, t, [(k, "model", a, b, s, None) for k, a, b, s in spans[i]]) for i, t in rows],
+        "id int, text string, spans array<struct<entity_type:string,rule:string,start:int,end:int,score:double,text:string>>")
+    kinds = ["CREDIT_CARD", "PHONE_NUMBER", "EMAIL_ADDRESS", "PERSON", "LOCATION"]
+    limits = (("LOCATION", 0.9),)
+    options = dict(table=LOOSE, extra=F.col("spans"), thresholds=limits)
+    choices = (("CREDIT_CARD", "hash"), ("PHONE_NUMBER", "mask"), ("EMAIL_ADDRESS", "replace"), ("PERSON", "mask"), ("LOCATION", "replace"))
+    got = {r["id"]: r for r in df.select(
+        "id", pii.mask(F.col("text"), kinds, **options).alias("m"), pii.replace(F.col("text"), kinds, **options).alias("r"),
+        pii.hash_spans(F.col("text"), kinds, **options).alias("h"),
+        pii.rewrite_by_entity(F.col("text"), choices, **options).alias("e"),
+        pii.mask(F.col("text"), ["PERSON"], **options).alias("p"),
+        pii.mask(F.col("text"), kinds, table=LOOSE).alias("rules")).collect()}
+    sha = lambda hit, _: hashlib.sha256(hit.encode()).hexdigest()
+    star = lambda hit, _: "*" * len(hit)
+    red = lambda *_: "[REDACTED]"
+    way = dict(hash=sha, mask=star, replace=red)
+    for i, t in rows:
+        if t is None:
+            assert got[i]["m"] is None
+            continue
+        by_rule = [(m.start(), m.end(), r.score, r.entity_type) for r in LOOSE for m in re.finditer(r.pattern, t)]
+        extra = [(a, b, s, k) for k, a, b, s in spans[i] if b > a and s >= dict(limits).get(k, 0.35)]
+        both = by_rule + extra
+        assert got[i]["m"] == _rewritten(t, both, star) and got[i]["r"] == _rewritten(t, both, red)
+        assert got[i]["h"] == _rewritten(t, both, sha)
+        assert got[i]["e"] == _rewritten(t, both, lambda hit, kind: way[dict(choices)[kind]](hit, kind))
+        assert got[i]["p"] == _rewritten(t, [x for x in extra if x[3] == "PERSON"], star)
+        assert got[i]["rules"] == _rewritten(t, by_rule, star)
+
+
+def test_many_hits_of_one_text(spark):
+    import time
+    text = "call 555-123-4567 or a.b@c.io now " * 10_000
+    df = spark.createDataFrame([(text,)], "text string")
+    at = time.time()
+    spans = pii.pii_spans(df, "text").collect()
+    masked = df.select(pii.mask(F.col("text"))).first()[0]
+    assert time.time() - at < 60
+    assert len(spans) == 20_000 and all(text[s["start"]:s["end"]] == s["text"] for s in spans)
+    assert masked == "call ************ or ******** now " * 10_000
+
+
+def test_entity_model_spans(spark):
+    def model(texts):
+        return texts.map(lambda t: [("PER", 0, 4), ("O", 5, 6), ("GPE", 2, 900)] if t.startswith("mail") else [])
+
+    got = frame(spark).select("id", pii.entity_spans(F.col("text"), model).alias("s")).collect()
+    assert {r["id"]: [tuple(s) for s in r["s"]] for r in got if r["s"]} == {
+        0: [("PERSON", "model", 0, 4, 0.85, "mail"), ("LOCATION", "model", 2, len(TEXTS[0]), 0.85, TEXTS[0][2:])]}
