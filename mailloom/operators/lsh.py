@@ -31,12 +31,6 @@ def _bucketed(df: DataFrame, model, vec: str, tables: int, width: int) -> DataFr
     return hashed.select(*kept, F.posexplode(buckets).alias("_table", "_bucket"))
 
 
-def _parts(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """Buckets too big for one block, and the number of blocks each takes."""
-    counts = df.groupBy("_table", "_bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
-    return counts.select("_table", "_bucket", F.ceil(F.col("n") / rows).cast("int").alias(name))
-
-
 def _scaled(df: DataFrame, vec: str, metric: str) -> DataFrame:
     if metric != "cosine":
         return df
@@ -96,16 +90,7 @@ def knn_lsh(
     hashed_c = _bucketed(_scaled(c, "_cv", metric), model, "_cv", tables, width)
 
     keys = ["_table", "_bucket"]
-    blocks, shares = _parts(hashed_c, rows, "_blocks"), _parts(hashed_q, rows, "_shares")
-
-    def split(df, own: str, own_name: str, other: str, other_name: str, id_col: str):
-        sized = df.join(blocks, keys, "left").join(shares, keys, "left")
-        mine = F.pmod(F.xxhash64(id_col), F.coalesce(own, F.lit(1))).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
-        return sized.withColumn(own_name, mine).withColumn(other_name, copies).drop("_blocks", "_shares")
-
-    left = split(hashed_q, "_shares", "_share", "_blocks", "_block", query_id)
-    right = split(hashed_c, "_blocks", "_block", "_shares", "_share", index_id)
+    left, right = nb.deal_blocks(hashed_q, hashed_c, keys, query_id, index_id, rows)
     found = nb.block_neighbours(
         left, right, [*keys, "_block", "_share"], k, query_id=query_id, index_id=index_id,
         query_cols=query_cols, index_cols=index_cols, metric=metric, within=None, skip_self=skip_self)

@@ -343,6 +343,34 @@ def usable(df: DataFrame, id_col: str, cols: Sequence[str], vec: str, name: str,
     return rows.where(F.exists(name, lambda x: x != 0)) if metric == "cosine" else rows
 
 
+def default_block_rows(rows: DataFrame, vec: str) -> int:
+    """Vectors that a block holds."""
+    sample = rows.select(vec).first()
+    return max(1024, BLOCK_BYTES // (8 * len(sample[vec]))) if sample else 1024
+
+
+def deal_blocks(
+    queries: DataFrame, index: DataFrame, keys: Sequence[str], query_id: str, index_id: str, rows: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _block and _share, on which, beside the keys, they meet: the index rows of a key are dealt into
+    blocks and its queries into shares, of about ``rows`` each; a share goes to all blocks of its own key."""
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+        return counts.select(*keys, F.ceil(F.col("n") / rows).cast("int").alias(name))
+
+    blocks, shares = parts(index, "_blocks"), parts(queries, "_shares")
+
+    def split(df: DataFrame, own: str, own_name: str, other: str, other_name: str, id_col: str) -> DataFrame:
+        sized = df.join(blocks, list(keys), "left").join(shares, list(keys), "left")
+        mine = F.pmod(F.xxhash64(id_col), F.coalesce(own, F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return sized.withColumn(own_name, mine).withColumn(other_name, copies).drop("_blocks", "_shares")
+
+    return (split(queries, "_shares", "_share", "_blocks", "_block", query_id),
+            split(index, "_blocks", "_block", "_shares", "_share", index_id))
+
+
 def knn(
     queries: DataFrame,
     index: DataFrame,

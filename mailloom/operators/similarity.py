@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailloom import rules
 from mailloom.config import DEFAULT_CONFIG, EngineConfig
 from mailloom.functions import domains, links
+from mailloom.operators import routing
 from mailloom.operators.neighbours import knn
 
 
@@ -72,18 +73,24 @@ def match(
     metric: str = "sql2",
     confident_only: bool = False,
     config: EngineConfig = DEFAULT_CONFIG,
+    skip_self: bool = False,
     block_rows: int | None = None,
+    domain_first: bool = True,
 ) -> DataFrame:
     """Best match of each query among its nearest index rows.
 
-    With ``confident_only`` the search itself is bounded by the reach of the threshold.
+    With ``confident_only`` the search itself is bounded by the reach of the threshold; and where no unrelated domain can
+    be confident, candidates are looked for by domain first (``routing``). ``domain_first=False`` searches for all.
     """
     reach = reach_of(config) if confident_only else None
-    near = knn(
-        queries, index, config.match_candidates, query_id=query_id, query_vec=query_vec,
-        index_id=index_id, index_vec=index_vec, query_cols=[query_domain],
-        index_cols=[candidate_domain, *keep], metric=metric, within=reach, block_rows=block_rows,
-    )
+    names = dict(query_id=query_id, query_vec=query_vec, index_id=index_id, index_vec=index_vec, metric=metric,
+                 skip_self=skip_self, block_rows=block_rows)
+    if confident_only and domain_first and routing.applies(config):
+        near = routing.survivors(
+            queries, index, config, reach, query_domain=query_domain, candidate_domain=candidate_domain, keep=keep, **names)
+    else:
+        near = knn(queries, index, config.match_candidates, query_cols=[query_domain],
+                   index_cols=[candidate_domain, *keep], within=reach, **names)
     best = best_match(
         score(near, query_domain, candidate_domain, config), query_id, index_id, [candidate_domain, *keep])
     return best.where(is_confident(F.col("confidence"), config)) if confident_only else best

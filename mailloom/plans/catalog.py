@@ -42,6 +42,7 @@ LOCAL_THRESHOLDS = (("EMAIL_ADDRESS", 0.5), ("PHONE_NUMBER", 0.85), ("CREDIT_CAR
 LOOSE_RULES = (*rules.PII_RULES, PiiRule("any_phone", "PHONE_NUMBER", rules.COMPANY_PHONE, 0.75, digits=4))
 # No two of the given vectors are nearly the same, so a lower threshold decides.
 ROUTE = EngineConfig(confidence_threshold=0.3)
+DOMAIN_ROUTE = EngineConfig(confidence_threshold=0.3, default_domain_weight=0.3)
 WHOLE = EngineConfig(max_email_length=None)
 
 
@@ -395,21 +396,18 @@ def match_domains(spark, sf):
     return similarity.match_domains(_best(spark, sf), "c_domain")
 
 
-def confident_route(spark, sf):
+def _route(spark, sf, config):
     """Messages with a vector are matched, the rest and the unsure are classified by rules."""
     q, c = _queries_and_index(spark, sf)
-    near = neighbours.knn(
-        q, c, 10, metric="cosine", skip_self=True, query_cols=["q_domain"],
-        index_cols=["c_domain", "email_category", "business_name"], within=similarity.reach_of(ROUTE))
-    best = similarity.best_match(
-        similarity.score(near, "q_domain", "c_domain"), "q_id", "c_id", ["email_category", "business_name"])
-    sure = best.where(similarity.is_confident(F.col("confidence"), ROUTE)).select(
-        F.col("q_id").alias("email_id"), "confidence", "email_category", "business_name")
+    sure = similarity.match(
+        q, c, query_id="q_id", index_id="c_id", query_domain="q_domain", candidate_domain="c_domain",
+        keep=["email_category", "business_name"], metric="cosine", confident_only=True, skip_self=True, config=config,
+    ).select(F.col("q_id").alias("email_id"), "confidence", "email_category", "business_name")
     docs = src.text_messages(_docs(spark, sf))
     matched = F.col("confidence").isNotNull()
     rest = classify.fallback_result(
         F.col("text_content"), domains.sender_domain(F.col("from_email")), F.array().cast("array<string>"), LOCAL_KEYWORDS)
-    joined = docs.join(sure, "email_id", "left").withColumn("rest", rest)
+    joined = docs.withColumn("rest", rest).drop("text_content").join(sure, "email_id", "left")
     return joined.select(
         "email_id", F.when(matched, F.lit("match")).otherwise(F.lit("classifier")).alias("route"),
         F.when(matched, similarity.category_from_match(F.col("email_category"))).otherwise(F.col("rest.email_category")).alias("category"),
@@ -417,6 +415,16 @@ def confident_route(spark, sf):
         _r(F.coalesce("confidence", "rest.confidence_score")).alias("confidence"))
 
 
+def confident_route(spark, sf):
+    """At a threshold that candidates of any domain can reach."""
+    return _route(spark, sf, ROUTE)
+
+
+def domain_route(spark, sf):
+    """At a threshold that only candidates of the same or a related domain can reach."""
+    return _route(spark, sf, DOMAIN_ROUTE)
+
+
 def index_stats(spark, sf):
     return similarity.index_stats(_index(spark, sf))
 
@@ -749,7 +757,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pii_spans, pii_cards_checked, pii_thresholds, pii_overlap, pii_mask, pii_replace, pii_hash,
     pii_default_rewrite, pii_extract, pii_stats, pii_by_language, pii_conversations,
     embedding_text, hashing_embed, knn_topk, knn_cosine, knn_cells, knn_within, knn_lsh, domain_weights,
-    score_candidates, best_match, match_stats, match_domains, confident_route, index_stats, index_totals,
+    score_candidates, best_match, match_stats, match_domains, confident_route, domain_route, index_stats, index_totals,
     index_delete, index_peek,
     classify_rules, classify_whole_words, company_from_domain, fallback_result, parse_model_json,
     privacy_candidates, privacy_links, dpo_extract, resolve_site_policy, enrich_dpo,

@@ -196,6 +196,18 @@ SCORED = f"""select *, similarity * domain_weight as confidence from (
 BEST = f"""select * from (select *, row_number() over (partition by q_id order by confidence desc, distance, c_id) as pos
     from ({SCORED})) where pos = 1"""
 
+# Unrelated domains weigh 0.3 here.
+BEST_RELATED = BEST.replace("else 0.5", "else 0.3")
+
+
+def route(best: str) -> str:
+    return f"""select doc_id as email_id, case when m.q_id is null then 'classifier' else 'match' end as route,
+        coalesce(m.email_category, {keywords('text', cat.LOCAL_KEYWORDS)}) as category,
+        coalesce(m.business_name, {company("lang || '.' || source || '.example'")}) as name,
+        round(coalesce(m.confidence, 0.3), 6) as confidence
+        from documents left join (select * from ({best}) where confidence > 0.3) m on q_id = doc_id"""
+
+
 RAW = """(select doc_id, case when source = 'src3' then full_raw[1:length(full_raw) - 1] else full_raw end as raw from (
     select doc_id, source, case
       when lang = 'de' then json_object('from_email', 'u' || doc_id || '@' || source || '.example', 'subject', 'Message ' || doc_id, 'text_content', text)::varchar
@@ -372,11 +384,8 @@ SQL: dict[str, str] = {
     "match_stats": f"""select count(*) as total_matches, count(*) filter (confidence > 0.3) as confident_matches,
         round(avg(confidence), 3) as avg_confidence, round(avg(similarity), 3) as avg_similarity from ({BEST})""",
     "match_domains": f"select c_domain as sender_domain, count(*) as matches from ({BEST}) group by 1",
-    "confident_route": f"""select doc_id as email_id, case when m.q_id is null then 'classifier' else 'match' end as route,
-        coalesce(m.email_category, {keywords('text', cat.LOCAL_KEYWORDS)}) as category,
-        coalesce(m.business_name, {company("lang || '.' || source || '.example'")}) as name,
-        round(coalesce(m.confidence, 0.3), 6) as confidence
-        from documents left join (select * from ({BEST}) where confidence > 0.3) m on q_id = doc_id""",
+    "confident_route": route(BEST),
+    "domain_route": route(BEST_RELATED),
     "index_stats": f"""select field, value, count(*) as documents from (
         select 'sender_domain' as field, sender_domain as value from {INDEX} union all
         select 'email_category', email_category from {INDEX} union all

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailloom.config import EngineConfig
-from mailloom.operators import classify, lsh, neighbours, similarity
+from mailloom.operators import classify, lsh, neighbours, routing, similarity
 from mailloom.operators.skew import lookup_join
 
 
@@ -104,6 +104,35 @@ def test_bounded_route_equals_full_search(spark, threshold):
     assert len(key(full)) > 0
 
 
+@pytest.mark.parametrize("threshold, default, block_rows", [(0.5, 0.5, 16), (0.3, 0.3, 7), (0.85, 0.5, None), (0.3, 0.1, 16)])
+def test_domain_first_equals_full_search(spark, threshold, default, block_rows):
+    x = vectors(n=150, copies=12, dim=4) / 6
+    q, c = frames(spark, x)
+    names = ["a.example", "mail.a.example", "example", "x.b.example", "b.example", "org", "q.org", None, "", " B.example", "c.net"]
+    named = lambda i: F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(F.xxhash64(i), F.lit(len(names))) + 1).cast("int"))
+    q, c = q.withColumn("q_domain", named("q_id")), c.withColumn("c_domain", named("c_id"))
+    config = EngineConfig(confidence_threshold=threshold, default_domain_weight=default, match_candidates=5)
+    options = dict(query_id="q_id", index_id="c_id", query_domain="q_domain", candidate_domain="c_domain", config=config)
+    key = lambda df: sorted((r["q_id"], r["c_id"], round(r["confidence"], 9)) for r in df.collect())
+    full = key(similarity.match(q, c, **options).where(similarity.is_confident(F.col("confidence"), config)))
+    fast = similarity.match(q, c, confident_only=True, block_rows=block_rows, **options)
+    assert key(fast) == full and len(full) > 0
+    alone = similarity.match(q, c, confident_only=True, skip_self=True, **options)
+    bounded = similarity.match(q, c, confident_only=True, skip_self=True, domain_first=False, **options)
+    assert key(alone) == key(bounded)
+
+
+def test_queries_travel_to_their_own_domains_only(spark):
+    x = vectors(n=400, copies=1, dim=4)
+    q, c = frames(spark, x)
+    q, c = _domains(q, "q_id", "q_domain"), _domains(c, "c_id", "c_domain")
+    left, right = (routing._keyed(a, b, d, e, "s:", "t:") for a, b, d, e in ((q, "q_domain", c, "c_domain"), (c, "c_domain", q, "q_domain")))
+    dealt, blocks = neighbours.deal_blocks(left, right, ["_key"], "q_id", "c_id", 20)
+    assert dealt.groupBy("q_id").agg(F.countDistinct("_key").alias("n")).where("n > 1").isEmpty()
+    sizes = [r["n"] for r in blocks.where("_share = 0").groupBy("_key", "_block").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 45 and sum(sizes) == 400
+
+
 def test_negative_similarity_prefers_the_lower_weight(spark):
     near = spark.createDataFrame([(1, 1, 2.0, "a.com", "a.com"), (1, 2, 2.0, "a.com", "b.com")],
                                  "q_id int, c_id int, distance double, q string, c string")
