@@ -364,6 +364,13 @@ def knn_lsh(spark, sf):
     return lsh.knn_lsh(q, c, 5, skip_self=True).withColumn("distance", _r("distance"))
 
 
+def knn_lsh_recall(spark, sf):
+    """Whether the approximate search by its default parameters finds nine tenths of the exact neighbours."""
+    q, c = (cut_lineage(x) for x in _queries_and_index(spark, sf))
+    near, exact = lsh.knn_lsh(q, c, 5, skip_self=True, complete=False), neighbours.knn(q, c, 5, skip_self=True)
+    return lsh.recall_of(near, exact).select("neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _scored(spark, sf):
     q, c = _queries_and_index(spark, sf)
     near = neighbours.knn(
@@ -756,7 +763,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     company_names, company_addresses, company_phones, company_info,
     pii_spans, pii_cards_checked, pii_thresholds, pii_overlap, pii_mask, pii_replace, pii_hash,
     pii_default_rewrite, pii_extract, pii_stats, pii_by_language, pii_conversations,
-    embedding_text, hashing_embed, knn_topk, knn_cosine, knn_cells, knn_within, knn_lsh, domain_weights,
+    embedding_text, hashing_embed, knn_topk, knn_cosine, knn_cells, knn_within, knn_lsh, knn_lsh_recall, domain_weights,
     score_candidates, best_match, match_stats, match_domains, confident_route, domain_route, index_stats, index_totals,
     index_delete, index_peek,
     classify_rules, classify_whole_words, company_from_domain, fallback_result, parse_model_json,

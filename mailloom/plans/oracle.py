@@ -378,6 +378,7 @@ SQL: dict[str, str] = {
     "knn_cells": knn(SQL2, 5),
     "knn_within": knn(COSINE, 10, "distance < 0.6"),
     "knn_lsh": knn(SQL2, 5),
+    "knn_lsh_recall": f"select count(*) as neighbours, true as enough from ({nearest(SQL2, 5)})",
     "domain_weights": f"select q_id, c_id, q_domain, c_domain, domain_weight from ({SCORED})",
     "score_candidates": f"select q_id, c_id, round(similarity, 6) as similarity, round(confidence, 6) as confidence from ({SCORED})",
     "best_match": f"select q_id, c_id, domain_weight, round(similarity, 6) as similarity, round(confidence, 6) as confidence from ({BEST})",

@@ -197,3 +197,34 @@ def test_model_is_asked_once_per_prompt_and_failures_fall_back(spark):
     assert [r["result"]["email_category"] for r in got] == ["personal", "survey"] * 3
     assert [r["result"]["confidence_score"] for r in got] == [0.3, 0.9] * 3
     assert got[0]["result"]["business_entity"]["website"] == "https://x.com"
+
+
+@pytest.mark.parametrize("name, n, dim", [("given", 500, 64), ("given", 2000, 64), ("clusters", 3000, 16), ("clusters", 24_000, 16), ("even", 6000, 8)])
+def test_recall_of_default_parameters(spark, name, n, dim):
+    if name == "given":
+        rows = spark.read.parquet(f"/root/testdata/sf{0.01 if n == 500 else 0.1}/embeddings.parquet").limit(n).collect()
+        x = np.array([r.embedding for r in rows])
+    elif name == "clusters":
+        x = vectors(seed=n, n=n, dim=dim, copies=50, centres=40)
+    else:
+        x = np.random.default_rng(4).random((n, dim))
+    asked = x[:: max(1, n // 500)]
+    q, c = frames(spark, x, asked)
+    near = found(lsh.knn_lsh(q, c, 5, complete=False))
+    hits = 0
+    for i, v in enumerate(asked):
+        d = ((x - v) ** 2).sum(axis=1)
+        limit = np.sort(d)[4] * (1 + 1e-6) + 1e-9  # of equal distances, any will do
+        hits += sum(d[j] <= limit for _, j in near.get(i, []))
+    assert hits / (5 * len(asked)) >= 0.9
+
+
+def test_probes_are_distinct_and_nearest_first():
+    for width in (1, 2, 5):
+        sets = lsh.shift_sets(width, 60)
+        assert sets[0] == () and len(set(sets)) == len(sets) == min(60, 3 ** width)
+        model = lsh._drawn(6, 1.0, 3, width, False, 1)
+        x = np.random.default_rng(2).normal(size=(20, 6))
+        probed = model.probed(x, sets)
+        assert (probed[:, :, 0] == model.own(x)).all()
+        assert all(len(set(row)) == len(sets) for table in probed for row in table)
