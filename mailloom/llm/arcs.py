@@ -27,6 +27,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +44,13 @@ ANSWERS = ("level int, shard long, p int, totals binary, ranks binary, kept bina
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers as their first bytes, then their second bytes, and so on, which compresses well."""
+    """Numbers as their first bytes, then their second bytes, and so on, compressed."""
     x = np.ascontiguousarray(x)
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
-def numbers(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
+def numbers(packed: bytes, kind: type) -> np.ndarray:
+    raw, size = zstandard.ZstdDecompressor().decompress(packed), np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
@@ -217,7 +218,8 @@ def walk(shard: dict, answers: list[dict], offsets: dict[int, np.ndarray], rule:
             mask &= (word >= 0) & (level.states >= 0)
         at = np.flatnonzero(mask)
         symbol = np.where(word[at] < 0, UNKNOWN, word[at]).astype(np.uint64)
-        keys, first, which = np.unique((context[at].astype(np.uint64) << np.uint64(32)) | symbol, return_index=True, return_inverse=True)
+        keys, first, which = np.unique(
+            (context[at].astype(np.uint64) << np.uint64(32)) | symbol, return_index=True, return_inverse=True)
         hot = weight[at][first] > rule.hot
         ranges = dealt(mixed(np.where(hot, keys, keys >> np.uint64(32))), rule.ranges) + np.where(hot & (rule.hot > 0), rule.ranges, 0)
         level = Level(level.number + 1, keys, at[first], at, which, ranges, np.argsort(ranges, kind="stable"), context, weight)
