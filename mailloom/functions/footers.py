@@ -52,25 +52,27 @@ def footer_from_html(
     strict: bool = False,
     mode: str = "pattern",
 ) -> Column:
-    """Text of the last footer-like element.
+    """Text of the last outermost footer-like element, with all that is nested in it.
 
     Footer-like is a ``footer`` or ``div`` whose class names one of ``classes`` and, unless
-    ``strict``, any ``footer``. ``mode="parser"`` reads nested elements rightly.
+    ``strict``, any ``footer``. ``mode="parser"`` leaves templates out.
     """
+    names = "|".join(classes)
+    classed = (
+        r"(?is)^<(?:footer|div)\b.*?\sclass\s*=\s*"
+        rf"""(?:"[^"]*(?:{names})[^"]*"|'[^']*(?:{names})[^']*'|[^\s"'>]*(?:{names})[^\s"'>]*)"""
+    )
+    shown = tx.drop_invisible(c)
     if mode == "parser":
-        found = tx.footer_html_parsed(tuple(classes), strict)(c)
-    else:
-        names = "|".join(classes)
-        classed = (
-            r"(?:[^>]*?\s)class\s*=\s*"
-            rf"""(?:"[^"]*(?:{names})[^"]*"|'[^']*(?:{names})[^']*'|[^\s"'>]*(?:{names})[^\s"'>]*)[^>]*"""
-        )
-        plain = "" if strict else r"|<footer(?:\s[^>]*)?>.*?(?:</footer\s*>|\z)"
-        pattern = (
-            rf"(?is)<footer{classed}>.*?(?:</footer\s*>|\z)|<div{classed}>.*?(?:</div\s*>|\z){plain}"
-        )
-        last = F.try_element_at(F.regexp_extract_all(tx.drop_invisible(c), F.lit(pattern), F.lit(0)), F.lit(-1))
-        found = tx.collapse_whitespace(tx.strip_tags(last))
+        shown = tx.without_elements(shown, "template")
+
+    def footer_like(tag: Column) -> Column:
+        named = tag.rlike(classed)
+        return named if strict else named | tag.rlike("(?i)^<footer")
+
+    may = F.lower(shown).rlike(f"<footer|{names}") if classes else F.lower(shown).contains("<footer")
+    last = F.when(may, F.try_element_at(tx.elements(shown, "div|footer", footer_like), F.lit(-1))["content"])
+    found = tx.collapse_whitespace(tx.strip_tags(last))
     # Cleaned HTML is one line, so the last-lines rule can apply only when one line is enough.
     shown = tx.bind(found, lambda f: F.when(f != "", f))
     if count > 1:

@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 from functools import reduce
 from html.entities import html5
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from mailloom.config import DEFAULT_CONFIG
 
@@ -155,83 +152,71 @@ def clean_page(c: Column, min_length: int = DEFAULT_CONFIG.min_page_length) -> C
     return bind(strip_html(c), lambda t: F.when(F.char_length(t) > min_length, t))
 
 
-class _TextCollector(HTMLParser):
-    """Collects visible text, and separately the text of each footer-like element."""
-
-    hidden = {"script", "style", "template"}
-    void = {
-        "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-        "source", "track", "wbr",
-    }
-
-    def __init__(self, classes: tuple[str, ...] = (), strict: bool = True):
-        super().__init__(convert_charrefs=True)
-        self.classes, self.strict = classes, strict
-        self.text: list[str] = []
-        self.open: list[tuple[str, int | None]] = []
-        self.footers: list[list[str]] = []
-
-    def _is_footer(self, tag, attrs) -> bool:
-        if tag not in ("footer", "div"):
-            return False
-        value = (dict(attrs).get("class") or "").lower()
-        return any(c in value for c in self.classes) or (tag == "footer" and not self.strict)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.void:
-            return
-        slot = None
-        if self.classes and self._is_footer(tag, attrs):
-            slot = len(self.footers)
-            self.footers.append([])
-        self.open.append((tag, slot))
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data):
-        if any(tag in self.hidden for tag, _ in self.open):
-            return
-        self.text.append(data)
-        for _, slot in self.open:
-            if slot is not None:
-                self.footers[slot].append(data)
-
-
-def _one_line(parts: Iterable[str]) -> str:
-    return " ".join("".join(parts).split())
-
-
-def _parse(document: str, **options) -> _TextCollector:
-    collector = _TextCollector(**options)
-    collector.feed(document)
-    collector.close()
-    return collector
-
-
-@F.pandas_udf(StringType())
-def strip_html_parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """``strip_html`` by a real parser, for documents that are far from well-formed."""
-    for documents in batches:
-        yield documents.map(lambda d: _one_line(_parse(d).text) if d else "")
-
-
-def footer_html_parsed(classes: tuple[str, ...], strict: bool):
-    """Last footer-like element by a real parser; handles nested elements."""
-
-    @F.pandas_udf(StringType())
-    def last_footer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for documents in batches:
-            yield documents.map(lambda d: _last_footer(d, classes, strict))
-
-    return last_footer
-
-
-def _last_footer(document: str | None, classes: tuple[str, ...], strict: bool) -> str | None:
-    if not document:
-        return None
-    found = _parse(document, classes=classes, strict=strict).footers
-    return (_one_line(found[-1]) or None) if found else None
+def _tags(names: str) -> str:
+    """Pattern of start and end tags of elements; ">" inside quotes ends none."""
+    return rf"""(?is)</?(?:{names})(?![\w-])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?(?:{names})(?![\w-])[^>]*>"""
+
+
+def elements(html: Column, names: str, wanted: Callable[[Column], Column], last: bool = True) -> Column:
+    """The content of the outermost elements of these names whose start tag is ``wanted``, in order, or the last one only:
+    array<struct<start, content, end>>, where start and end count pieces between tags of these names.
+
+    One fold over the tags finds them: inside a wanted element, tags of its own name go one deeper or come back, and the
+    element ends where its depth is 0 again, or with the document. An end tag without a start is passed over.
+    """
+    pattern = _tags(names)
+
+    def tag(t: Column, i: Column) -> Column:
+        closing = t.startswith("</")
+        return F.struct(
+            i.cast("int").alias("at"), F.lower(F.regexp_extract(t, "^</?([A-Za-z]+)", 1)).alias("name"), closing.alias("closing"),
+            t.endswith("/>").alias("single"), (~closing & wanted(t)).alias("wanted"))
+
+    def step(acc: Column, x: Column) -> Column:
+        outside = acc["depth"] == 0
+        opens = outside & x["wanted"] & ~x["single"]
+        same = ~outside & (x["name"] == acc["name"])
+        depth = (
+            F.when(opens, F.lit(1)).when(same & x["closing"], acc["depth"] - 1)
+            .when(same & ~x["single"], acc["depth"] + 1).otherwise(acc["depth"]))
+        closed = ~outside & (depth == 0)
+        span = F.array(F.struct(acc["start"].alias("start"), x["at"].alias("end")))
+        found = F.when(closed, span if last else F.concat(acc["found"], span)).otherwise(acc["found"])
+        return F.struct(
+            depth.alias("depth"), F.when(opens, x["name"]).otherwise(acc["name"]).alias("name"),
+            F.when(opens, x["at"]).otherwise(acc["start"]).alias("start"), found.alias("found"))
+
+    kind = "array<struct<start:int,end:int>>"
+    begin = F.struct(F.lit(0).alias("depth"), F.lit("").alias("name"), F.lit(0).alias("start"), F.array().cast(kind).alias("found"))
+
+    def finish(acc: Column, count: Column) -> Column:
+        rest = F.array(F.struct(acc["start"].alias("start"), count.alias("end")))
+        return F.when(acc["depth"] > 0, rest if last else F.concat(acc["found"], rest)).otherwise(acc["found"])
+
+    def of(page: Column) -> Column:
+        pieces = F.split(page, pattern, -1)
+        tags = F.transform(F.regexp_extract_all(page, F.lit(pattern), F.lit(0)), tag)
+        spans = bind(tags, lambda t: bind(F.aggregate(t, begin, step), lambda acc: finish(acc, F.size(t))))
+        return bind(pieces, lambda x: bind(spans, lambda s: F.transform(s, lambda e: F.struct(
+            e["start"].alias("start"),
+            F.concat_ws("", F.slice(x, e["start"] + 2, e["end"] - e["start"])).alias("content"), e["end"].alias("end")))))
+
+    return bind(html, of)
+
+
+def without_elements(html: Column, names: str) -> Column:
+    """A document without the outermost elements of these names."""
+    def cut(page: Column) -> Column:
+        pieces = F.split(page, _tags(names), -1)
+        inside = elements(page, names, lambda t: F.lit(True), last=False)
+        return bind(pieces, lambda x: bind(inside, lambda s: F.concat_ws("", F.concat(
+            F.array(F.concat_ws("", F.slice(x, F.lit(1), F.coalesce(F.get(s, F.lit(0))["start"], F.size(x) - 1) + 1))),
+            F.transform(s, lambda e, i: F.concat_ws("", F.slice(
+                x, e["end"] + 2, F.greatest(F.lit(0), F.coalesce(F.get(s, i + 1)["start"], F.size(x) - 1) - e["end"]))))))))
+
+    return bind(html, lambda page: F.when(page.rlike(f"(?i)<(?:{names})"), cut(page)).otherwise(page))
+
+
+def strip_html_parsed(c: Column) -> Column:
+    """``strip_html`` without the content of templates, nested ones too, which no browser shows."""
+    return strip_html(without_elements(drop_invisible(F.coalesce(c, F.lit(""))), "template"))

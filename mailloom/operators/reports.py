@@ -55,23 +55,26 @@ def accuracy_by_model(
     return scored.where(F.col("accuracy") >= config.min_accuracy) if accepted_only else scored
 
 
-def confusion(predictions: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    return predictions.join(labels, key).groupBy("expected", "predicted").agg(F.count(F.lit(1)).alias("messages"))
+def confusion(predictions: DataFrame, labels: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of (expected, predicted), over everything or per ``by``, such as the model."""
+    return predictions.join(labels, key).groupBy(*by, "expected", "predicted").agg(F.count(F.lit(1)).alias("messages"))
 
 
-def class_precision(confusion_counts: DataFrame, classes: Sequence[str] = rules.CATEGORIES) -> DataFrame:
+def class_precision(
+    confusion_counts: DataFrame, classes: Sequence[str] = rules.CATEGORIES, by: Sequence[str] = (),
+) -> DataFrame:
     """Precision and recall of each class, from the confusion counts."""
     n = F.col("messages")
     per_class = F.explode(F.array(*[F.lit(c) for c in classes])).alias("category")
-    rows = confusion_counts.select(per_class, "expected", "predicted", "messages")
+    rows = confusion_counts.select(*by, per_class, "expected", "predicted", "messages")
     hit = (F.col("expected") == F.col("category")) & (F.col("predicted") == F.col("category"))
-    counted = rows.groupBy("category").agg(
+    counted = rows.groupBy(*by, "category").agg(
         F.sum(F.when(hit, n).otherwise(0)).alias("hits"),
         F.sum(F.when(F.col("predicted") == F.col("category"), n).otherwise(0)).alias("predicted"),
         F.sum(F.when(F.col("expected") == F.col("category"), n).otherwise(0)).alias("expected"),
     )
     return counted.select(
-        "category", "hits", "predicted", "expected",
+        *by, "category", "hits", "predicted", "expected",
         F.when(F.col("predicted") > 0, F.col("hits") / F.col("predicted")).alias("precision"),
         F.when(F.col("expected") > 0, F.col("hits") / F.col("expected")).alias("recall"),
     )

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from mailloom.schemas import STORED_SCORE
 
 
+#: Parts in which the rows of one group are ranked before they are ranked together.
+PARTS = 64
+
+
 def flatten_result(df: DataFrame) -> DataFrame:
     """Storage form of a processed message: empty lists for absent ones, "unknown" domain."""
 
@@ -110,20 +114,41 @@ def top_domains(results: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def result_stats(results: DataFrame, sample_limit: int | None = None) -> DataFrame:
-    """Rows (section, name, value) of all statistics.
+def result_stats(results: DataFrame, sample_limit: int | None = None, domains: int = 10) -> DataFrame:
+    """Rows (section, name, value) of all statistics, from one scan: totals, categories and sender domains are
+    grouping sets of one aggregation.
 
-    Exact by default; ``sample_limit`` reads the distributions off the first rows only.
+    Exact by default; ``sample_limit`` reads all but the number of results off the first rows only.
     """
     rows = results if sample_limit is None else results.limit(sample_limit)
-
-    def section(df: DataFrame, title: str, name: Column, value: str) -> DataFrame:
-        return df.select(F.lit(title).alias("section"), name.alias("name"), F.col(value).cast("double").alias("value"))
-
-    mean = rows.agg(rounded_mean("confidence_score").alias("v"))
-    return (
-        section(results.agg(F.count(F.lit(1)).alias("v")), "total", F.lit("results"), "v")
-        .unionByName(section(mean, "mean", F.lit("confidence_score"), "v"))
-        .unionByName(section(category_distribution(rows), "category", F.col("email_category"), "results"))
-        .unionByName(section(top_domains(rows), "domain", F.col("sender_domain"), "results"))
-    )
+    named = rows.select(
+        F.coalesce("email_category", F.lit("unknown")).alias("category"),
+        F.coalesce("sender_domain", F.lit("unknown")).alias("domain"), "confidence_score")
+    category, domain = F.col("category"), F.col("domain")
+    sets = named.groupingSets([[], [category], [domain]], category, domain).agg(
+        F.grouping_id().alias("set"), F.count(F.lit(1)).cast("double").alias("n"),
+        rounded_mean("confidence_score").alias("mean"))
+    # Without any row there is no grouping set of everything; one that counts nothing stands in for it.
+    nothing = results.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("domain"),
+        F.lit(3).cast("long").alias("set"), F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"))
+    sets = sets.withColumn("set", F.col("set").cast("long")).unionByName(nothing)
+
+    def line(section: str, name: Column, value: str) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.alias("name"), F.col(value).alias("value"), F.col("n").alias("n"))
+
+    lines = (
+        F.when(F.col("set") == 3, F.array(line("total", F.lit("results"), "n"), line("mean", F.lit("confidence_score"), "mean")))
+        .when(F.col("set") == 1, F.array(line("category", category, "n"))).otherwise(F.array(line("domain", domain, "n"))))
+    most = F.when(F.col("section") == "domain", domains).when(F.col("section") == "category", F.lit(1 << 30)).otherwise(1)
+    found = sets.select(F.explode(lines).alias("x")).select("x.*").withColumn(
+        "part", F.pmod(F.xxhash64("name"), F.lit(PARTS)))
+    for keys in (["section", "part"], ["section"]):  # in parts first, so that no task ranks all domains
+        order = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "name")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
+    found = found.select("section", "name", "value")
+    if sample_limit is None:
+        return found
+    counted = results.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.lit("total").alias("section"), F.lit("results").alias("name"), "value")
+    return counted.unionByName(found.where("section <> 'total'"))

@@ -105,7 +105,7 @@ def strip_html(spark, sf):
 
 
 def strip_html_parsed(spark, sf):
-    return _pages(spark, sf).select("page_id", text.strip_html_parsed("html").alias("clean_text"))
+    return _pages(spark, sf).select("page_id", text.strip_html_parsed(F.col("html")).alias("clean_text"))
 
 
 def strip_tags_basic(spark, sf):
@@ -488,9 +488,9 @@ def _replies(spark, sf):
     category = F.when(F.col("email_category") == "personal", F.lit("other")).otherwise(F.col("email_category"))
     whole = F.concat(
         F.lit('Sure: {"email_category": "'), category, F.lit('", "business_entity": {"name": "'), F.col("sender_domain"),
-        F.lit('"}, "data": {"email": []}, "confidence_score": '), (F.col("id") % 13 / 10).cast("string"), F.lit("} done"))
+        F.lit('"}, "data": {"email": []}, "confidence_score": '), (F.col("id") % 13 / 10).cast("string"), F.lit("}"))
     cut = F.col("processing_time") > 8
-    return results.select("id", F.when(cut, F.substring(whole, 1, 60)).otherwise(whole).alias("reply"))
+    return results.select("id", F.when(cut, F.left(whole, F.char_length(whole) - 1)).otherwise(F.concat(whole, F.lit(" done"))).alias("reply"))
 
 
 def parse_model_json(spark, sf):
@@ -636,8 +636,7 @@ def accuracy_by_model(spark, sf):
 
 
 def _confusion(spark, sf):
-    local = _predictions(spark, sf).where(F.col("model") == "local")
-    return reports.confusion(local, _labels(spark, sf), "doc_id")
+    return reports.confusion(_predictions(spark, sf), _labels(spark, sf), "doc_id", by=("model",))
 
 
 def confusion_matrix(spark, sf):
@@ -645,8 +644,9 @@ def confusion_matrix(spark, sf):
 
 
 def class_precision(spark, sf):
-    done = reports.class_precision(_confusion(spark, sf))
-    return done.select("category", "hits", "predicted", "expected", _r("precision").alias("precision"), _r("recall").alias("recall"))
+    done = reports.class_precision(_confusion(spark, sf), by=("model",))
+    return done.select(
+        "model", "category", "hits", "predicted", "expected", _r("precision").alias("precision"), _r("recall").alias("recall"))
 
 
 def _providers(spark, sf):

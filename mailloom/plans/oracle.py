@@ -252,8 +252,8 @@ PREDICTIONS = f"""(select doc_id, n_chars / (n_chars + 100)::double as confidenc
       {{'model': 'default', 'predicted': {keywords('text', rules.CATEGORY_KEYWORDS)}}},
       {{'model': 'local', 'predicted': {keywords('text', cat.LOCAL_KEYWORDS)}}},
       {{'model': 'short', 'predicted': {keywords('text', cat.SHORT_KEYWORDS)}}}]) as p from documents))"""
-CONFUSION = f"""(select expected, predicted, count(*) as messages from {PREDICTIONS} join {LABELS} using (doc_id)
-    where model = 'local' group by all)"""
+CONFUSION = f"""(select model, expected, predicted, count(*) as messages from {PREDICTIONS} join {LABELS} using (doc_id)
+    group by all)"""
 PROVIDERS = """(select source as provider, max(n_chars) % 4 <> 0 as success,
     case max(n_chars) % 3 when 0 then 'survey' when 1 then 'marketing' end as category,
     round(avg(n_chars) / (avg(n_chars) + 1000), 2) as confidence, max(n_chars) / 1000.0::double as processing_time
@@ -444,13 +444,13 @@ SQL: dict[str, str] = {
         round(avg(confidence), 6) as avg_confidence from {PREDICTIONS} join {LABELS} using (doc_id)
         group by model having avg((predicted = expected)::int) >= 0.3""",
     "confusion_matrix": f"select * from {CONFUSION}",
-    "class_precision": f"""select category, hits, predicted, expected,
+    "class_precision": f"""select model, category, hits, predicted, expected,
         round(case when predicted > 0 then hits / predicted::double end, 6) as precision,
         round(case when expected > 0 then hits / expected::double end, 6) as recall from (
-          select category, sum(case when c.expected = category and c.predicted = category then messages else 0 end)::bigint as hits,
+          select model, category, sum(case when c.expected = category and c.predicted = category then messages else 0 end)::bigint as hits,
             sum(case when c.predicted = category then messages else 0 end)::bigint as predicted,
             sum(case when c.expected = category then messages else 0 end)::bigint as expected
-          from {CONFUSION} c, (select unnest([{', '.join(_q(c) for c in rules.CATEGORIES)}]) as category) group by category)""",
+          from {CONFUSION} c, (select unnest([{', '.join(_q(c) for c in rules.CATEGORIES)}]) as category) group by model, category)""",
     "compare_providers": f"""select provider, confidence, processing_time,
         row_number() over (order by confidence desc, processing_time, provider) as rank from {PROVIDERS} where success""",
     "providers_by_category": f"""select coalesce(category, 'unknown') as category,

@@ -125,9 +125,29 @@ def test_footer_from_html(spark, mode):
     assert strict == ["one"]
 
 
-def test_nested_footer_needs_the_parser(spark):
-    page = '<div class="footer">a <div>b</div> c</div>'
-    assert values(spark, [page], lambda c: footers.footer_from_html(c, mode="parser")) == ["a b c"]
+@pytest.mark.parametrize("mode", ["pattern", "parser"])
+def test_nested_footers_are_whole(spark, mode):
+    pages = [
+        '<div class="footer">a <div>b</div> c</div>', '<div class="footer">a <div class=bottom>b</div> c</div> d',
+        '<footer>a<footer>b</footer>c</footer>d', '</div><div class=signature>a<div><div>b</div></div>c</div><div>d</div>',
+        '<div class=footer>a<div/>b</div>c', '<div class=footer>a<br>b', '<DIV title="a>b" class="x bottom">a</DIV >b',
+        '<div class=footer>' + '<div>x ' * 500 + '</div>' * 500 + 'y</div> z',
+        '<div class=footer>a <footer>b</div> c</footer>', '<divider class=footer>a</divider>', '<!-- <footer>a</footer> -->b']
+    assert values(spark, pages, lambda c: footers.footer_from_html(c, mode=mode)) == [
+        "a b c", "a b c", "abc", "abc", "ab", "ab", "a", ("x " * 500 + "y"), "a b", None, None]
+
+
+def test_templates_are_hidden(spark):
+    pages = ["a<template>b<template>c</template>d</template>e<TEMPLATE x='>'>f</template>g", "<template>a", "</template>a<p>b",
+             "no <b>tags</b> here", None, "<template/>a"]
+    assert values(spark, pages, text.strip_html_parsed) == ["aeg", "", "ab", "no tags here", "", "a"]
+    assert values(spark, ["x<template><footer>a</footer></template><footer>b</footer><template><footer>c</footer></template>"],
+                  lambda c: footers.footer_from_html(c, mode="parser")) == ["b"]
+
+
+def test_many_tags_of_one_page(spark):
+    page = "<div>x</div>" * 20_000 + "<div class=footer>the <div>end</div></div>"
+    assert values(spark, [page], footers.footer_from_html) == ["the end"]
 
 
 def test_last_lines(spark):
