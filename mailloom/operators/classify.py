@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from mailloom import rules
 from mailloom.functions import domains, links
@@ -17,6 +18,9 @@ from mailloom.schemas import EXTRACTED, MODEL_REPLY
 
 #: Times that a prompt is asked by itself after its batch has failed.
 ATTEMPTS = 3
+#: Times that a prompt is asked in all, over all runs that keep their replies.
+MOST_ATTEMPTS = 12
+REPLIES = "_key string, reply string, attempts int"
 Keywords = Sequence[tuple[str, Sequence[str]]]
 
 DEFAULT_PROMPT = (
@@ -97,11 +101,29 @@ def parse_reply(reply: Column) -> Column:
     return bind(F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), MODEL_REPLY), checked)
 
 
-def call_model(df: DataFrame, prompt_col: str, reply_col: str, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
+def kept_replies(spark: SparkSession, path: str) -> DataFrame:
+    """(_key, reply, attempts): what earlier runs were answered, one row per prompt digest. Of several runs that asked
+    the same, a reply counts before none, then the later attempt."""
+    try:
+        rows = spark.read.schema(REPLIES).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], REPLIES)
+    return rows.groupBy("_key").agg(
+        F.max_by("reply", F.struct(F.col("reply").isNotNull(), "attempts")).alias("reply"), F.max("attempts").alias("attempts"))
+
+
+def call_model(
+    df: DataFrame, prompt_col: str, reply_col: str, model: Callable[[pd.Series], pd.Series], kept: str | None = None,
+    most_attempts: int = MOST_ATTEMPTS,
+) -> DataFrame:
     """Add the model's reply. Equal prompts are asked once, and the replies are stored before they are joined.
 
     Where a batch fails, its prompts are asked one by one, each up to ``ATTEMPTS`` times; one that still fails has a
-    null reply, and so hits no other.
+    null reply, and so hits no other. ``kept`` names a table of replies by prompt digest that outlives the run: what it
+    has isn't asked again, what is asked is added to it, and a prompt that failed is asked again by later runs until
+    it has been tried ``most_attempts`` times in all.
     """
 
     def ask(prompts: pd.Series) -> list:
@@ -122,26 +144,56 @@ def call_model(df: DataFrame, prompt_col: str, reply_col: str, model: Callable[[
         for batch in batches:
             prompts = batch["_prompt"]
             try:
-                replies = ask(prompts)
+                replies, tries = ask(prompts), 1
             except Exception:
-                replies = [one(prompts.iloc[i: i + 1]) for i in range(len(prompts))]
-            yield pd.DataFrame({"_key": batch["_key"].values, reply_col: pd.Series(replies, dtype=object).values})
+                replies, tries = [one(prompts.iloc[i: i + 1]) for i in range(len(prompts))], 1 + ATTEMPTS
+            yield pd.DataFrame({
+                "_key": batch["_key"].values, "reply": pd.Series(replies, dtype=object).values,
+                "attempts": (batch["_before"] + tries).astype("int32").values})
 
     keyed = df.withColumn("_key", F.sha2(prompt_col, 256))
-    asked = keyed.select("_key", F.col(prompt_col).alias("_prompt")).dropDuplicates(["_key"])
-    replies = cut_lineage(asked.mapInPandas(run, f"_key string, {reply_col} string"))
-    return lookup_join(keyed, replies, "_key").drop("_key")
+    prompts = keyed.select("_key", F.col(prompt_col).alias("_prompt")).dropDuplicates(["_key"])
+    if kept is None:
+        replies = cut_lineage(prompts.withColumn("_before", F.lit(0)).mapInPandas(run, REPLIES))
+    else:
+        spark = df.sparkSession
+        before = cut_lineage(kept_replies(spark, kept))
+        settled = before.where(F.col("reply").isNotNull() | (F.col("attempts") >= most_attempts))
+        failed = before.join(settled.select("_key"), "_key", "left_anti").select("_key", F.col("attempts").alias("_before"))
+        asked = prompts.join(settled.select("_key"), "_key", "left_anti").join(failed, "_key", "left").fillna(0, ["_before"])
+        asked.mapInPandas(run, REPLIES).write.mode("append").parquet(kept)
+        replies = kept_replies(spark, kept)
+    return with_replies(keyed, replies, reply_col)
+
+
+def with_replies(keyed: DataFrame, replies: DataFrame, reply_col: str) -> DataFrame:
+    """keyed (with _key, the digest of its prompt) with the reply of each prompt, or null."""
+    return lookup_join(keyed, replies.select("_key", F.col("reply").alias(reply_col)), "_key").drop("_key")
+
+
+def asked_prompts(df: DataFrame, content: str, task: str = DEFAULT_PROMPT) -> DataFrame:
+    return df.withColumn(
+        "_prompt", prompt(F.col(content), F.col("sender_domain"), F.col("footer_text"), F.col("urls"), task))
+
+
+def merged_result(replied: DataFrame, content: str, table: Keywords = rules.CATEGORY_KEYWORDS) -> DataFrame:
+    """Add struct ``result``: the valid reply in _reply, or else the fallback."""
+    fallback = fallback_result(F.col(content), F.col("sender_domain"), F.col("urls"), table)
+    return replied.withColumn("result", F.coalesce(parse_reply(F.col("_reply")), fallback)).drop("_prompt", "_reply")
+
+
+def classify_from_replies(
+    df: DataFrame, replies: DataFrame, content: str, table: Keywords = rules.CATEGORY_KEYWORDS, task: str = DEFAULT_PROMPT,
+) -> DataFrame:
+    """``classify_with_model`` from a table of replies (_key, reply) alone; nothing is asked."""
+    keyed = asked_prompts(df, content, task).withColumn("_key", F.sha2("_prompt", 256))
+    return merged_result(with_replies(keyed, replies, "_reply"), content, table)
 
 
 def classify_with_model(
     df: DataFrame, model: Callable[[pd.Series], pd.Series], content: str,
-    table: Keywords = rules.CATEGORY_KEYWORDS, task: str = DEFAULT_PROMPT,
+    table: Keywords = rules.CATEGORY_KEYWORDS, task: str = DEFAULT_PROMPT, kept: str | None = None,
 ) -> DataFrame:
-    """Add struct ``result``: the model's valid reply, or else the fallback."""
-    urls = F.col("urls")
-    asked = df.withColumn(
-        "_prompt", prompt(F.col(content), F.col("sender_domain"), F.col("footer_text"), urls, task))
-    replied = call_model(asked, "_prompt", "_reply", model)
-    result = F.coalesce(
-        parse_reply(F.col("_reply")), fallback_result(F.col(content), F.col("sender_domain"), urls, table))
-    return replied.withColumn("result", result).drop("_prompt", "_reply")
+    """Add struct ``result``: the model's valid reply, or else the fallback. ``kept`` as in ``call_model``."""
+    replied = call_model(asked_prompts(df, content, task), "_prompt", "_reply", model, kept)
+    return merged_result(replied, content, table)

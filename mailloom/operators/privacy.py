@@ -90,6 +90,7 @@ def privacy_links(
 def page_contacts(
     pages: DataFrame, page_id: str, url: str, html: str, words: DpoWords = DpoWords(),
     limit: int | None = None, min_length: int = 0, model: Callable[[pd.Series], pd.Series] | None = None,
+    kept: str | None = None,
 ) -> DataFrame:
     """(page_key, contact): one data-protection address per page address.
 
@@ -107,7 +108,7 @@ def page_contacts(
         asked = rows.where(F.col("_text").isNotNull()).withColumn("_ask", F.concat(
             F.lit("Give the e-mail address of the data protection officer named in this text, or None.\n\n"),
             text.truncate(F.col("_text"), DEFAULT_CONFIG.max_policy_length)))
-        rows = call_model(asked, "_ask", "_reply", model).drop("_ask")
+        rows = call_model(asked, "_ask", "_reply", model, kept).drop("_ask")
         reply = text.strip_whitespace(F.col("_reply"))
         contact = F.coalesce(F.when(domains.is_valid_email(reply), reply), contact)
     # Exploding the found address, rather than filtering on it, works it out only once.
@@ -136,13 +137,13 @@ def resolve_site_policy(candidates: DataFrame, contacts: DataFrame, site: str) -
 def site_policies(
     sites: DataFrame, site: str, pages: DataFrame, page_id: str, url: str, html: str,
     words: DpoWords = DpoWords(), paths: Sequence[str] = rules.PRIVACY_PATHS,
-    model: Callable[[pd.Series], pd.Series] | None = None,
+    model: Callable[[pd.Series], pd.Series] | None = None, kept: str | None = None,
 ) -> DataFrame:
     """Candidates, contacts and resolution in one go, each distinct site once."""
     distinct = sites.select(site).where(F.col(site).isNotNull()).distinct()
     candidates = privacy_url_candidates(distinct, site, privacy_links(pages, url, html), paths)
     resolved = resolve_site_policy(
-        candidates, page_contacts(pages, page_id, url, html, words, model=model), site)
+        candidates, page_contacts(pages, page_id, url, html, words, model=model, kept=kept), site)
     if paths:
         return resolved
     # Without usual places a site may have no candidate at all.

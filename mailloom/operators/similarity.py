@@ -11,6 +11,7 @@ from mailloom import rules
 from mailloom.config import DEFAULT_CONFIG, EngineConfig
 from mailloom.functions import domains, links
 from mailloom.operators import routing
+from mailloom.operators.batches import earlier_neighbours
 from mailloom.operators.neighbours import knn
 
 
@@ -96,6 +97,23 @@ def match(
     return best.where(is_confident(F.col("confidence"), config)) if confident_only else best
 
 
+def match_earlier(
+    queries: DataFrame, index: DataFrame, *, query_id: str, index_id: str, query_domain: str, candidate_domain: str,
+    query_batch: str, index_batch: str, query_vec: str = "q_vec", index_vec: str = "c_vec", keep: Sequence[str] = (),
+    metric: str = "sql2", confident_only: bool = False, config: EngineConfig = DEFAULT_CONFIG, block_rows: int | None = None,
+) -> DataFrame:
+    """Best match of each query among its nearest index rows of earlier batches: the index as each batch found it, in one
+    plan for all batches."""
+    near = earlier_neighbours(
+        queries, index, config.match_candidates, query_id=query_id, query_vec=query_vec, query_batch=query_batch,
+        index_id=index_id, index_vec=index_vec, index_batch=index_batch, query_cols=[query_domain],
+        index_cols=[candidate_domain, *keep], metric=metric, within=reach_of(config) if confident_only else None,
+        block_rows=block_rows)
+    best = best_match(
+        score(near, query_domain, candidate_domain, config), query_id, index_id, [candidate_domain, index_batch, *keep])
+    return best.where(is_confident(F.col("confidence"), config)) if confident_only else best
+
+
 def category_from_match(c: Column) -> Column:
     return F.when(c.isin(*rules.CATEGORIES), c).otherwise(F.lit(rules.DEFAULT_CATEGORY))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailloom.schemas import STORED_SCORE
 
 
+#: The folder of a result within its day, where results are dealt out by id.
+ID_PART = "id_part"
 #: Parts in which the rows of one group are ranked before they are ranked together.
 PARTS = 64
 
@@ -45,8 +49,32 @@ def floats_to_decimal(df: DataFrame) -> DataFrame:
     ])
 
 
-def get_result(results: DataFrame, key, id_col: str = "id") -> DataFrame:
-    return results.where(F.col(id_col) == key)
+def id_part(ident: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(ident.cast("string")), F.lit(parts)).cast("int")
+
+
+def get_result(results: DataFrame, key, id_col: str = "id", id_parts: int = 0) -> DataFrame:
+    """The result of an id. ``id_parts`` is the number that the table was written with; only one folder a day is read then."""
+    found = results.where(F.col(id_col) == key)
+    return found.where(F.col(ID_PART) == id_part(F.lit(key), id_parts)) if id_parts else found
+
+
+def newest_of_domain(
+    results: DataFrame, domain: str, limit: int = 50, at: str = "processed_at", id_col: str = "id", day: str = "dt",
+) -> DataFrame:
+    """The newest results of a domain in a table with day folders, read from its last day backwards: one day, then as
+    many again as were read, until the limit is full. The first and the last day come from the folders; no column is read for them."""
+    first, last = results.agg(F.min(day), F.max(day)).first()
+    own = results.where(F.col("sender_domain") == domain)
+    if last is None:
+        return own.limit(0)
+    days = 1
+    while True:
+        start = last - timedelta(days=days - 1)
+        rows = own.where(F.col(day) >= F.lit(start))
+        if start <= first or rows.limit(limit).count() >= limit:
+            return rows.orderBy(F.col(at).desc(), id_col).limit(limit)
+        days *= 2
 
 
 def _within(results: DataFrame, start, end, at: str) -> Column:

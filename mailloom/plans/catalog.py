@@ -18,11 +18,13 @@ from mailloom.operators.skew import cut_lineage, shared_folder
 from mailloom.plans import messages as plan
 from mailloom.rules import DpoWords, PiiRule
 from mailloom.schemas import INDEX_ENTRY
+from mailloom.sources import messages as source
 from mailloom.sources import tables as src
 from mailloom.sources.index import VectorIndex
 from mailloom.sources.results import append_results, quarantine, read_results
 from mailloom.sources.tables import table
 from mailloom.streaming import messages as streaming
+from mailloom.streaming import retries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -755,6 +757,92 @@ def index_batches(spark, sf):
         F.col("id").cast("long").alias("id"), "sender_domain", "email_category", F.coalesce("seen", F.lit(0)).alias("seen_by_last"))
 
 
+def stored_lookup(spark, sf):
+    """Results written by day and by a hash of the id: three looked up by id, and the newest of a domain from the last day back."""
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4()}"
+    append_results(_results(spark, sf).withColumn("dt", F.to_date("processed_at")), path, id_parts=4)
+    stored = read_results(spark, path)
+    found = [store.get_result(stored, key, id_parts=4).withColumn("asked", F.lit(f"id {key}")) for key in (7, 77, 777)]
+    found.append(store.newest_of_domain(stored, "u7.example", 20).withColumn("asked", F.lit("newest")))
+    rows = [f.select("asked", "id", "sender_domain", "email_category") for f in found]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def match_earlier_batches(spark, sf):
+    """All vectors in three batches, each matched against the index as of its start."""
+    q, c = _queries_and_index(spark, sf)
+    batch = lambda i: F.pmod(F.col(i), F.lit(3))
+    best = similarity.match_earlier(
+        q.withColumn("q_batch", batch("q_id")), c.withColumn("c_batch", batch("c_id")), query_id="q_id", index_id="c_id",
+        query_domain="q_domain", candidate_domain="c_domain", query_batch="q_batch", index_batch="c_batch",
+        keep=["email_category"], metric="cosine")
+    return best.select(
+        "q_id", "c_id", "c_batch", "email_category", _r("confidence").alias("confidence"),
+        similarity.is_confident(F.col("confidence"), ROUTE).alias("sure"))
+
+
+def retried_messages(spark, sf):
+    """All texts as a stream of messages, of which some fail once, some twice and some for good."""
+    work = f"{shared_folder(spark)}/retries-{uuid.uuid4()}"
+    _docs(spark, sf).select(F.col("doc_id").cast("string").alias("source_file"), F.col("text").alias("raw")).write.parquet(f"{work}/queue")
+    queue = spark.readStream.schema("source_file string, raw string").parquet(f"{work}/queue")
+    number = F.pmod(F.col("source_file").cast("long"), F.lit(16))
+    failures = F.when(number == 3, 1).when(number == 7, 2).when(number == 11, 99).otherwise(0)
+
+    def attempt(batch, _):
+        return batch.withColumn("error", F.when(F.col("attempt") <= failures, F.lit("not reached")))
+
+    retries.finish(retries.with_retries(queue, attempt, work, pause=0.5, interval="100 milliseconds"), work)
+    tries = retries.attempts(spark, work).groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("tries"), F.min(F.md5("raw")).alias("digest"))
+    dead = retries.dead_letters(spark, work).select("source_file", F.lit(True).alias("dead"))
+    return tries.join(dead, "source_file", "left").select(
+        F.col("source_file").cast("long").alias("doc_id"), "tries", F.coalesce("dead", F.lit(False)).alias("dead"), "digest")
+
+
+def labelled_files(spark, sf):
+    """All pages written as JSON messages whose names say category and domain, and read back with their labels."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4()}"
+    category = F.element_at(F.array(*[F.lit(c) for c in (*rules.CATEGORIES, "other")]), (F.col("page_id") % 6 + 1).cast("int"))
+    host = links.url_host(F.col("url"))
+    name = F.concat(F.lit("email_"), F.col("page_id"), F.lit("_"), category, F.lit("_"), F.replace(host, F.lit("."), F.lit("_")), F.lit(".json"))
+    body = F.to_json(F.struct(F.concat(F.lit("news@"), host).alias("from"), F.col("url").alias("subject"), F.col("html").alias("html_content")))
+    _pages(spark, sf).select(name.alias("name"), body.alias("body")).repartition("name").write.partitionBy("name").text(path)
+    messages, _ = source.read_emails(spark, path, files="part-*")
+    return source.label_from_filename(messages).select(
+        "from_email", "subject", F.md5("html_content").alias("digest"), "expected_category", "expected_domain")
+
+
+def classify_replied(spark, sf):
+    """All texts classified from a table of replies to their prompts: some valid, some not, some absent."""
+    docs = _docs(spark, sf).select(
+        "doc_id", "text", F.concat("source", F.lit(".example")).alias("sender_domain"), F.lit("").alias("footer_text"),
+        F.array().cast("array<string>").alias("urls"))
+    asked = classify.asked_prompts(docs, "text")
+    reply = F.when(F.col("doc_id") % 4 == 0, F.concat(
+        F.lit('{"email_category": "survey", "business_entity": {"name": "N'), F.col("doc_id"),
+        F.lit('"}, "data": {}, "confidence_score": 0.75}'))).when(F.col("doc_id") % 4 == 1, F.lit("I can't say."))
+    replies = asked.select(F.sha2("_prompt", 256).alias("_key"), reply.alias("reply"), "doc_id").where(
+        F.col("doc_id") % 4 != 3).groupBy("_key").agg(F.min_by("reply", "doc_id").alias("reply"))
+    done = classify.classify_from_replies(docs, replies, "text")
+    prompt = classify.prompt(F.col("text"), F.col("sender_domain"), F.col("footer_text"), F.col("urls"))
+    return done.select(
+        "doc_id", F.md5(prompt).alias("prompt"), F.col("result.email_category").alias("category"),
+        F.col("result.business_entity.name").alias("name"), F.col("result.confidence_score").alias("confidence"))
+
+
+def pii_ssn(spark, sf):
+    """Social-security numbers in forms made of all customers' numbers, and in all texts."""
+    key = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    number = F.concat_ws("-", F.substring(key, 1, 3), F.substring(key, 4, 2), F.substring(key, 6, 4))
+    forms = table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("id"),
+        F.concat(F.col("c_name"), F.lit(", ssn "), number, F.lit(" or x"), number, F.lit(" or "), number, F.lit("-1")).alias("text"))
+    docs = _docs(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
+    found = pii.pii_spans(forms.unionByName(docs), "text", ["SSN"])
+    return found.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), F.col("text").alias("hit"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ingest_report, ingest_status, parsed_messages, quarantine_reasons, email_validation,
     strip_html, strip_html_parsed, strip_tags_basic, collapse_whitespace, truncate_body, select_body, clean_page,
@@ -772,4 +860,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     category_shares, run_summary, high_confidence, high_confidence_count, accuracy_by_model, confusion_matrix,
     class_precision, compare_providers, providers_by_category, latency_check,
     process_messages, stream_values, stream_intake, stored_by_day, index_batches,
+    stored_lookup, match_earlier_batches, retried_messages, labelled_files, classify_replied, pii_ssn,
 )}

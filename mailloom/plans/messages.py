@@ -20,12 +20,17 @@ from mailloom.rules import DpoWords
 
 @dataclass(frozen=True)
 class Hooks:
-    """What a user may plug in. Each model takes and returns pandas series."""
+    """What a user may plug in. Each model takes and returns pandas series. ``replies`` is a folder in which replies
+    to prompts are kept, so that no run asks what an earlier one was answered."""
 
     embed: Callable | None = None
     classify: Callable | None = None
     dpo: Callable | None = None
     entities: Callable | None = None
+    replies: str | None = None
+
+    def kept(self, what: str) -> str | None:
+        return None if self.replies is None else f"{self.replies.rstrip('/')}/{what}"
 
 
 @dataclass(frozen=True)
@@ -111,7 +116,7 @@ def route(
         routed = joined.withColumn("result", F.when(matched, _from_match()).otherwise(rest))
     else:
         joined = cut_lineage(joined)
-        rest = classify.classify_with_model(joined.where(~matched), hooks.classify, "masked_text", table)
+        rest = classify.classify_with_model(joined.where(~matched), hooks.classify, "masked_text", table, kept=hooks.kept("classify"))
         routed = joined.where(matched).withColumn("result", _from_match()).unionByName(rest)
     return routed.withColumn("route", F.when(matched, F.lit("match")).otherwise(F.lit("classifier"))).drop(
         "match_confidence", *[f"m_{c}" for c in _MATCH])
@@ -134,7 +139,7 @@ def enrich(processed: DataFrame, pages: PageTable, hooks: Hooks = Hooks()) -> Da
     wanted = flat.where((F.coalesce("_dpo", F.lit("")) == "") & F.col("_site").isNotNull())
     policies = site_policies(
         wanted.select(F.col("_site").alias("site")), "site", pages.rows, pages.page_id, pages.url, pages.html,
-        pages.words, pages.paths, hooks.dpo)
+        pages.words, pages.paths, hooks.dpo, hooks.kept("dpo"))
     filled = enrich_dpo(flat.withColumnRenamed("_site", "_web"), policies, "_web", "_dpo", "site")
     return filled.withColumn("business_entity", F.col("business_entity").withField("dpo_email", F.col("_dpo"))).drop("_dpo", "_web")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mailloom import rules
+from mailloom.operators import classify
 from mailloom.plans import catalog as cat
 from mailloom.sources.tables import INDEX_CATEGORIES
 
@@ -200,6 +201,16 @@ BEST = f"""select * from (select *, row_number() over (partition by q_id order b
 BEST_RELATED = BEST.replace("else 0.5", "else 0.3")
 
 
+# Candidates of earlier batches only.
+BEST_EARLIER = f"""select * from (select *, row_number() over (partition by q_id order by confidence desc, distance, c_id) as pos
+    from (select *, similarity * domain_weight as confidence from (select *, 1 - distance as similarity, {WEIGHT} as domain_weight
+      from ({nearest(COSINE, 10, "c_id % 3 < q_id % 3")})))) where pos = 1"""
+_LABELS = "[" + ", ".join(_q(c) for c in rules.CATEGORIES) + "]"
+PROMPT_HEAD = classify.DEFAULT_PROMPT.format(categories=", ".join(rules.CATEGORIES)) + "\n\nMessage:\n"
+_KEY = "lpad(c_custkey::varchar, 9, '0')"
+_SSN = f"{_KEY}[1:3] || '-' || {_KEY}[4:5] || '-' || {_KEY}[6:9]"
+
+
 def route(best: str) -> str:
     return f"""select doc_id as email_id, case when m.q_id is null then 'classifier' else 'match' end as route,
         coalesce(m.email_category, {keywords('text', cat.LOCAL_KEYWORDS)}) as category,
@@ -387,6 +398,26 @@ SQL: dict[str, str] = {
     "match_domains": f"select c_domain as sender_domain, count(*) as matches from ({BEST}) group by 1",
     "confident_route": route(BEST),
     "domain_route": route(BEST_RELATED),
+    "match_earlier_batches": f"""select q_id, c_id, (c_id % 3)::bigint as c_batch, email_category, round(confidence, 6) as confidence,
+        confidence > 0.3 as sure from ({BEST_EARLIER})""",
+    "stored_lookup": f"""select 'id ' || id as asked, id, sender_domain, email_category from {RESULTS} where id in (7, 77, 777)
+        union all (select 'newest', id, sender_domain, email_category from {RESULTS} where sender_domain = 'u7.example'
+          order by processed_at desc, id limit 20)""",
+    "retried_messages": """select doc_id, case doc_id % 16 when 3 then 2 when 7 then 3 when 11 then 4 else 1 end::bigint as tries,
+        doc_id % 16 = 11 as dead, md5(text) as digest from documents""",
+    "labelled_files": f"""select 'news@' || {host('url')} as from_email, url as subject, md5(html) as digest,
+        case when page_id % 6 < 5 then {_LABELS}[(page_id % 6 + 1)::int] end as expected_category,
+        case when page_id % 6 = 5 then 'other.' else '' end || {host('url')} as expected_domain from pages""",
+    "classify_replied": f"""select doc_id, md5({_q(PROMPT_HEAD)} || text || chr(10) || chr(10) || 'Sender domain: ' || source
+          || '.example' || chr(10) || 'Footer: No footer' || chr(10) || 'URLs: No URLs') as prompt,
+        case when first % 4 = 0 then 'survey' else {keywords('text', rules.CATEGORY_KEYWORDS)} end as category,
+        case when first % 4 = 0 then 'N' || first else {company("source || '.example'")} end as name,
+        case when first % 4 = 0 then 0.75 else 0.3 end::double as confidence
+        from (select *, min(case when doc_id % 4 not in (2, 3) then doc_id end) over (partition by text, source) as first from documents)""",
+    "pii_ssn": spans([r for r in rules.PII_RULES if r.entity_type == "SSN"], f"""(select 'c' || c_custkey as id,
+        c_name || ', ssn ' || {_SSN} || ' or x' || {_SSN} || ' or ' || {_SSN} || '-1' as text from customer
+        union all select 'd' || doc_id, text from documents)""", "id").replace(
+        "select id, entity_type, rule, start, start + length(hit) as stop, score, hit from", "select id, start, start + length(hit) as stop, hit from"),
     "index_stats": f"""select field, value, count(*) as documents from (
         select 'sender_domain' as field, sender_domain as value from {INDEX} union all
         select 'email_category', email_category from {INDEX} union all

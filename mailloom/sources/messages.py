@@ -11,10 +11,11 @@ from mailloom.operators.ingest import parse_messages, validate
 FILES = "email_*.[jJ][sS][oO][nN]"
 
 
-def raw_messages(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, raw): one row per message file below ``path``, one JSON document each."""
+def raw_messages(spark: SparkSession, path: str, files: str = FILES) -> DataFrame:
+    """(source_file, raw): one row per message file below ``path``, one JSON document each. ``files`` is the pattern of
+    their names; where folders bear the messages' names, it can be that of the files in them."""
     files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", FILES)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files)
         .text(path, wholetext=True)
     )
     return files.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
@@ -33,18 +34,20 @@ def message_id(df: DataFrame, column: str = "source_file") -> DataFrame:
     return df.withColumn("email_id", F.sha2(F.col(column).cast("string"), 256))
 
 
-def read_emails(spark: SparkSession, path: str, required=rules.REQUIRED_KEYS) -> tuple[DataFrame, DataFrame]:
+def read_emails(
+    spark: SparkSession, path: str, required=rules.REQUIRED_KEYS, files: str = FILES,
+) -> tuple[DataFrame, DataFrame]:
     """(messages, bad files) of a folder."""
-    good, bad = validate(raw_messages(spark, path), required=required)
+    good, bad = validate(raw_messages(spark, path, files), required=required)
     return message_id(parse_messages(good)), bad
 
 
 def label_from_filename(df: DataFrame, column: str = "source_file") -> DataFrame:
     """Add expected_category and expected_domain from names like email_NN_category_domain_tld.json.
 
-    The category is null where the name has none.
+    The category is null where the name has none. The name is that of the file, or of a folder that holds it.
     """
-    name = F.regexp_extract(column, r"email_\d+_(.*)\.[jJ][sS][oO][nN]$", 1)
+    name = F.regexp_extract(column, r"email_\d+_([^/]*)\.[jJ][sS][oO][nN](?:/[^/]*)?$", 1)
     known = "|".join(rules.CATEGORIES)
     category = F.nullif(F.regexp_extract(name, rf"^({known})_", 1), F.lit(""))
     rest = F.regexp_replace(name, rf"^(?:{known})_", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailloom.operators.store import ID_PART, id_part
+
 
 def stored_form(flat: DataFrame, stable_id: str | None = None, now: Column | None = None) -> DataFrame:
     """Add id, processed_at, created_at and the day. ``stable_id`` names a column whose hash is
@@ -15,11 +17,19 @@ def stored_form(flat: DataFrame, stable_id: str | None = None, now: Column | Non
         "dt", F.to_date("processed_at"))
 
 
-def append_results(stored: DataFrame, path: str) -> None:
-    """Append; rows of a day are sorted by domain and time, so domain queries skip row groups."""
+def append_results(stored: DataFrame, path: str, id_parts: int = 0) -> None:
+    """Append; rows of a day are sorted by domain and time, so domain queries skip row groups.
+
+    With ``id_parts`` a day's rows are dealt into so many folders by a hash of the id, and a look-up by id reads only
+    one of them. Files are made per folder, those of a large one split, so that a write makes few small ones.
+    """
+    folders = ["dt"]
+    if id_parts:
+        folders.append(ID_PART)
+        stored = stored.withColumn(ID_PART, id_part(F.col("id"), id_parts)).hint("rebalance", *folders)
     (
-        stored.sortWithinPartitions("dt", "sender_domain", "processed_at")
-        .write.mode("append").partitionBy("dt").parquet(path)
+        stored.sortWithinPartitions(*folders, "sender_domain", "processed_at")
+        .write.mode("append").partitionBy(*folders).parquet(path)
     )
 
 
