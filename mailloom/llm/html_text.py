@@ -26,12 +26,16 @@ from mailloom.llm.common import fresh, text_of
 
 #: Elements whose text isn't the page's. What is in RAW ones is no markup: they go to their end tag or the page's end.
 RAW = "script|style|noscript|textarea|iframe|title"
-SILENT = "template|select|svg|object|button|canvas|math|video|audio"
+SILENT = "template|select|svg|object|button|canvas|video|audio"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])([^>]*+)>"
     rf"""|<({SILENT})(?=[\s/>])((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>""",
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(</?[a-zA-Z][^>]*+>)|<[!?/][^>]*+>""",
     re.S | re.I)
+#: The same where a quote was found that nothing closes: from there on, tags end at the next ">".
+LOOSE = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])([^>]*+)>|<({SILENT})(?=[\s/>])([^>]*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|(</?[a-zA-Z][^>]*+>)|<[!?/][^>]*+>", re.S | re.I)
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW.split("|")}
 FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,10 +46,13 @@ BLOCK = frozenset(
 #: Inline elements that part words.
 SPACE = frozenset("br td th img input".split())
 ARTICLE = frozenset("article main".split())
-BOILER = frozenset("nav footer aside menu dialog address".split())
+BOILER = frozenset("nav footer aside menu dialog".split())
 #: No article starts afresh in these.
 SHUT = frozenset("nav footer aside".split())
-HEADERS = frozenset("header hgroup".split())
+#: Boilerplate but in an article.
+HEADERS = frozenset("header hgroup address".split())
+#: Elements that hold short pieces of running text.
+ITEMS = frozenset("li dt dd pre blockquote figcaption".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
     "cookie cookies disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice "
@@ -86,6 +93,7 @@ class Block(NamedTuple):
     boiler: bool
     article: bool
     heading: bool
+    item: bool = False
     outside: float = 0.0
 
 
@@ -148,7 +156,8 @@ def blocks(page: str) -> list[Block]:
         words = "".join(pieces).split()
         if words:
             found.append((
-                Block(" ".join(words), len(words), min(linked, len(words)), place.boiler, place.article, heading), place))
+                Block(" ".join(words), len(words), min(linked, len(words)), place.boiler, place.article, heading,
+                      any(open_[x] > 0 for x in ITEMS)), place))
         pieces, linked, heading = [], 0, False
 
     def pop(name: str) -> None:
@@ -179,11 +188,16 @@ def blocks(page: str) -> list[Block]:
             if open_["a"]:
                 linked += len(decoded.split())
 
-    at = 0
-    while token := TOKEN.search(page, at):
+    # Behind the last ">" no tag ends, so none is looked for there; a comment may still start, and then goes on to the end.
+    at, last, pattern = 0, page.rfind(">") + 1, TOKEN
+    while token := pattern.search(page, at, last):
         text(page[at: token.start()])
         at = token.end()
-        raw, _, silent, _, slash, name, _ = token.groups()
+        raw, _, silent, _, slash, name, _, unclosed = token.groups()
+        if unclosed:
+            pattern = LOOSE
+        if at == last and token[0].startswith("<!--") and not token[0].endswith("-->"):
+            at = len(page)
         name = (raw or silent or name or "").lower()
         attributes = token[2] or token[4] or token[7] or ""
         if not name:
@@ -230,7 +244,8 @@ def blocks(page: str) -> list[Block]:
                 place = place._replace(wrapper=len(parents) - 1, owner=len(parents) - 1, teasers=teasers)
             place = place._replace(
                 boiler=place.boiler or boiler, shut=place.shut or shut, article=place.article or name in ARTICLE)
-    text(page[at:])
+    rest = page[max(at, last):].split("<!--", 1)[0] if at <= last else page[at:]
+    text(page[at: last] + rest if at < last else rest)
     flush()
     total, sizes = sum(b.words for b, _ in found), [0] * len(parents)
     for block, at_ in found:
@@ -243,17 +258,18 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row per block: words and link density of the block, of the one before and the one behind; place; heading."""
+    """A row per block: words and link density of the block, of the one before and the one behind; place; heading; item."""
     n = len(found)
     words = np.array([b.words for b in found], float)
     density = np.array([b.linked for b in found], float) / np.maximum(words, 1)
-    rows = np.zeros((n, 9))
+    rows = np.zeros((n, 10))
     rows[:, 0], rows[:, 1] = words, density
     rows[1:, 2], rows[1:, 3] = words[:-1], density[:-1]
     rows[:-1, 4], rows[:-1, 5] = words[1:], density[1:]
     rows[:, 6] = [b.boiler or b.outside > OUTSIDE for b in found]
     rows[:, 7] = [b.article for b in found]
     rows[:, 8] = [b.heading for b in found]
+    rows[:, 9] = [b.item for b in found]
     return rows
 
 
@@ -268,7 +284,33 @@ def labelled_pages() -> list[tuple[str, str]]:
     menu = "<ul><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li><li><a href=/c>News and more</a></li></ul>"
     links = "".join(f"<p><a href=/{i}>{prose(6)}</a></p>" for i in range(3))
     teasers = "".join(f"<p><a href=/{i}>{prose(n)}</a></p>" for i, n in enumerate((9, 14, 30)))
+    items = lambda *sizes: "".join(f"<li>{prose(n)}</li>" for n in sizes)
     return [
+        *((f"<{name}>{p(*sizes)}<p><a href=x>{prose(a)}</a></p></{name}><div>{prose(b)}</div>", "+" * len(sizes) + "+-")
+          for name, sizes in (("article", (1,)), ("main", (2, 9)), ("article", (5, 1, 30)), ("main", (14,)), ("article", (4,)))
+          for a, b in ((1, 1), (4, 2), (9, 3))),
+        *((f"<nav>{prose(1)}</nav><div><h1>{prose(a)}</h1>{p(*sizes)}</div>", "-+" + "+" * len(sizes))
+          for a, sizes in ((1, (40, 7)), (2, (30, 6, 20)), (3, (40, 25, 8)), (1, (22, 40, 40, 7)))),
+        *((f"<body><h1>{prose(a)}</h1>{p(b)}<ul>{items(*sizes)}</ul>{p(c)}", "+" * (3 + len(sizes)))
+          for a, b, sizes, c in ((1, 30, (2, 2), 24), (2, 45, (1, 6, 3), 12), (4, 25, (8, 2), 40))),
+        *((f"<article>{p(n)}</article>", "+") for n in (1, 2, 3, 8)),
+        (f"<article>{p(45, 2, 9, 60, 3, 12, 120, 2, 2, 80, 1, 30, 4, 45)}</article>", "+" * 14),
+        (f"<main><h1>Title</h1>{p(70, 3, 40, 1, 38, 3, 1, 250, 2, 10)}</main><div>Imprint</div>", "+" * 11 + "-"),
+        (f"<article><h1>Title</h1>{p(3)}</article><footer>Us</footer>", "++-"),
+        (f"<main><h1>Title</h1>{p(1, 2, 1)}</main><p>Us</p><p>Imprint</p>", "++++--"),
+        (f"<article>{p(2)}<p>{prose(1)} <a href=x>{prose(1)}</a></p></article><div>Us</div>", "++-"),
+        (f"<body><h1>{prose(3)}</h1>{p(30)}<ul>{items(2, 2)}</ul>{p(25)}", "+++++"),
+        (f"<body><h1>{prose(3)}</h1>{p(30)}<ol>{items(5, 3, 12, 1)}</ol>", "++++++"),
+        (f"<body><div>{menu}</div><h2>{prose(2)}</h2><ul>{items(1, 1, 2)}</ul>{p(28)}<div>{links}</div>", "---+++++---"),
+        (f"<div>{menu}</div>{p(40)}<dl><dt>{prose(1)}</dt><dd>{prose(6)}</dd><dt>{prose(2)}</dt><dd>{prose(14)}</dd></dl><div>{teasers}</div>", "---+++++---"),
+        (f"<div>{p(22)}<pre>{prose(3)}</pre>{p(35)}<blockquote>{prose(4)}</blockquote></div><div>Imprint</div>", "++++-"),
+        (f"<p>{prose(25)}</p><ul><li>{prose(3)}<ul><li>{prose(2)}</li></ul></li><li>{prose(1)}</li></ul>{p(9)}<div>{menu}</div>", "+++++---"),
+        (f"<div><figure><img><figcaption>{prose(5)}</figcaption></figure>{p(50, 31)}</div><div>{links}</div>", "+++---"),
+        (f"<div class=sidebar><ul>{items(1, 3)}</ul></div><div><h1>{prose(4)}</h1>{p(33)}<ul>{items(9, 2)}</ul>{p(18)}</div>", "--+++++"),
+        (f"<div>{p(26)}<ul>{items(2, 4)}</ul></div><div class=footer><ul>{items(1, 2)}</ul></div>", "+++--"),
+        (f"<article><h1>Title</h1>{p(20)}<address>{prose(6)}</address><ul>{items(1, 1)}</ul></article><address>{prose(5)}</address>", "+++++-"),
+        (f"<ol>{items(4, 2, 6)}</ol>{p(40)}<div>Log in</div><div>Search</div>", "++++--"),
+        (f"<div>Menu</div><div>Skip</div><h1>{prose(2)}</h1><ul><li>{prose(30)}</li><li>{prose(2)} <a href=x>more</a></li></ul>{p(12)}", "--++++"),
         (f"<div>{teasers}</div><div><h2>{prose(3)}</h2>{p(40, 25, 12)}</div><div>{teasers}</div>", "---++++---"),
         (f"<div>{p(33, 18)}<p>{prose(14)} <a href=x>{prose(4)}</a></p></div><div>{teasers}{teasers}</div>", "+++------"),
         (f"<body><nav>{menu}</nav><article><h1>A title</h1>{p(40, 3, 90)}</article><footer>&copy; us {prose(9)}</footer>", "---++++-"),
@@ -309,7 +351,7 @@ def tree():
         rows.append(features(found))
         labels += [1.0 if m == "+" else -1.0 for m in marks]
     labels = np.array(labels)
-    return grow(np.concatenate(rows), labels, np.ones(len(labels)), depth=8, least=1, penalty=0.0)
+    return grow(np.concatenate(rows), labels, np.ones(len(labels)), depth=14, least=1, penalty=0.0)
 
 
 def main_texts(pages: list[str]) -> list[str]:

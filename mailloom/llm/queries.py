@@ -155,6 +155,21 @@ SQL: dict[str, str] = {
             CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM p""",
+    "op3_substrings": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        places AS MATERIALIZED (
+            SELECT doc_id, unnest(list_transform(range(1, len(words) - 18),
+                lambda i: {'i': i, 'h': sha256(array_to_string(words[i:i + 19], ' '))}), recursive := true) FROM d),
+        again AS (
+            SELECT doc_id, i FROM places
+            QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, (SELECT unnest(range(20)) AS k)),
+        w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+        kept AS (
+            SELECT w.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY w.i) AS kept
+            FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+        SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
             doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
