@@ -30,7 +30,7 @@ NEXT = r"(?:[ ]?(?:\(dot\)|\[dot\]|\{dot\})[ ]?|[ ]dot[ ]|\.)"
 
 
 #: The first group of a phone. Inside a parenthesis that it doesn't close, it is proposed with and without that.
-FIRST = r"(?:\([0-9]{2,4}+\)?|(?<!\()[0-9]{2,4}+\)?|(?<=\()[0-9]{2,4}+(?!\)))"
+FIRST = r"(?:\([0-9]{2,6}+\)?|(?<!\()[0-9]{2,6}+\)?|(?<=\()[0-9]{2,6}+(?!\)))"
 
 
 class Generator(NamedTuple):
@@ -52,14 +52,16 @@ GENERATORS = (
     Generator("card", True, r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", "[0-9]"),
     Generator("phone", True, r"\+[0-9][ ().0-9-]+[0-9]", "[+][0-9]"),
     Generator("email", False,
-              rf"(?i)(?<!{LOCAL}){LOCAL}{{1,64}}(?:[ ]?(?:\(at\)|\[at\]|\{{at\}}|@)[ ]?|[ ]at[ ]){HOST}{{1,63}}"
-              rf"(?:{NEXT}{HOST}{{1,63}}){{1,4}}+", r"(?i)\(at\)|\[at\]|\{at\}| at |@"),
+              rf"(?i)(?<!{LOCAL}){LOCAL}++(?:[ ]?(?:\(at\)|\[at\]|\{{at\}}|@)[ ]?|[ ]at[ ]){HOST}++"
+              rf"(?:{NEXT}{HOST}++)++", r"(?i)\(at\)|\[at\]|\{at\}| at |@"),
     Generator("ip", False, r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}"
-              r"(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:.])", "[0-9A-Fa-f]:"),
-    *(Generator("card", False, rf"(?<![0-9A-Za-z.])(?=([0-9]{{4}}(?:[ ._/-]{{1,2}}[0-9]{{3,6}}+){{{n}}})(?![0-9A-Za-z]))",
-                "[0-9]{4}[ ._/-]", True) for n in (2, 3, 4)),
-    *(Generator("phone", False, rf"(?<![0-9A-Za-z+.$#-])(?=((?:00[0-9]{{1,3}}[ .-]?)?{FIRST}(?:[ ./-]{{1,2}}[0-9]{{2,4}}+){{{n}}})"
-                "(?![0-9A-Za-z%]))", "[0-9]{2}[ )./-]", True) for n in (2, 3, 4)),
+              r"(?::[0-9A-Fa-f]{1,4}){1,6}|(?::(?::[0-9A-Fa-f]{1,4}){1,7})|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![0-9A-Za-z:]|[.][0-9])",
+              "[0-9A-Fa-f]:|:[0-9A-Fa-f]"),
+    *(Generator("card", False, rf"(?<![0-9A-Za-z.])(?=([0-9]{{3,12}}+(?:[ ._/-]{{1,2}}[0-9]{{2,12}}+){{{n}}})(?![0-9A-Za-z]))",
+                "[0-9]{3}[ ._/-]", True) for n in (1, 2, 3, 4, 5)),
+    *(Generator("phone", False, rf"(?<![0-9A-Za-z+.$#-])(?=((?:00[0-9]{{1,3}}[ .-]?(?:[0-9][ .-])?)?{FIRST}"
+                rf"(?:(?:[ ./-]{{1,2}}|(?<=\)))[0-9]{{2,10}}+){{{n}}})(?![0-9A-Za-z%]))", "[0-9]{2}[ )./-]", True) for n in (1, 2, 3, 4, 5, 6)),
+    Generator("phone", False, r"(?<![0-9A-Za-z+.,$#_/=:-])[0-9]{9,15}+(?![0-9A-Za-z%_/-]|[.,:][0-9])", "[0-9]{9}"),
 )
 CONTEXT = 40
 #: Words that speak for a kind, and words that speak for other numbers.
@@ -127,7 +129,8 @@ def features(kind: Column, match: Column, before: Column, after: Column) -> dict
         "hex_letters": flag(match.rlike("[A-Fa-f]")),
         "top_level": flag(match.rlike(r"(?i)(?:\.|dot[)\]}]?[ ]?)(?:com|net|org|edu|gov|info|io|de|fr|es|uk|eu|example)$")),
         "letter_after": flag(after.rlike(r"^[A-Za-z]")), "digit_after": flag(after.rlike(r"^[ .-]?[0-9]")),
-        "digit_before": flag(before.rlike(r"[0-9][ .,-]?$")),
+        "digit_before": flag(before.rlike(r"[0-9][ .,-]?$")), "zero": flag(match.rlike(r"^\(?0")),
+        "letters_only": flag(match.rlike("^[^0-9]*$")),
     }
 
 
@@ -164,6 +167,26 @@ def examples() -> list[tuple[str, str, str, str, int]]:
     add("phone", 0, ["415-555-0199 24", "212 555 0143 2024", "555 0143 415 555", "555 0143 415", "0143 415 555", "0188 303 555 0122",
                      "0143 2024 1000", "555-0199 24 10", "303.555.0166 30", "555 0143 2024", "0199 212 5550"],
         ["Call ", "phone 212 ", "tel 212-555-", "my number 415 555 ", ""], [" hours", " 0188", " 555 0188", " 1000", " days"])
+    # Numbers in one or two pieces: the words before them decide.
+    add("phone", 1, ["0301234567", "2125550143", "212 5550143", "07911 123456", "(212)555-0143", "015155501434", "(030)5550177",
+                     "4155550199", "030 55501770", "0049305550144"],
+        ["call me on ", "tel ", "my phone is ", "mobile ", "Phone: ", "fax no. ", "whatsapp ", "reach us by phone: "], end)
+    add("phone", 1, ["(212)555-0143", "(415)555-0188", "(617)555-0107"], ["or ", "at ", "", "\n"], end)
+    add("phone", 0, ["1234567890", "0301234567", "20241012101500", "9780306406157", "212 5550143", "1700000000", "48213 773112",
+                     "100000 200000", "5550143555", "07911 123456", "20240101 1200"],
+        ["order ", "id ", "serial ", "version ", "the values ", "ref: ", "invoice no. ", "", "and ", "total ", "page ", "of "], end)
+    add("phone", 0, ["555-0143 415-555-0188", "0143 415-555-0188", "212-555-0143 415-555", "555-0188 303-555-0122", "0188 303-555",
+                     "212 555 0143 415", "555 0143 415 555 0188", "555-0122 617-555-0107", "303.555.0166 303.555", "555.0166 303.555.0177"],
+        ["phones 212-", "212-555-", "phones ", "415-555-0188 212-", "tel ", "303."], ["", " 303-555-0122", "-0188", "-555-0188", " now"])
+    add("phone", 1, ["212-555-0143", "415-555-0188", "303-555-0122", "617-555-0107", "303.555.0166", "212 555 0143"],
+        ["phones ", "212-555-0143 ", "415-555-0188 303-555-0122 ", "phones 212-555-0143 ", "call 303.555.0166 "],
+        [" 415-555-0188", " 303-555-0122 617-555-0107", "", " now", " 303.555.0177"])
+    add("email", 1, ["jane (at) a.b.c.d.e.f.com", "x" * 70 + " [at] mail.example.org", "ann.lee at mail dot eu dot corp dot example dot net",
+                     "j" * 65 + "(at)example.com"], ["mail ", "contact: ", "", "or "], end)
+    add("ip", 1, ["::1", "::ffff:a00:1", "::8a2e:370:7334", "2001:db8:85a3::", "fe80::"], ["ip ", "host ", "address: ", "server ", "ping "], end)
+    add("ip", 0, ["::add", "::bad", "::1", "::face", "ab::", "::2"], ["method ", "use ", "the ", "ratio ", "verse ", "call "], end)
+    add("card", 0, ["100000 20000000", "2024 10 12 10 15 30", "12345678 12345678", "555 0143 555 0144"],
+        ["order ", "the values ", "ref: ", "", "total ", "and "], end)
     add("card", 1, [numbers(i, sep, True) for i, sep in enumerate(["."] * 4 + ["_"] * 3 + ["  "] * 3 + ["/"] * 3)],
         ["card ", "my Visa ", "credit card number: ", "pay with ", "payment by ", ""], end)
     add("card", 0, [numbers(i + 20, sep, False) for i, sep in enumerate([".", "_", "  ", "/"] * 2)] + [

@@ -91,6 +91,23 @@ def test_candidates_next_to_others(spark):
         assert [text[a:b] for a, b in sorted(found)] == texts[text]
 
 
+def test_no_notation_is_cut_or_missed(spark):
+    long = "y" * 80 + " (at) example.org"
+    texts = {
+        "call me on 0301234567 please": ["0301234567"], "tel 2125550143": ["2125550143"], "phone 212 5550143 now": ["212 5550143"],
+        "mobile 07911 123456": ["07911 123456"], "call (212)555-0143 today": ["(212)555-0143"], "ping ::1 again": ["::1"],
+        "write to jane (at) a.b.c.d.e.f.com": ["jane (at) a.b.c.d.e.f.com"], f"mail {long} .": [long],
+        "call 303.555.0166 303.555.0177 now": ["303.555.0166", "303.555.0177"],
+        "order 1234567890 came": [], "serial 0301234567": [], "std::bad and ns::add": [],
+        "address: 2001:db8:85a3:: .": ["2001:db8:85a3::"],
+    }
+    rows = pii.report(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in rows:
+        text = list(texts)[r.doc_id]
+        found = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        assert (text, [text[a:b] for a, b in sorted(found)]) == (text, texts[text])
+
+
 def test_only_what_overlaps_the_likeliest_goes(spark):
     rows = [(1, "phone", False, 0, 10, 0.7), (1, "phone", False, 8, 20, 0.9), (1, "phone", False, 18, 30, 0.8), (1, "phone", False, 28, 40, 0.6),
             (2, "phone", False, 0, 10, 0.9), (2, "phone", False, 8, 20, 0.7), (2, "card", False, 18, 30, 0.8), (2, "ip", False, 40, 41, 0.7)]
