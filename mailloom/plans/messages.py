@@ -109,14 +109,17 @@ def route(
     table: classify.Keywords = rules.CATEGORY_KEYWORDS,
 ) -> DataFrame:
     """Copy from a confident match, else classify; only the rest is ever sent to a model."""
-    joined = described.join(matches, "email_id", "left")
     matched = F.col("match_confidence").isNotNull()
     if hooks.classify is None:
+        # What the rules say is settled where the text is, so that no body travels to the join.
         rest = classify.fallback_result(F.col("masked_text"), F.col("sender_domain"), F.col("urls"), table)
-        routed = joined.withColumn("result", F.when(matched, _from_match()).otherwise(rest))
+        slim = described.withColumn("_rest", rest).drop("masked_text", "subject", "from_email")
+        routed = slim.join(matches, "email_id", "left").withColumn(
+            "result", F.when(matched, _from_match()).otherwise(F.col("_rest"))).drop("_rest")
     else:
-        joined = cut_lineage(joined)
-        rest = classify.classify_with_model(joined.where(~matched), hooks.classify, "masked_text", table, kept=hooks.kept("classify"))
+        joined = cut_lineage(described.join(matches, "email_id", "left"))
+        rest = classify.classify_with_model(
+            joined.where(~matched), hooks.classify, "masked_text", table, kept=hooks.kept("classify"))
         routed = joined.where(matched).withColumn("result", _from_match()).unionByName(rest)
     return routed.withColumn("route", F.when(matched, F.lit("match")).otherwise(F.lit("classifier"))).drop(
         "match_confidence", *[f"m_{c}" for c in _MATCH])
@@ -135,13 +138,19 @@ def finish(routed: DataFrame) -> DataFrame:
 def enrich(processed: DataFrame, pages: PageTable, hooks: Hooks = Hooks()) -> DataFrame:
     """Fill in missing data-protection addresses from crawled pages."""
     entity = F.col("business_entity")
-    flat = cut_lineage(processed.withColumns({"_dpo": entity["dpo_email"], "_site": entity["website"]}))
-    wanted = flat.where((F.coalesce("_dpo", F.lit("")) == "") & F.col("_site").isNotNull())
+    # Only identifiers, sites and addresses are stored for this; the rows themselves meet the outcome in one join.
+    keys = cut_lineage(processed.select("email_id", entity["website"].alias("_web"), entity["dpo_email"].alias("_dpo")).distinct())
+    wanted = keys.where((F.coalesce("_dpo", F.lit("")) == "") & F.col("_web").isNotNull())
     policies = site_policies(
-        wanted.select(F.col("_site").alias("site")), "site", pages.rows, pages.page_id, pages.url, pages.html,
+        wanted.select(F.col("_web").alias("site")), "site", pages.rows, pages.page_id, pages.url, pages.html,
         pages.words, pages.paths, hooks.dpo, hooks.kept("dpo"))
-    filled = enrich_dpo(flat.withColumnRenamed("_site", "_web"), policies, "_web", "_dpo", "site")
-    return filled.withColumn("business_entity", F.col("business_entity").withField("dpo_email", F.col("_dpo"))).drop("_dpo", "_web")
+    filled = enrich_dpo(wanted, policies, "_web", "_dpo", "site").where(F.coalesce("_dpo", F.lit("")) != "")
+    filled = filled.select("email_id", "_web", "_dpo").distinct().groupBy("email_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("_web", "_dpo"))).alias("_found"))
+    joined = processed.join(filled, "email_id", "left")
+    missing = F.coalesce(entity["dpo_email"], F.lit("")) == ""
+    dpo = F.coalesce(F.when(missing, F.try_element_at("_found", entity["website"])), entity["dpo_email"])
+    return joined.withColumn("business_entity", entity.withField("dpo_email", dpo)).drop("_found")
 
 
 def process_messages(
@@ -160,7 +169,7 @@ def process_messages(
     """Process messages (email_id, from_email, subject, html_content, text_content) against an
     index. Described messages are read several times, so they are stored once in between."""
     described = cut_lineage(describe(messages, config, hooks, mode, data_source))
-    matches = match_index(described, index, config, metric, block_rows)
+    matches = cut_lineage(match_index(described, index, config, metric, block_rows))
     processed = finish(route(described, matches, hooks, table))
     return processed if pages is None else enrich(processed, pages, hooks)
 
