@@ -37,9 +37,20 @@ def test_run_gives_the_rows_of_its_stages(spark):
     assert sorted(rows) == sorted(docs.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
 
 
-@pytest.mark.parametrize("name", queries.QUERIES)
+#: Queries with a row per row of another table than documents, and the one whose rows are phrases.
+OTHERS = {"op2_warc": ("pages", "page_id"), "op4_html_text": ("pages", "page_id"), "op13_centroids": ("embeddings", "vec_id")}
+PHRASES = "op11_collocations"
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != PHRASES])
 def test_queries_answer_every_row(spark, name):
-    kind = "pages" if name.startswith(("op2", "op4")) else "documents"
+    kind, key = OTHERS.get(name, ("documents", "doc_id"))
     found = queries.QUERIES[name](spark, FOLDER)
-    key = "page_id" if kind == "pages" else "doc_id"
     assert found.select(key).distinct().count() == table(spark, FOLDER, kind).count()
+
+
+def test_phrases_are_ranked_in_each_language(spark):
+    ranks = {}
+    for r in queries.QUERIES[PHRASES](spark, FOLDER).collect():
+        ranks.setdefault(r["lang"], []).append(r["rank"])
+    assert ranks and all(sorted(x) == list(range(1, len(x) + 1)) and len(x) <= 2000 for x in ranks.values())
