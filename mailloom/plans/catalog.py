@@ -38,6 +38,7 @@ LOCAL_KEYWORDS = (
 SHORT_KEYWORDS = (("survey", ("tion",)), ("customer_support", ("und",)))
 LOCAL_INDICATORS = ("the", "und", "les", "que", "of", "der")
 LOCAL_DPO = DpoWords(officer="the|der|dans|que", protection="of|en|de", privacy="la|and|und")
+LINKED_PATHS = rules.PRIVACY_PATHS[:2]
 LOCAL_LINK_WORDS = dict(href_words=("the", "The"), text_words=("and", "der", "la"))
 LOCAL_THRESHOLDS = (("EMAIL_ADDRESS", 0.5), ("PHONE_NUMBER", 0.85), ("CREDIT_CARD", 0.8))
 # A loose phone rule, whose hits lie inside cards and phones of the stricter rules.
@@ -533,6 +534,19 @@ def resolve_site_policy(spark, sf):
     return _policies(spark, sf)
 
 
+def resolve_linked_sites(spark, sf):
+    """Two usual places only; the first page of a site has a copy for each of its texts, with a link to that text."""
+    docs = _docs(spark, sf)
+    crawled = src.crawled_pages(docs)
+    link = F.concat(F.lit('<p><a href="'), F.col("url"), F.lit('">privacy</a></p>'))
+    first_pages = crawled.select(
+        (-1 - F.col("page_id")).alias("page_id"), F.concat(privacy.host_part(F.col("url")), F.lit("/")).alias("url"),
+        link.alias("html"))
+    return privacy.site_policies(
+        docs.select(src.site_of_text().alias("site")), "site", crawled.unionByName(first_pages), "page_id", "url", "html",
+        LOCAL_DPO, LINKED_PATHS)
+
+
 def enrich_dpo(spark, sf):
     docs = _docs(spark, sf)
     known = F.when(F.col("lang") == "de", F.concat(F.lit("dpo@"), src.site_of_text()))
@@ -855,7 +869,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     score_candidates, best_match, match_stats, match_domains, confident_route, domain_route, index_stats, index_totals,
     index_delete, index_peek,
     classify_rules, classify_whole_words, company_from_domain, fallback_result, parse_model_json,
-    privacy_candidates, privacy_links, dpo_extract, resolve_site_policy, enrich_dpo,
+    privacy_candidates, privacy_links, dpo_extract, resolve_site_policy, resolve_linked_sites, enrich_dpo,
     flatten_result, get_result, query_by_domain, query_by_domain_strict, latest_per_domain, result_stats,
     category_shares, run_summary, high_confidence, high_confidence_count, accuracy_by_model, confusion_matrix,
     class_precision, compare_providers, providers_by_category, latency_check,

@@ -245,18 +245,27 @@ def dpo(e: str) -> str:
     return f"coalesce({tries})"
 
 
-POLICIES = f"""(with contacts as (
-      select site, path, arg_min(contact, doc_id) as contact from (
+CONTACTS = f"""(select site, path, arg_min(contact, doc_id) as contact from (
         select doc_id, site, path, {dpo('t')} as contact from (
           select doc_id, site, path, {strip('text')} as t from {CRAWL}) where length(t) > 0)
-      where contact is not null group by all),
-    placed as (select site, contact, 'https://' || site || path as url, list_position({_PATHS}, path) as pos
-      from contacts where list_position({_PATHS}, path) is not null),
-    best as (select site, arg_min(contact, pos) as dpo_email, arg_min(url, pos) as privacy_policy_url from placed group by site)
+      where contact is not null group by all)"""
+
+
+def policies(placed: str) -> str:
+    """Sites with the first of their placed contacts (site, contact, url, pos)."""
+    return f"""(with placed as ({placed}),
+    best as (select site, arg_min(contact, spot) as dpo_email, arg_min(url, spot) as privacy_policy_url
+      from (select *, struct_pack(pos := pos, url := url) as spot from placed) group by site)
     select s.site, dpo_email, privacy_policy_url, dpo_email is not null as success,
       case when dpo_email is null then 'No DPO email found in privacy policies' end as error_message
     from (select distinct {SITE} as site from documents) s left join best using (site))"""
 
+
+POLICIES = policies(f"""select site, contact, 'https://' || site || path as url, list_position({_PATHS}, path) as pos
+    from {CONTACTS} where list_position({_PATHS}, path) is not null""")
+LINKED_POLICIES = policies(f"""select site, contact, 'https://' || site || path as url,
+    coalesce(list_position({_PATHS}[:{len(cat.LINKED_PATHS)}], path), {len(cat.LINKED_PATHS) + 1}) as pos from {CONTACTS}""")
+
 LABELS = """(select doc_id, case when toxic = 1 then 'transactional' when quality = 1 then 'survey' else 'personal' end as expected from labels)"""
 PREDICTIONS = f"""(select doc_id, n_chars / (n_chars + 100)::double as confidence, p.model as model, p.predicted as predicted from (
     select doc_id, n_chars, unnest([
@@ -443,6 +452,7 @@ SQL: dict[str, str] = {
     "privacy_links": _privacy_links(),
     "dpo_extract": f"select * from (select doc_id, {dpo('text')} as dpo_email from documents) where dpo_email is not null",
     "resolve_site_policy": f"select * from {POLICIES}",
+    "resolve_linked_sites": f"select * from {LINKED_POLICIES}",
     "enrich_dpo": f"""select d.doc_id, d.website, coalesce(d.known, p.dpo_email) as dpo_email from (
         select doc_id, case when source <> 'src1' then {SITE} end as website,
           case when lang = 'de' then 'dpo@' || {SITE} end as known from documents) d

@@ -61,6 +61,61 @@ def test_no_candidates(spark):
     assert resolve(spark, ["a.com"], [("https://b.com/", "x")], paths=())["a.com"][3] == privacy.NO_URLS
 
 
+def test_sites_that_share_a_host_or_a_first_page(spark):
+    got = resolve(spark, ["a.com/x", "a.com/y", "b.com", "b.com/", "c.com", "d.com/s", "d.com/t"], [
+        ("https://a.com/privacy.php", "DPO one@a.com"), ("https://b.com", '<a href="//c.com/privacy-text">privacy</a>'),
+        ("https://c.com/", '<a href="/privacy-text">privacy</a>'), ("https://c.com/privacy-text", "DPO two@c.com"),
+        ("https://d.com/s", '<a href="/privacy-s">privacy</a>'), ("https://d.com/privacy-s", "DPO three@d.com"),
+    ])
+    assert got["a.com/x"] == got["a.com/y"] == ("one@a.com", "https://a.com/privacy.php", True, None)
+    assert got["b.com"] == got["b.com/"] == got["c.com"] == ("two@c.com", "https://c.com/privacy-text", True, None)
+    assert got["d.com/s"] == ("three@d.com", "https://d.com/privacy-s", True, None)
+    assert got["d.com/t"] == (None, None, False, privacy.NOT_FOUND)
+
+
+def test_usual_places_come_before_links_and_copies_are_merged(spark):
+    rows = [
+        ("https://a.com", '<a href="/z-privacy">p</a>'), ("https://a.com/", '<a href="/y-privacy">p</a>'),
+        ("https://a.com/z-privacy", "DPO z@a.com"), ("https://a.com/y-privacy", "DPO y@a.com"),
+    ]
+    assert resolve(spark, ["a.com"], rows)["a.com"][:2] == ("y@a.com", "https://a.com/y-privacy")
+    rows.append(("https://a.com/privacy.html", "DPO usual@a.com"))
+    assert resolve(spark, ["a.com"], rows)["a.com"][:2] == ("usual@a.com", "https://a.com/privacy.html")
+
+
+def test_a_model_reads_only_what_a_wave_asks_for(spark, tmp_path):
+    kept = str(tmp_path / "replies")
+
+    def model(prompts):
+        return [p.split("write to ")[1].split()[0] if "write to " in p else "None" for p in prompts]
+
+    rows = [
+        ("https://a.com/privacy", "write to first@a.com now"), ("https://a.com/privacy-policy", "write to second@a.com now"),
+        ("https://b.com/privacy-policy", "nothing, but the DPO by@pattern.com"), ("https://b.com/privacy.php", "write to late@b.com now"),
+        ("https://c.com", '<a href="/about-privacy">privacy</a>'), ("https://c.com/about-privacy", "write to link@c.com now"),
+        ("https://c.com/elsewhere", "write to nobody@c.com now"),
+    ]
+    got = resolve(spark, ["a.com", "b.com", "c.com"], rows, model=model, kept=kept)
+    assert {s: r[0] for s, r in got.items()} == {"a.com": "first@a.com", "b.com": "by@pattern.com", "c.com": "link@c.com"}
+    assert spark.read.parquet(kept).count() == 3  # a's first place, b's second, c's link
+    assert resolve(spark, ["a.com", "b.com", "c.com"], rows, model=model, kept=kept) == got
+    assert spark.read.parquet(kept).count() == 3
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = pages(spark, [("https://a.com/privacy", "DPO a@a.com"), ("https://b.com", '<a href="/privacy2">privacy</a>')])
+    counted = rows.mapInArrow(seen, rows.schema)
+    done = privacy.site_policies(sites(spark, "a.com", "b.com", "c.com"), "site", counted, "page_id", "url", "html")
+    assert done.count() == 3 and reads.value == 2
+
+
 def test_copies_of_a_page_and_short_pages(spark):
     rows = pages(spark, [("https://a.com/privacy", "nothing"), ("https://a.com/privacy", "DPO a@a.com")])
     short = spark.createDataFrame([(9, "https://b.com/privacy", "DPO b@b.com")], rows.schema)
