@@ -30,6 +30,8 @@ SHARDS = 64
 #: Documents per block that is aimed at, and most blocks of a source (bounds the windows over a source's blocks).
 PER_BLOCK = 16
 MAX_BLOCKS = 1 << 16
+#: Rounds that fill what the cut block leaves open with several documents.
+FILL_ROUNDS = 3
 #: Up to this many sources their table is broadcast; beyond, it is joined by shuffles.
 FEW_SOURCES = 10_000
 
@@ -206,18 +208,15 @@ class Mix:
             "gap": F.when((F.col("before") < F.col("rest")) & (ends > F.col("rest")), F.col("rest") - F.col("before")),
             "more": ((F.col("before") < F.col("rest")) & (F.col("words") > 0)).cast("long"),
         }), "blocks")
-        # Blocks that are cut, at most one of each source: a run of its documents, and of all documents that the round
-        # leaves, the one whose size comes nearest to what the run leaves open.
+        # Blocks that are cut, at most one of each source: a run of its documents, and what fills the rest.
         docs = rows.groupBy("_name", "_block", "_key").agg(F.sum("_size").alias("words"))
-        docs = docs.join(blocks.select("_name", "_block", "gap", "more"), ["_name", "_block"])
+        docs = stored(docs.join(blocks.select("_name", "_block", "gap", "more"), ["_name", "_block"]), "documents")
         run = Window.partitionBy("_name", "_block").orderBy(F.xxhash64(F.lit(self.seed), F.lit("cut"), "_key"), "_key")
         cut = stored(docs.filter("gap is not null").withColumn("run", F.sum("words").over(run) <= F.col("gap")), "cut")
         open_ = cut.groupBy("_name").agg(
             (F.first("gap") - F.coalesce(F.sum(F.when(F.col("run"), F.col("words"))), F.lit(0))).alias("open"))
         free = docs.filter("more = 0").unionByName(cut.filter("not run").drop("run"))
-        free = free.join(F.broadcast(open_) if self.few else open_, "_name")
-        best = F.min(F.struct(F.abs(F.col("words") - F.col("open")).alias("off"), "_key", "_block", "open")).alias("best")
-        fills = free.groupBy("_name").agg(best).filter("best.off < best.open").select("_name", "best._block", "best._key")
+        fills = self._fill(free.select("_name", "_block", "_key", "words").filter("words > 0"), open_)
         cut = cut.filter("run").select("_name", "_block", "_key").unionByName(fills)
         # Draws of blocks: whole rounds over the permutation, then the blocks of the last round.
         draws = blocks.withColumn("round", F.explode(F.sequence(
@@ -238,6 +237,37 @@ class Mix:
         where = drawn.filter("is_cut").select("_name", F.element_at("shards", -1).alias("_shard"))
         return drawn, stored(cut.join(F.broadcast(where) if self.few else where, "_name"), "parts")
 
+    def _fill(self, free: DataFrame, open_: DataFrame) -> DataFrame:
+        """Documents out of free (_name, _block, _key, words) whose words come near what is open (_name, open).
+
+        Each round leaves aside what is longer than what is still open, and of the rest takes documents block after
+        block in permuted order as long as they fit. What no document fits into is left to the one that comes nearest.
+        """
+        few = F.broadcast if self.few else lambda df: df
+        order = F.xxhash64(F.lit(self.seed), F.lit("fill"), "_name", "_block")
+        earlier = Window.partitionBy("_name").orderBy(order, "_block").rowsBetween(Window.unboundedPreceding, -1)
+        run = Window.partitionBy("_name", "_block").orderBy(F.xxhash64(F.lit(self.seed), F.lit("fill"), "_key"), "_key")
+        keys, fills = ["_name", "_block", "_key"], []
+        open_ = stored(open_.withColumn("open", F.col("open").cast("double")), "open")
+        for _ in range(FILL_ROUNDS):
+            fits = free.join(few(open_), "_name").filter(F.col("words") <= F.col("open"))
+            blocks = fits.groupBy("_name", "_block", "open").agg(F.sum("words").alias("sum"))
+            blocks = blocks.withColumn("before", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
+            within = fits.drop("open").join(blocks.filter("before < open").drop("sum"), ["_name", "_block"])
+            within = within.withColumn("end", F.col("before") + F.sum("words").over(run)).filter("end <= open")
+            taken = stored(within.select(*keys, "words"), "fill")
+            fills.append(taken)
+            free = free.join(taken.select(*keys), keys, "left_anti")
+            sums = taken.groupBy("_name").agg(F.sum("words").alias("sum"))
+            open_ = stored(open_.join(few(sums), "_name", "left").select(
+                "_name", (F.col("open") - F.coalesce("sum", F.lit(0))).alias("open")), "open")
+        nearest = F.min(F.struct(F.abs(F.col("words") - F.col("open")).alias("off"), "_key", "_block", "open")).alias("best")
+        last = free.join(few(open_), "_name").groupBy("_name").agg(nearest).filter("best.off < best.open")
+        found = last.select("_name", "best._block", "best._key")
+        for taken in fills:
+            found = found.unionByName(taken.select(*keys))
+        return found
+
     def decide(self, rows: DataFrame) -> DataFrame:
         """rows (_name, _key) with copies (times taken) and shards (where to, one for each copy)."""
         rows = self._with_source(rows).join(self.blocks, ["_name", "_block"])

@@ -1,5 +1,6 @@
 """Targets, draws and the splitting tree."""
 
+import random
 import re
 from collections import Counter
 from math import comb
@@ -67,6 +68,35 @@ def test_targets_and_takes(corpus):
     assert sum(texts.values()) == sum(r.copies for r in found)
 
 
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Sources of some thousand documents, a few of which have a hundred times as many words as the others."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(4000):
+        n = 30_000 if i % 500 == 3 else rng.randint(5, 120)
+        rows.append((i, " ".join(["w"] * n), f"s{i % 8 // 3}"))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_long_documents_do_not_move_the_targets(uneven, seed):
+    source = {r.doc_id: r.source for r in uneven.select("doc_id", "source").collect()}
+    taken, target = Counter(), {}
+    for r in mixing.mix(uneven, shards=4, seed=seed).takes().collect():
+        assert r.taken <= 3 * r.size
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    for name, want in target.items():
+        assert taken[name] == pytest.approx(want, rel=0.001), name
+
+
+def test_many_sources_are_joined_by_shuffles(corpus, monkeypatch):
+    few = sorted(map(str, mixing.mix(corpus, shards=4).takes().collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(corpus, shards=4).takes().collect())) == few
+
+
 def test_hypergeometric_probabilities(spark):
     good, other, draws, n = 7, 12, 6, 4000
     frame = spark.range(n).select(mixing.hypergeometric(
