@@ -114,10 +114,9 @@ def _scattered(df: DataFrame, vec: str, model: Tables, sets: Sequence[tuple[int,
                 part = batch.slice(at, step)
                 vectors = nb.matrix(part.column(vec), model.unit)
                 found = model.own(vectors)[:, :, None] if sets is None else model.probed(vectors, sets)
-                row, table = (x.ravel() for x in np.indices(found.shape)[:2])
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(table.astype(np.int32)), pa.array(found.ravel())], names=schema.names)
+                each = np.arange(found.size) // found.shape[2]
+                row, table = each // model.tables, (each % model.tables).astype(np.int32)
+                yield from nb.copies(part, row, {"_table": table, "_bucket": found.ravel()})
 
     return df.mapInArrow(run, schema)
 
