@@ -64,3 +64,15 @@ def test_a_task_sends_bounded_batches():
     assert max(p.nbytes for p in parts) < 1.2 * neighbours.SENT_BYTES
     assert [v for p in parts for v in p["_cell"].to_pylist()] == list(range(len(row)))
     assert parts[-1]["v"][-1].as_py() == [499.0] * 64
+
+
+def documents(spark, folder, n=60):
+    rows = [(i, f"mail a{i}@b.com now", "en", f"src{i % 4}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_a_table_of_several_files_is_streamed(spark, tmp_path):
+    got = catalog.stream_values(spark, documents(spark, tmp_path))
+    assert sorted(r["value"] for r in got.collect()) == sorted(f"a{i}@b.com" for i in range(60))
