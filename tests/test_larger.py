@@ -76,3 +76,21 @@ def documents(spark, folder, n=60):
 def test_a_table_of_several_files_is_streamed(spark, tmp_path):
     got = catalog.stream_values(spark, documents(spark, tmp_path))
     assert sorted(r["value"] for r in got.collect()) == sorted(f"a{i}@b.com" for i in range(60))
+
+
+def test_intake_files_grow_with_the_table(spark, tmp_path):
+    def folders():
+        return {x for x in os.listdir(shared_folder(spark)) if x.startswith("intake-")}
+
+    sf, before, bound = documents(spark, tmp_path), folders(), "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(bound)
+    spark.conf.set(bound, "500b")
+    try:
+        got = catalog.stream_intake(spark, sf).collect()
+        splits = catalog._docs(spark, sf).rdd.getNumPartitions()
+    finally:
+        spark.conf.set(bound, old)
+    assert sorted(r["email_id"] for r in got) == list(range(60)) and splits > 3
+    work = f"{shared_folder(spark)}/{(folders() - before).pop()}"
+    assert sum(x.endswith(".parquet") for x in os.listdir(f"{work}/raw")) > 3
+    assert sorted(x for x in os.listdir(f"{work}/queued")) == ["batch=0", "batch=1", "batch=2"]
