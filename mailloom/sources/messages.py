@@ -21,6 +21,18 @@ def raw_messages(spark: SparkSession, path: str, files: str = FILES) -> DataFram
     return files.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
 
 
+def pack_messages(messages: DataFrame, path: str) -> None:
+    """Write (source_file, raw) so that many messages share a file, each under its name. Texts of one name are one message, as
+    they would be in one file of that name."""
+    named = messages.groupBy("source_file").agg(F.collect_list("raw").alias("raw"))
+    named.select("source_file", F.array_join("raw", "\n").alias("raw")).write.parquet(path)
+
+
+def packed_messages(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, raw) of a folder that ``pack_messages`` wrote: no file is listed or opened for a single message."""
+    return spark.read.schema("source_file string, raw string").parquet(path)
+
+
 def raw_message_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """The same as a stream: a file that arrives in the folder is one queued message."""
     reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", FILES)
@@ -35,10 +47,11 @@ def message_id(df: DataFrame, column: str = "source_file") -> DataFrame:
 
 
 def read_emails(
-    spark: SparkSession, path: str, required=rules.REQUIRED_KEYS, files: str = FILES,
+    spark: SparkSession, path: str, required=rules.REQUIRED_KEYS, files: str = FILES, packed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(messages, bad files) of a folder."""
-    good, bad = validate(raw_messages(spark, path, files), required=required)
+    """(messages, bad files) of a folder of message files, or of ``packed`` messages."""
+    raw = packed_messages(spark, path) if packed else raw_messages(spark, path, files)
+    good, bad = validate(raw, required=required)
     return message_id(parse_messages(good)), bad
 
 

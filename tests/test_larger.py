@@ -94,3 +94,31 @@ def test_intake_files_grow_with_the_table(spark, tmp_path):
     work = f"{shared_folder(spark)}/{(folders() - before).pop()}"
     assert sum(x.endswith(".parquet") for x in os.listdir(f"{work}/raw")) > 3
     assert sorted(x for x in os.listdir(f"{work}/queued")) == ["batch=0", "batch=1", "batch=2"]
+
+
+def test_files_do_not_grow_with_their_messages(spark, tmp_path):
+    def files():
+        return sum(len(names) for at, _, names in os.walk(shared_folder(spark)) if "/files-" in at)
+
+    rows = [(i, f"https://h{i % 7}.example/p", f"<p>{i}</p>") for i in range(80)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    before = files()
+    got = catalog.labelled_files(spark, str(tmp_path)).collect()
+    assert len(got) == 80 and {r["from_email"] for r in got} == {f"news@h{i}.example" for i in range(7)}
+    assert files() - before < 40
+
+
+def test_packed_messages_read_like_files(spark, tmp_path):
+    names = ["email_01_survey_a_com.json", "email_2_b_net.json", "email_3_personal_c_org.json", "email_4_d_de.json"]
+    rows = [(n, json.dumps({"from": f"x@{i}.de", "subject": n, "html_content": "h"})) for i, n in enumerate(names)]
+    rows[3] = (names[3], "no json")
+    os.mkdir(tmp_path / "in")
+    for name, raw in rows:
+        (tmp_path / "in" / name).write_text(raw)
+    source.pack_messages(spark.createDataFrame(rows, "source_file string, raw string"), f"{tmp_path}/packed")
+    seen = []
+    for path, packed in (("in", False), ("packed", True)):
+        good, bad = source.read_emails(spark, f"{tmp_path}/{path}", packed=packed)
+        labelled = source.label_from_filename(good).drop("source_file", "email_id")
+        seen.append((sorted(map(str, labelled.collect())), [r["error"] for r in bad.collect()]))
+    assert seen[0] == seen[1] and len(seen[0][0]) == 3 and len(seen[0][1]) == 1
