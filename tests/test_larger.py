@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from mailloom.operators import neighbours
@@ -73,9 +74,13 @@ def documents(spark, folder, n=60):
     return str(folder)
 
 
-def test_a_table_of_several_files_is_streamed(spark, tmp_path):
-    got = catalog.stream_values(spark, documents(spark, tmp_path))
-    assert sorted(r["value"] for r in got.collect()) == sorted(f"a{i}@b.com" for i in range(60))
+def test_a_table_of_one_or_several_files_is_streamed(spark, tmp_path):
+    sf = documents(spark, tmp_path / "folder")
+    os.mkdir(tmp_path / "file")
+    pq.write_table(pq.read_table(f"{sf}/documents.parquet"), f"{tmp_path}/file/documents.parquet")
+    for at in (sf, f"{tmp_path}/file"):
+        got = catalog.stream_values(spark, at)
+        assert sorted(r["value"] for r in got.collect()) == sorted(f"a{i}@b.com" for i in range(60))
 
 
 def test_intake_files_grow_with_the_table(spark, tmp_path):
