@@ -17,8 +17,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailloom.llm.common import fresh, text_of
 
@@ -179,6 +181,21 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     return out, np.array([r["_label"] for r in found], np.float32)
 
 
+def string_fields(docs: DataFrame, names: list[str]) -> list[tuple[list[str], list[str]]]:
+    """The string columns among names, and those in each of their structs: (path of the struct, fields)."""
+    kept = [f for f in docs.schema if f.name in names]
+    strings = lambda fields: [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    return [([], strings(kept)), *(([f.name], strings(f.dataType)) for f in kept if isinstance(f.dataType, T.StructType))]
+
+
+def texts_at(batch: pa.RecordBatch, place: list[str]) -> list[bytes]:
+    """The texts of a string column, or of a field of a struct; null is empty."""
+    column = batch[place[0]]
+    for name in place[1:]:
+        column = pc.struct_field(column, name)
+    return [text or b"" for text in column.cast(pa.binary()).to_pylist()]
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1, likelihood of label 1) and predicted (1 from 0.5 on), whatever other columns there are.
@@ -190,17 +207,19 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     model = train(*labelled(docs, labels, sample, id_col, text_col))
     names, bytes_ = [c for c in docs.columns if c.lower() not in ("score", "predicted")], fresh(docs, "bytes")
     share = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    place = next(([*box, i] for box, fields in string_fields(docs, names) for i in fields if ".".join([*box, i]) == text_col), None)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch[bytes_].to_pylist()
+        for batch in (whole.slice(at, BLOCK) for whole in batches for at in range(0, whole.num_rows, BLOCK)):
+            texts = batch[bytes_].to_pylist() if place is None else texts_at(batch, place)
             found = share.value.scores(texts) if share.value else np.full(len(texts), 0.5)
             found = np.clip(np.asarray(found, np.float64), 0, 1)
             predicted = pa.array((found >= 0.5).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in names), pa.array(found), predicted], [*names, "score", "predicted"])
 
-    rows = docs.select(*names, text_of(docs[text_col]).cast("binary").alias(bytes_))
+    # A text that is among the columns, or in a struct of them, travels once, as it is there.
+    rows = docs.select(*names, *([] if place else [text_of(docs[text_col]).cast("binary").alias(bytes_)]))
     schema = docs.select(*names).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     for field in schema:
         field.nullable = True
@@ -210,5 +229,5 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 def survivors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
-    boxed = docs.select(F.struct("*").alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return score(boxed, labels, sample).filter("predicted = 1").select("row.*")
+    boxed = docs.select(F.struct("*").alias("row"))
+    return score(boxed, labels, sample, f"row.{id_col}", f"row.{text_col}").filter("predicted = 1").select("row.*")
