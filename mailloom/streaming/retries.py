@@ -1,8 +1,8 @@
 """Failed messages tried again: held as state with a timer, given out after a pause, at last among the dead letters.
 
 One query reads new messages and the failures that it writes itself. New messages are tried in the batch they come in.
-A failure goes into a stateful operator, keyed by message, which keeps the message until its timer fires and then gives
-it out for its next try. State, timers and offsets live in the checkpoint, so a restart loses no message and forgets
+A failure goes into a stateful operator, keyed by a bucket of messages, which keeps it until its bucket's timer fires and
+then gives it out for its next try. Python is called, and a timer set, once per bucket and batch, not per message. State, timers and offsets live in the checkpoint, so a restart loses no message and forgets
 no pause; what a batch writes is keyed by its number and replaced when it is replayed.
 """
 
@@ -19,41 +19,43 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Tries of a message after its first, and the seconds between them.
 RETRIES, PAUSE = 3, 60.0
+#: Buckets that failures are held in, by the hash of their names. A checkpoint is bound to their number.
+BUCKETS = 512
 MESSAGE = "source_file string, raw string, attempt int"
 
 
 class Hold(StatefulProcessor):
-    """Keeps failed messages of a key until their pause is over. A message that comes again meanwhile is kept beside."""
+    """Keeps failed messages of a bucket until their pause is over. A message that comes again meanwhile is kept beside."""
 
     def __init__(self, pause: float):
         self.pause = int(pause * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "raw string, attempt int, due long")
+        self.held = handle.getListState("held", "source_file string, raw string, attempt int, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due = timerValues.getCurrentProcessingTimeInMs() + self.pause
         for part in rows:
-            for row in part.itertuples(index=False):
-                self.held.appendValue((row.raw, int(row.attempt), due))
+            names = part["source_file"], part["raw"], part["attempt"]
+            self.held.appendList([(name, raw, int(attempt), due) for name, raw, attempt in zip(*names)])
         self.handle.registerTimer(due)
-        yield self.out(key, [])
+        yield self.out([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         rows = list(self.held.get())
-        rest = [r for r in rows if r[2] > now]
+        rest = [r for r in rows if r[3] > now]
         if rest:
             self.held.put(rest)
         else:
             self.held.clear()
-        yield self.out(key, [r for r in rows if r[2] <= now])
+        yield self.out([r for r in rows if r[3] <= now])
 
     @staticmethod
-    def out(key, rows) -> pd.DataFrame:
+    def out(rows) -> pd.DataFrame:
         return pd.DataFrame(
-            [(key[0], r[0], r[1] + 1) for r in rows], columns=["source_file", "raw", "attempt"]).astype({"attempt": "int32"})
+            [(r[0], r[1], r[2] + 1) for r in rows], columns=["source_file", "raw", "attempt"]).astype({"attempt": "int32"})
 
     def close(self) -> None:
         pass
@@ -73,7 +75,8 @@ def with_retries(
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # timers need it
     spark.createDataFrame([], MESSAGE).write.mode("append").parquet(f"{work}/failures")  # a folder to read from
     failed = spark.readStream.schema(f"{MESSAGE}, batch long").option("recursiveFileLookup", True).parquet(f"{work}/failures")
-    again = failed.drop("batch").groupBy("source_file").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("source_file"), F.lit(BUCKETS)).alias("bucket")
+    again = failed.select("source_file", "raw", "attempt", bucket).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Hold(pause), outputStructType=MESSAGE, outputMode="Append", timeMode="ProcessingTime")
     both = new.select("source_file", "raw", F.lit(1).alias("attempt")).unionByName(again)
 

@@ -127,3 +127,18 @@ def test_packed_messages_read_like_files(spark, tmp_path):
         labelled = source.label_from_filename(good).drop("source_file", "email_id")
         seen.append((sorted(map(str, labelled.collect())), [r["error"] for r in bad.collect()]))
     assert seen[0] == seen[1] and len(seen[0][0]) == 3 and len(seen[0][1]) == 1
+
+
+def test_failures_are_held_by_bucket(spark, tmp_path, monkeypatch):
+    """Many failures of one batch share few keys of the state, and still come again one by one."""
+    monkeypatch.setattr(retries, "BUCKETS", 3)
+    work, queue = str(tmp_path / "work"), str(tmp_path / "queue")
+    rows = spark.createDataFrame([(f"m{i}", str(i % 3)) for i in range(300)], "source_file string, raw string")
+    rows.coalesce(1).write.parquet(queue)
+    new = spark.readStream.schema("source_file string, raw string").parquet(queue)
+    fails = lambda batch, _: batch.withColumn("error", F.when(F.col("attempt") <= F.col("raw").cast("int"), F.lit("no")))
+    query = retries.with_retries(new, fails, work, pause=0.5, interval="100 milliseconds")
+    retries.finish(query, work, patience=200)
+    got = {(r["source_file"], r["attempt"]) for r in retries.attempts(spark, work).collect()}
+    assert got == {(f"m{i}", a) for i in range(300) for a in range(1, i % 3 + 2)}
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]) <= 200
