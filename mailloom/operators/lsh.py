@@ -114,8 +114,8 @@ def _scattered(df: DataFrame, vec: str, model: Tables, sets: Sequence[tuple[int,
                 part = batch.slice(at, step)
                 vectors = nb.matrix(part.column(vec), model.unit)
                 found = model.own(vectors)[:, :, None] if sets is None else model.probed(vectors, sets)
-                each = np.arange(found.size) // found.shape[2]
-                row, table = each // model.tables, (each % model.tables).astype(np.int32)
+                row = np.repeat(np.arange(len(vectors), dtype=np.int32), model.tables * found.shape[2])
+                table = np.tile(np.repeat(np.arange(model.tables, dtype=np.int32), found.shape[2]), len(vectors))
                 yield from nb.copies(part, row, {"_table": table, "_bucket": found.ravel()})
 
     return df.mapInArrow(run, schema)

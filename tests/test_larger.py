@@ -2,6 +2,7 @@
 
 import json
 import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,46 @@ def test_a_task_sends_bounded_batches():
     assert parts[-1]["v"][-1].as_py() == [499.0] * 64
 
 
+def of_brute_force(x, q, ids, k):
+    d = ((q[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    return [list(ids[np.lexsort((ids, row))[:k]]) for row in d]
+
+
+def test_blocks_of_vectors_are_worked_on_in_tiles():
+    """A block's vectors aren't copied whole, and what the work takes beside them doesn't grow with the block."""
+    x = np.random.default_rng(6).normal(size=(60_000, 64)).astype(np.float32)
+    x[40_000:] = x[:20_000]
+    held = []
+    for n in (10_000, 60_000):
+        ids, asked = np.arange(n)[::-1].copy(), x[:n:2500]
+        tracemalloc.start()
+        qi, ci, d, rank = neighbours.nearest_rows(asked, x[:n], -1 - np.arange(len(asked)), ids, 3, "sql2", None, False)
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert list(rank) == [1, 2, 3] * len(asked) and (d[rank == 1] == 0).all()
+        got = ids[ci].reshape(-1, 3)
+        assert [list(r) for r in got[:4]] == of_brute_force(x[:n], asked[:4], ids, 3)
+    assert held[1] - held[0] < x[10_000:].nbytes / 2
+
+
+def test_tiles_give_what_one_matrix_gives(monkeypatch):
+    x = np.round(np.random.default_rng(8).normal(size=(300, 3)), 1).astype(np.float32)  # with copies and ties
+    ids = np.random.default_rng(9).permutation(300)
+    seen = []
+    for tile, cells, hashes in ((300, 1 << 19, None), (7, 50, None), (7, 50, lambda words: words[:, 0] % 5)):
+        monkeypatch.setattr(neighbours, "TILE_ROWS", tile)
+        monkeypatch.setattr(neighbours, "CHUNK_CELLS", cells)
+        if hashes:  # different rows of one hash aren't taken for equal
+            monkeypatch.setattr(neighbours, "row_hashes", hashes)
+        for metric, within in (("sql2", None), ("sql2", 0.05), ("cosine", None), ("cosine", 0.001)):
+            qi, ci, d, rank = neighbours.nearest_rows(x, x, ids, ids, 4, metric, within, True)
+            seen.append((metric, within, list(qi), list(ids[ci]), list(d), list(rank)))
+    assert seen[:4] == seen[4:8] == seen[8:]
+    d = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert np.reshape(seen[0][3], (300, 4)).tolist() == [list(ids[np.lexsort((ids, row))[:4]]) for row in d]
+
+
 def documents(spark, folder, n=60):
     rows = [(i, f"mail a{i}@b.com now", "en", f"src{i % 4}") for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
