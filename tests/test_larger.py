@@ -108,6 +108,26 @@ def test_tiles_give_what_one_matrix_gives(monkeypatch):
     assert np.reshape(seen[0][3], (300, 4)).tolist() == [list(ids[np.lexsort((ids, row))[:4]]) for row in d]
 
 
+def test_a_task_of_the_search_needs_one_python_worker(spark):
+    """Finding an index row's cell and sending it on are one step, not two workers that stand behind each other."""
+    q, c, _ = vectors(spark, 400)
+    plan = neighbours.knn(q, c, 5, block_rows=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # one for queries, one for the index
+
+
+def test_cells_are_found_in_bounded_steps():
+    x = np.random.default_rng(7).normal(size=(20_000, 8)).astype(np.float32)
+    column, pivots = pa.array(list(x)), x[:1000].astype(float)
+    tracemalloc.start()
+    cell, near = neighbours.homes(column, pivots, False)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 3 * 8 * neighbours.CHUNK_CELLS
+    assert list(cell[:1000]) == list(range(1000)) and near[:1000].max() < 1e-6
+    d = ((x[1000:1100, None].astype(float) - pivots) ** 2).sum(2)
+    assert list(cell[1000:1100]) == list(d.argmin(1)) and np.allclose(near[1000:1100], np.sqrt(d.min(1)))
+
+
 def documents(spark, folder, n=60):
     rows = [(i, f"mail a{i}@b.com now", "en", f"src{i % 4}") for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
